@@ -93,23 +93,33 @@ def following(
     )
 
 
-def running_total(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, out: str
+def running_max(
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, step: float,
+    out: str,
 ) -> DataFrame:
-    """Sum of ``value`` over the rows before each row, computed bucket by bucket."""
+    """Over rows numbered i = 1, 2, … per key: the maximum of ``value_j - j * step`` plus i * step.
+
+    Buckets are numbered and folded on their own; only one summary row per bucket is ordered per
+    key, so a busy key is spread over its buckets.
+    """
     df = df.withColumn("bucket", bucket).withColumn("amount", value)
-    sums = df.groupBy(*keys, "bucket").agg(F.sum("amount").alias("bucket_sum"))
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *keys, "bucket", F.coalesce(F.sum("bucket_sum").over(before), F.lit(0)).alias("earlier")
-    )
     inside = Window.partitionBy(*keys, "bucket").orderBy(*order)
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn("turn", F.row_number().over(inside)).withColumn(
+        "inside", F.max(F.col("amount") - F.col("turn") * step).over(so_far)
+    )
+    sums = local.groupBy(*keys, "bucket").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("inside").alias("most")
+    )
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("skipped", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    sums = sums.withColumn("earlier", F.max(F.col("most") - F.col("skipped") * step).over(before))
+    best = F.greatest(F.col("earlier"), F.col("inside") - F.col("skipped") * step)
+    number = F.col("skipped") + F.col("turn")
     return (
-        df.withColumn("inside", F.coalesce(F.sum("amount").over(inside), F.lit(0)))
-        .join(sums, keys + ["bucket"])
-        .withColumn(out, F.col("earlier") + F.col("inside"))
-        .drop("bucket", "amount", "inside", "earlier")
+        local.join(sums.select(*keys, "bucket", "skipped", "earlier"), keys + ["bucket"])
+        .withColumn(out, best + number * step)
+        .drop("bucket", "amount", "turn", "inside", "skipped", "earlier")
     )
 
 
