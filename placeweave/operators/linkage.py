@@ -206,6 +206,21 @@ def stop_early(pairs: DataFrame, radius_m: float = 500.0) -> DataFrame:
     )
 
 
+def evidence_flags(pairs: DataFrame, radius_m: float = 500.0) -> DataFrame:
+    """Per place: any equal phone, any strong candidate (phone or radius), any with reviews."""
+    metres = distance_m(
+        *[F.col(c) for c in ("place_lat", "place_lng", "listing_lat", "listing_lng")]
+    )
+    same_phone = (F.col("place_phone") != "") & (F.col("place_phone") == F.col("listing_phone"))
+    near = F.coalesce(metres <= radius_m, F.lit(False))
+    reviewed = F.col("rating").isNotNull() | (F.coalesce("review_count", F.lit(0)) > 0)
+    return pairs.groupBy("place_id").agg(
+        F.bool_or(same_phone).alias("has_phone"),
+        F.bool_or(same_phone | near).alias("has_strong"),
+        F.bool_or(reviewed).alias("has_reviews"),
+    )
+
+
 def is_decisive(pairs: DataFrame) -> Column:
     """One pair that proves the identity by itself (name_score must be present)."""
     metres = distance_m(
