@@ -29,7 +29,7 @@ def squeeze(value: Column, limit: int | None = None) -> Column:
 
 
 def none_if_empty(value: Column) -> Column:
-    return F.when(value != "", value)
+    return F.nullif(value, F.lit(""))
 
 
 def is_ascii(value: Column) -> Column:

@@ -43,11 +43,11 @@ def listing_url(value: Column) -> Column:
     """Canonical listing page of any link to it, through one search redirect; else null."""
     decoded = percent_decode(value)
     target = F.regexp_extract(decoded, "\\?(?:[^#]*?&)?uddg=([^&#]+)", 1)
-    redirected = decoded.contains("duckduckgo.com/l/") & (target != "")
-    once = percent_decode(F.replace(target, F.lit("+"), F.lit(" ")))
-    decoded = F.when(redirected, percent_decode(once)).otherwise(decoded)
-    path = F.regexp_extract(decoded, fixed.LISTING_URL_PATTERN, 1)
-    return F.when(path != "", F.concat(F.lit("https://tabelog.com/"), path, F.lit("/")))
+    once = percent_decode(F.replace(none_if_empty(target), F.lit("+"), F.lit(" ")))
+    unwrapped = F.when(decoded.contains("duckduckgo.com/l/"), none_if_empty(percent_decode(once)))
+    decoded = F.coalesce(unwrapped, decoded)
+    path = none_if_empty(F.regexp_extract(decoded, fixed.LISTING_URL_PATTERN, 1))
+    return F.concat(F.lit("https://tabelog.com/"), path, F.lit("/"))
 
 
 def listing_compare_key(value: Column) -> Column:

@@ -9,7 +9,7 @@ from placeweave.functions.text import fold_name, fold_phone, likeness, none_if_e
 from placeweave.functions.urls import website_key
 from placeweave.operators.fuzzy import similar_texts
 from placeweave.operators.linkage import column_or, place_keys
-from placeweave.operators.skew import split_join, union_all
+from placeweave.operators.skew import split_join
 from placeweave.operators.spatial import within_distance
 
 
@@ -63,39 +63,52 @@ def _name_score() -> Column:
 
 
 def _pairs_without_distance(probe: DataFrame, award: DataFrame) -> DataFrame:
-    """Pairs where a side lacks coordinates: equal phone or website, or names at least 0.94 alike."""
-    no_place = F.col("place_lat").isNull() | F.col("place_lng").isNull()
-    no_award = F.col("award_lat").isNull() | F.col("award_lng").isNull()
-    award_names = award.select(F.col("award_name").alias("text"))
-    names = probe.select(
-        *PROBE, F.explode(F.array_distinct(F.array("place_name", "place_alternate", "hint_name")))
-        .alias("name"), no_place.alias("no_place"),
-    ).filter(F.col("name") != "")
-    alike = similar_texts(names.select(F.col("name").alias("text")), award_names, 0.94)
-    alike = alike.select(F.col("left_text").alias("name"), F.col("right_text").alias("award_name"))
-
-    def meet(left, right, key):
-        return split_join(left.dropna(), right.dropna(), [key])
-
-    found = [
-        meet(
-            probe.select(*PROBE, none_if_empty(F.col(f"place_{kind}")).alias("key"),
-                         no_place.alias("no_place")),
-            award.select("award_id", none_if_empty(F.col(f"award_{kind}")).alias("key"),
-                         no_award.alias("no_award")),
-            "key",
-        ).drop("key")
-        for kind in ("phone", "website")
-    ]
-    found.append(
-        meet(
-            meet(names, alike, "name").drop("name"),
-            award.select("award_id", "award_name", no_award.alias("no_award")),
-            "award_name",
-        ).drop("award_name")
+    """Pairs where a side lacks coordinates: equal phone or website, or names at least 0.94 alike.
+
+    One equi-join on (kind, key); similar names join as (place's name) to (award's name).
+    """
+    names = F.array("place_name", "place_alternate", "hint_name")
+    lost = F.col("place_lat").isNull() | F.col("place_lng").isNull()
+    unplaced = F.col("award_lat").isNull() | F.col("award_lng").isNull()
+
+    def keyed(kind, value):
+        return F.struct(F.lit(kind).alias("kind"), none_if_empty(value).alias("key"))
+
+    def rows(df, lacking, columns, entries):
+        return df.select(
+            *columns, lacking.alias(f"{columns[0]}_lacking"), F.explode(entries).alias("e")
+        ).select(*columns, f"{columns[0]}_lacking", "e.*").filter(F.col("key").isNotNull())
+
+    signals = F.array(keyed("phone", F.col("place_phone")), keyed("website", F.col("place_website")))
+    left = rows(probe, lost, PROBE, signals)
+    award_signals = F.array(
+        keyed("phone", F.col("award_phone")), keyed("website", F.col("award_website")),
+        keyed("name", F.col("award_name")),
     )
-    pairs = union_all([df.filter(F.col("no_place") | F.col("no_award")) for df in found])
-    return pairs.select(*PROBE, "award_id").distinct()
+    right = rows(award, unplaced, ["award_id"], award_signals)
+
+    def named(df):
+        return df.select(*PROBE, lost.alias("place_id_lacking"),
+                         F.explode(F.array_distinct(names)).alias("name"))
+
+    # Names matter only where coordinates are missing; the snapshot seldom lacks any.
+    sides = [(probe.filter(lost), award)]
+    if not award.filter(unplaced).isEmpty():
+        sides.append((probe.filter(~lost), award.filter(unplaced)))
+    for probes_in, awards_in in sides:
+        given = named(probes_in).filter(F.col("name") != "")
+        alike = similar_texts(
+            given.select(F.col("name").alias("text")),
+            awards_in.select(F.col("award_name").alias("text")), 0.94,
+        ).select(F.col("left_text").alias("name"), F.col("right_text").alias("key"))
+        left = left.unionByName(
+            split_join(given, alike, ["name"]).select(
+                *PROBE, "place_id_lacking", F.lit("name").alias("kind"), "key"
+            )
+        )
+    pairs = split_join(left, right, ["kind", "key"])
+    lacking = F.col("place_id_lacking") | F.col("award_id_lacking")
+    return pairs.filter(lacking).select(*PROBE, "award_id").distinct()
 
 
 def linkage_pairs(

@@ -16,25 +16,36 @@ from placeweave.functions.text import likeness
 from placeweave.operators.skew import split_join, union_all
 
 
-def _bigrams(df: DataFrame, group: list[str]) -> DataFrame:
-    """One row per text and bigram, with how often it occurs."""
-    size = F.length("text")
-    starts = F.when(size >= 2, F.sequence(F.lit(1), size - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    pairs = F.transform(starts, lambda i: F.substring(F.col("text"), i, 2))
-    return df.withColumn("token", F.explode(pairs)).groupBy(*group, "text", "token").agg(
-        F.count(F.lit(1)).alias("times")
-    )
-
+def _tokens(texts: DataFrame, group: list[str], longest: float) -> DataFrame:
+    """One row per token of a text, numbered when it repeats.
 
-def _ordered_tokens(df: DataFrame, group: list[str], rarity: DataFrame) -> DataFrame:
-    repeats = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))
-    tokens = df.join(rarity, "token").withColumn("copy", repeats)
-    by_rarity = Window.partitionBy(*group, "text").orderBy("spread", "token", "copy")
-    return tokens.select(
-        *group, "text", "token", "copy", "spread", F.row_number().over(by_rarity).alias("place_in_order")
+    Tokens are the bigrams; texts of at most ``longest`` characters also give single characters,
+    because a text of one character can only lie inside them.
+    """
+    size = F.length("text")
+    none = F.array().cast("array<string>")
+    pairs = F.when(
+        size >= 2,
+        F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(F.col("text"), i, 2)),
+    ).otherwise(none)
+    letters = F.when(
+        size <= (longest if longest != math.inf else (1 << 30)),
+        F.array_distinct(F.split("text", "")),
+    ).otherwise(none)
+
+    def numbered(tokens):
+        def entry(token, i):
+            before = F.slice(tokens, 1, i)
+            copies = F.size(F.filter(before, lambda other: other == token))
+            return F.struct(token.alias("token"), copies.alias("copy"))
+
+        return F.transform(tokens, entry)
+
+    tokens = F.concat(
+        numbered(pairs),
+        F.transform(letters, lambda ch: F.struct(ch.alias("token"), F.lit(0).alias("copy"))),
     )
+    return texts.select(*group, "text", F.explode(tokens).alias("t")).select(*group, "text", "t.*")
 
 
 def similar_texts(
@@ -48,63 +59,51 @@ def similar_texts(
     if threshold < fixed.CONTAINMENT_FLOOR:
         raise ValueError("similar_texts needs a threshold of at least 0.88")
     group = group or []
-    left = left.select(*group, "text").filter(F.col("text") != "").distinct()
-    right = right.select(*group, "text").filter(F.col("text") != "").distinct()
-    left_grams, right_grams = _bigrams(left, group), _bigrams(right, group)
-    rarity = (
-        left_grams.select("token").unionByName(right_grams.select("token"))
-        .groupBy("token").agg(F.count(F.lit(1)).alias("spread"))
-    )
-    left_tokens = _ordered_tokens(left_grams, group, rarity)
-    right_tokens = _ordered_tokens(right_grams, group, rarity)
+    share = (threshold - fixed.CONTAINMENT_FLOOR) / fixed.CONTAINMENT_SPAN
+    longest = math.inf if share <= 0 else math.floor(1 / share + 1e-9)
+
+    def texts(df):
+        return df.select(*group, "text").filter(F.col("text") != "").distinct()
 
+    sides = [_tokens(texts(df), group, longest) for df in (left, right)]
+    rarity = union_all([side.select("token") for side in sides]).groupBy("token").agg(
+        F.count(F.lit(1)).alias("spread")
+    )
     size = F.length("text")
     per_character = 2 * (1.5 * threshold - 1) / (2 - threshold)
     needed = F.greatest(F.ceil(size * per_character - 1 - 1e-9), F.lit(1))
-    prefix = F.col("place_in_order") <= (size - 1) - needed + 1
-    rarest = F.col("place_in_order") == 1
-
-    # A single character has no bigram; it can only lie inside the other text or be it.
-    share = (threshold - fixed.CONTAINMENT_FLOOR) / fixed.CONTAINMENT_SPAN
-    longest = math.inf if share <= 0 else math.floor(1 / share + 1e-9)
+    is_pair = F.length("token") == 2
+    in_order = Window.partitionBy(*group, "text").orderBy(is_pair.desc(), "spread", "token", "copy")
+    on = group + ["token", "copy", "role"]
 
-    def characters(df):
-        reached = df if longest == math.inf else df.filter(size <= longest)
-        return reached.withColumn("token", F.explode(F.array_distinct(F.split("text", ""))))
-
-    letters = characters(left).select("token").unionByName(characters(right).select("token"))
-    letter_spread = letters.groupBy("token").agg(F.count(F.lit(1)).alias("spread"))
-
-    def texts(tokens, plain, name, first_role, second_role):
-        roles = F.array_compact(F.array(
-            F.when(prefix, "alike"),
-            F.when(rarest, first_role),
-            F.lit(second_role),
-        ))
-        single = F.array_compact(F.array(F.when(size == 1, first_role), F.lit(second_role)))
-        rows = union_all([
-            tokens.withColumn("role", F.explode(roles)).select(*on, "text", "spread"),
-            characters(plain).join(letter_spread, "token")
-            .withColumn("copy", F.lit(1).cast("bigint"))
-            .withColumn("role", F.explode(single)).select(*on, "text", "spread"),
-        ])
-        return rows.withColumnRenamed("text", name)
+    def with_roles(tokens, name, own_role, other_role):
+        """The rarest token of an inner text meets every token of the outer one."""
+        inner = F.when(is_pair, F.col("turn") == 1).otherwise(size == 1)
+        roles = F.array_compact(
+            F.array(
+                F.when(is_pair & (F.col("turn") <= size - needed), "alike"),
+                F.when(inner, own_role),
+                F.lit(other_role),
+            )
+        )
+        ranked = tokens.join(rarity, "token").withColumn("turn", F.row_number().over(in_order))
+        return ranked.withColumn("role", F.explode(roles)).select(
+            *on, F.col("text").alias(name), "spread"
+        )
 
-    on = group + ["token", "copy", "role"]
-    # The rarest token of the inner text meets all tokens of the outer one, in either direction.
     met = split_join(
-        texts(left_tokens, left, "left_text", "left_inside", "right_inside"),
-        texts(right_tokens, right, "right_text", "right_inside", "left_inside"),
+        with_roles(sides[0], "left_text", "left_inside", "right_inside"),
+        with_roles(sides[1], "right_text", "right_inside", "left_inside"),
         on, known_rows="spread",
     )
     held = (
         F.col("left_text").contains(F.col("right_text"))
         | F.col("right_text").contains(F.col("left_text"))
     )
-    met = met.filter((F.col("role") == "alike") | held)
     score = likeness(F.col("left_text"), F.col("right_text"), at_least=threshold)
     return (
-        met.select(*group, "left_text", "right_text").distinct()
+        met.filter((F.col("role") == "alike") | held)
+        .select(*group, "left_text", "right_text").distinct()
         .withColumn("likeness", score)
         .filter(F.col("likeness") >= threshold)
     )

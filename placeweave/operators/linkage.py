@@ -11,8 +11,8 @@ from placeweave.functions.text import (
 )
 from placeweave.functions.urls import listing_url, website_key
 from placeweave.operators.fuzzy import similar_texts
-from placeweave.operators.skew import split_join, union_all
-from placeweave.operators.spatial import within_distance
+from placeweave.operators.skew import split_join
+from placeweave.operators.spatial import Grid
 
 
 def column_or(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -130,46 +130,58 @@ def candidate_pairs(
 
     ``places`` and ``listings`` are key tables. ``stage`` is the position in SOURCES of the
     strongest block that found the pair. The name block holds equal folded names, or with
-    ``name_threshold`` all names that are at least that alike.
+    ``name_threshold`` all names that are at least that alike. All blocks share one join: each
+    row gives one (stage, key) per block, and the distance is checked on the grid cells' pairs.
     """
-    place = places.select("place_id", "place_name", "place_phone", "place_lat", "place_lng",
-                          "place_alternate", "place_listing_url")
-    listing = listings.select("listing_id", "listing_name", "listing_phone", "listing_lat",
-                              "listing_lng", "listing_url")
+    grid = Grid(radius_m)
+    nowhere = F.lit(None).cast("bigint").alias("band")
 
-    def keyed(df, column, key):
-        return df.withColumn("key", none_if_empty(F.col(column))).select(key, "key")
+    def key(stage, name):
+        return F.struct(F.lit(stage).alias("stage"), none_if_empty(F.col(name)).alias("key"), nowhere)
 
-    direct = split_join(
-        keyed(place, "place_listing_url", "place_id"),
-        keyed(listing, "listing_url", "listing_id"), ["key"],
-    )
-    names = place.select(
-        "place_id", F.explode(F.array_distinct(F.array("place_name", "place_alternate"))).alias("key")
-    ).filter(F.col("key") != "")
-    listed = keyed(listing, "listing_name", "listing_id")
-    if name_threshold is None:
-        named = split_join(names, listed, ["key"])
-    else:
-        alike = similar_texts(
-            names.withColumnRenamed("key", "text"), listed.select(F.col("key").alias("text")).dropna(),
-            name_threshold,
-        ).select(F.col("left_text").alias("key"), "right_text")
-        named = split_join(names, alike, ["key"]).select("place_id", F.col("right_text").alias("key"))
-        named = split_join(named, listed, ["key"])
-    phoned = split_join(
-        keyed(place, "place_phone", "place_id"), keyed(listing, "listing_phone", "listing_id"), ["key"]
+    lat, lng = F.col("place_lat"), F.col("place_lng")
+    bands = F.transform(
+        grid.bands_near(F.when(lng.isNotNull(), lat)),
+        lambda band: F.struct(
+            F.lit(3).alias("stage"), F.lit(None).cast("string").alias("key"), band.alias("band")
+        ),
     )
-    nearby = within_distance(
-        place.select("place_id", "place_lat", "place_lng"),
-        listing.select("listing_id", "listing_lat", "listing_lng"),
-        ("place_lat", "place_lng"), ("listing_lat", "listing_lng"), radius_m,
+    named = [key(1, "place_name"), key(1, "place_alternate")] if name_threshold is None else []
+    blocks = F.array(key(0, "place_listing_url"), key(2, "place_phone"), *named)
+    blocks = F.concat(blocks, F.coalesce(bands, F.slice(blocks, 1, 0)))
+    left = places.select(
+        "place_id", "place_lat", "place_lng", F.explode(blocks).alias("block")
+    ).select("place_id", "place_lat", "place_lng", "block.*")
+    left = grid.widen(left, "place_lat", "place_lng", "band", "cell").select(
+        "place_id", "place_lat", "place_lng", "stage",
+        F.coalesce("key", F.col("cell").cast("string")).alias("key"),
     )
-    found = [
-        df.select("place_id", "listing_id", F.lit(stage).alias("stage"))
-        for stage, df in enumerate([direct, named, phoned, nearby])
-    ]
-    return union_all(found).groupBy("place_id", "listing_id").agg(F.min("stage").alias("stage"))
+    names = F.array("place_name", "place_alternate")
+    if name_threshold is not None:
+        given = places.select(
+            "place_id", "place_lat", "place_lng",
+            F.explode(F.array_distinct(names)).alias("left_text"),
+        ).filter(F.col("left_text") != "")
+        alike = similar_texts(
+            given.select(F.col("left_text").alias("text")),
+            listings.select(F.col("listing_name").alias("text")), name_threshold,
+        )
+        left = left.unionByName(
+            split_join(given, alike.select("left_text", "right_text"), ["left_text"]).select(
+                "place_id", "place_lat", "place_lng", F.lit(1).alias("stage"),
+                F.col("right_text").alias("key"),
+            )
+        )
+    home = grid.home(F.col("listing_lat"), F.col("listing_lng")).cast("string")
+    cell = F.struct(F.lit(3).alias("stage"), home.alias("key"), nowhere)
+    own = F.array(key(0, "listing_url"), key(1, "listing_name"), key(2, "listing_phone"), cell)
+    right = listings.select(
+        "listing_id", "listing_lat", "listing_lng", F.explode(own).alias("block")
+    ).select("listing_id", "listing_lat", "listing_lng", "block.stage", "block.key")
+    met = split_join(left, right, ["stage", "key"])
+    metres = distance_m(lat, lng, F.col("listing_lat"), F.col("listing_lng"))
+    near = (F.col("stage") < 3) | F.coalesce(metres <= radius_m, F.lit(False))
+    return met.filter(near).groupBy("place_id", "listing_id").agg(F.min("stage").alias("stage"))
 
 
 def with_keys(pairs: DataFrame, places: DataFrame, listings: DataFrame) -> DataFrame:

@@ -36,25 +36,43 @@ class Grid:
         turn = F.pmod(lng + 180.0, F.lit(360.0)) / 360.0
         return self.key(band, F.least(F.floor(turn * count), count - 1))
 
-    def touched(self, lat: Column, lng: Column) -> Column:
-        """Every cell that a circle of the radius around a point can reach."""
-        bands = F.sequence(self.band(lat - self.reach), self.band(lat + self.reach))
-        over_pole = F.abs(lat) + self.reach >= 89.9999
-        sine = F.sin(F.radians(F.lit(self.reach))) / F.cos(F.radians(lat))
-        span = F.degrees(F.asin(F.least(sine, F.lit(1.0)))) + 1e-9
-
-        def row(band):
-            count = self.cells_in(band)
-            ring = F.sequence(F.lit(0).cast("bigint"), count - 1)
-            first = F.floor((lng + 180.0 - span) / 360.0 * count)
-            last = F.floor((lng + 180.0 + span) / 360.0 * count)
-            arc = F.array_distinct(F.transform(F.sequence(first, last), lambda c: F.pmod(c, count)))
-            whole = over_pole | (last - first >= count)
-            return F.transform(
-                F.when(whole, ring).otherwise(arc), lambda c: self.key(band, c)
+    def bands_near(self, lat: Column) -> Column:
+        """Every band that a circle of the radius around a point can reach."""
+        return F.sequence(self.band(lat - self.reach), self.band(lat + self.reach))
+
+    def widen(self, df: DataFrame, lat: str, lng: str, band: str, out: str) -> DataFrame:
+        """One row per cell that the circle around a point can reach in the row's band.
+
+        Rows without a band stay single, with a null cell.
+        """
+        span = F.degrees(
+            F.asin(
+                F.least(
+                    F.sin(F.radians(F.lit(self.reach))) / F.cos(F.radians(F.col(lat))), F.lit(1.0)
+                )
             )
-
-        return F.flatten(F.transform(bands, row))
+        )
+        over_pole = F.abs(F.col(lat)) + self.reach >= 89.9999
+        turn, count = F.col("grid_turn"), F.col("grid_count")
+        df = df.withColumns(
+            {
+                "grid_count": self.cells_in(F.col(band)),
+                "grid_span": F.when(over_pole, 360.0).otherwise(span + 1e-9) / 360.0,
+                "grid_turn": (F.col(lng) + 180.0) / 360.0,
+            }
+        )
+        df = df.withColumns(
+            {
+                "grid_first": F.floor((turn - F.col("grid_span")) * count),
+                "grid_last": F.floor((turn + F.col("grid_span")) * count),
+            }
+        )
+        # An arc never names a cell twice: it is cut to one turn.
+        last = F.least(F.col("grid_last"), F.col("grid_first") + count - 1)
+        df = df.withColumn("grid_cell", F.explode_outer(F.sequence(F.col("grid_first"), last)))
+        return df.withColumn(out, self.key(F.col(band), F.pmod("grid_cell", "grid_count"))).drop(
+            "grid_count", "grid_span", "grid_turn", "grid_first", "grid_last", "grid_cell"
+        )
 
 
 def within_distance(
@@ -75,8 +93,9 @@ def within_distance(
     grid = Grid(radius_m)
     (left_lat, left_lng), (right_lat, right_lng) = left_point, right_point
     left = left.dropna(subset=list(left_point)).withColumn(
-        "cell", F.explode(grid.touched(F.col(left_lat), F.col(left_lng)))
+        "band", F.explode(grid.bands_near(F.col(left_lat)))
     )
+    left = grid.widen(left, left_lat, left_lng, "band", "cell").drop("band")
     right = right.dropna(subset=list(right_point)).withColumn(
         "cell", grid.home(F.col(right_lat), F.col(right_lng))
     )

@@ -76,7 +76,7 @@ def key_tables(table, view="listings"):
 
 @query("j01_scored_pairs", sql_of("listings", FOUND, PAIRS, f"""
     contained as (select *, round({TOTAL}, 1) as total from pairs where name > 0)""") + """
-    select place_id, listing_id, round(case when address > 0 or m is null or m > 0 then name end, 6) as name_score, reasons
+    select place_id, listing_id, round(name, 6) as name_score, reasons
     from (select *, concat_ws('|', case when pph <> '' and pph = lph then '電話完全相同' end,
             case when name >= 0.88 then '店名高度相似' end,
             case when m <= 100 then '座標相距 ' || cast(round(m) as bigint) || ' 公尺' end) as reasons from contained) t""",
