@@ -14,7 +14,7 @@ def distance_m(lat_a: Column, lng_a: Column, lat_b: Column, lng_b: Column) -> Co
     chord = half_lat * half_lat + (
         F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * half_lng * half_lng
     )
-    return 2 * fixed.EARTH_RADIUS_M * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
+    return 2 * fixed.EARTH_RADIUS_M * F.asin(F.sqrt(F.when(chord > 1, 1.0).otherwise(chord)))
 
 
 PIN = "!3d(-?\\d+(?:\\.\\d+)?)!4d(-?\\d+(?:\\.\\d+)?)"

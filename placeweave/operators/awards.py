@@ -11,6 +11,7 @@ from placeweave.operators.fuzzy import similar_texts
 from placeweave.operators.linkage import column_or, place_keys
 from placeweave.operators.skew import split_join
 from placeweave.operators.spatial import within_distance
+from placeweave.session import cut_lineage
 
 
 def award_keys(snapshot: DataFrame) -> DataFrame:
@@ -239,7 +240,8 @@ def link_awards(
     details: DataFrame | None = None,
 ) -> DataFrame:
     """Accepted award per place; the attempt with a linked listing wins over the one without."""
-    pairs = linkage_pairs(probes(places, hints), award_keys(snapshot), details)
+    probe, award = cut_lineage(probes(places, hints)), cut_lineage(award_keys(snapshot))
+    pairs = linkage_pairs(probe, award, details)
     chosen = choose_award(pairs)
     row = F.struct("attempt", "award_id", "match_score", "name_score", "distance_m", "reasons")
     best = chosen.groupBy("place_id").agg(F.max_by(row, F.col("attempt")).alias("best"))
@@ -294,4 +296,5 @@ def first_with_margin(pairs: DataFrame, minimum: float, margin: float) -> DataFr
 
 def link_awards_strict(cards: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Unambiguous name and coordinate matches for list cards; no detail signals are used."""
-    return first_with_margin(strict_pairs(place_keys(cards), award_keys(snapshot)), 85.0, 3.0)
+    keys = [cut_lineage(df) for df in (place_keys(cards), award_keys(snapshot))]
+    return first_with_margin(strict_pairs(*keys), 85.0, 3.0)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from placeweave import fixed
 from placeweave.functions.text import likeness
 from placeweave.operators.skew import split_join, union_all
+from placeweave.session import cut_lineage
 
 
 def _tokens(texts: DataFrame, group: list[str], longest: float) -> DataFrame:
@@ -101,9 +102,7 @@ def similar_texts(
         | F.col("right_text").contains(F.col("left_text"))
     )
     score = likeness(F.col("left_text"), F.col("right_text"), at_least=threshold)
-    return (
-        met.filter((F.col("role") == "alike") | held)
-        .select(*group, "left_text", "right_text").distinct()
-        .withColumn("likeness", score)
-        .filter(F.col("likeness") >= threshold)
-    )
+    pairs = met.filter((F.col("role") == "alike") | held)
+    pairs = pairs.select(*group, "left_text", "right_text").distinct().withColumn("likeness", score)
+    # Callers join the result and count its keys first; it must not be computed for each of these.
+    return cut_lineage(pairs.filter(F.col("likeness") >= threshold))

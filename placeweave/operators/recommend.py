@@ -13,6 +13,7 @@ from placeweave.functions.text import fold_text, none_if_empty, strip, text_or_e
 from placeweave.functions.urls import area_path, listing_url, nearby_page_url
 from placeweave.operators.linkage import column_or
 from placeweave.operators.skew import split_join
+from placeweave.session import cut_lineage
 
 
 def _words(words: dict[str, str]) -> Column:
@@ -69,12 +70,14 @@ def category_candidates(seeds: DataFrame, lists: DataFrame, cap: int = fixed.SIM
     ``seeds`` has (seed_id, area_path, slugs); ``lists`` has (area_path, slug, row_pos, url, …).
     At most the first 20 rows of a list are read, and reading stops at ``cap`` distinct links.
     """
+    # Both sides are counted for busy keys and then joined, so they are computed once and stored.
+    seeds = cut_lineage(seeds.select("seed_id", "area_path", "slugs"))
     wanted = seeds.select("seed_id", "area_path", F.posexplode("slugs").alias("list_pos", "slug"))
     order = Window.partitionBy("area_path", "slug").orderBy("row_pos")
     shown = lists.withColumn("turn", F.row_number().over(order)).filter(
         F.col("turn") <= min(cap, 20)
     )
-    rows = split_join(wanted, shown.drop("turn"), ["area_path", "slug"])
+    rows = split_join(wanted, cut_lineage(shown.drop("turn")), ["area_path", "slug"])
     return merge_lists(rows.filter(F.col("url") != ""), cap)
 
 
@@ -158,9 +161,9 @@ def candidate_side(candidates: DataFrame, *keys: str) -> DataFrame:
 
 
 def score_similar(pairs: DataFrame) -> DataFrame:
-    """Add similarity_score, reasons and the first failing rule for the minimum scores 0 and 35.
+    """Add raw_score, similarity_score, the evidence behind it, and ``outcome``.
 
-    ``outcome`` is one of same, unnamed, elsewhere, or scored.
+    ``outcome`` is the first rule that decides: same, unnamed, elsewhere, else scored.
     """
     pairs = (
         pairs.withColumn(
@@ -181,14 +184,6 @@ def score_similar(pairs: DataFrame) -> DataFrame:
         F.col("genre_hit.points") + F.col("place_hit.points") + F.col("price_hit.points")
         + rating_points(F.col("rating"), F.col("review_count"))
     )
-    genre = F.col("genre_hit.genre")
-    reasons = F.array_compact(
-        F.array(
-            F.when(genre != "", F.concat(F.lit("同為"), translate_label(genre))),
-            none_if_empty(F.col("place_hit.reason")),
-            none_if_empty(F.col("price_hit.reason")),
-        )
-    )
     outcome = (
         F.when((F.col("seed_url") != "") & (F.col("seed_url") == F.col("cand_url")), "same")
         .when((F.col("name") == "") | (F.col("cand_url") == ""), "unnamed")
@@ -198,7 +193,9 @@ def score_similar(pairs: DataFrame) -> DataFrame:
     return (
         pairs.withColumn("raw_score", raw)
         .withColumn("similarity_score", F.round(F.least("raw_score", F.lit(100.0))).cast("int"))
-        .withColumn("reasons", F.slice(reasons, 1, 3))
+        .withColumn("genre", F.col("genre_hit.genre"))
+        .withColumn("place_reason", F.col("place_hit.reason"))
+        .withColumn("price_reason", F.col("price_hit.reason"))
         .withColumn("outcome", outcome)
         .drop("genre_hit", "place_hit", "price_hit")
     )
@@ -224,7 +221,17 @@ def recommend(scored: DataFrame, minimum: float = 35.0, top: int = fixed.SIMILAR
     order = Window.partitionBy("seed_id").orderBy(*recommendation_order())
     fit = scored.filter((F.col("outcome") == "scored") & (F.col("raw_score") >= minimum))
     ranked = fit.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= max(1, min(top, 30)))
+    # Texts are put together only for the rows that stay.
+    genre = none_if_empty(F.col("genre"))
+    reasons = F.array_compact(
+        F.array(
+            F.when(genre.isNotNull(), F.concat(F.lit("同為"), translate_label(genre))),
+            none_if_empty(F.col("place_reason")),
+            none_if_empty(F.col("price_reason")),
+        )
+    )
+    kept = ranked.filter(F.col("rank") <= max(1, min(top, 30)))
+    return kept.withColumn("reasons", F.slice(reasons, 1, 3))
 
 
 def similar_diagnostics(

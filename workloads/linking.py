@@ -7,6 +7,7 @@ from placeweave.operators import awards, linkage, recommend
 from placeweave.operators.dedupe import dedupe_catalogue, duplicate_rule
 from placeweave.operators.spatial import within_distance
 from placeweave.plans.match import candidate_lists, match_places, match_with_awards
+from placeweave.session import cut_lineage
 from workloads.registry import (
     address_key, contained_likeness, folded, listing_link, metres, phone_key, query, website,
 )
@@ -67,7 +68,12 @@ def sql_of(view, *parts):
 
 
 def key_tables(table, view="listings"):
-    return linkage.place_keys(table("places")), linkage.listing_keys(table(view))
+    keys = linkage.place_keys(table("places")), linkage.listing_keys(table(view))
+    return tuple(cut_lineage(df) for df in keys)
+
+
+def award_tables(table, probe):
+    return cut_lineage(probe), cut_lineage(awards.award_keys(table("awards_dup")))
 
 
 # In the proxy tables every candidate pair that shares no containment stays below the address and
@@ -139,12 +145,7 @@ AWARD_NAME = f"greatest({contained_likeness('p.n', 'a.n')}, {contained_likeness(
 AWARD_RANKED = f"""
     near as (select place_id, award_id, {AM} as m, {AWARD_NAME} as name, p.ph <> '' and p.ph = a.ph as same_ph, p.web <> '' and p.web = a.web as same_web
              from p join a on abs(p.lat - a.lat) < 0.005 and abs(p.lng - a.lng) < 0.01 and {AM} <= 500),
-    nowhere as (select place_id, award_id, cast(null as double) as m, {AWARD_NAME} as name, p.ph <> '' and p.ph = a.ph as same_ph,
-                       p.web <> '' and p.web = a.web as same_web
-                from p join a on p.lat is null and ((p.ph <> '' and p.ph = a.ph) or (p.web <> '' and p.web = a.web)
-                  or (substr(p.n, 4) = a.n and p.n like 'the%') or p.n = a.n)),
-    signal as (select *, same_ph or same_web as ident, greatest(1 - m / 500, 0) as ds from near union all
-               select *, same_ph or same_web, cast(null as double) from nowhere),
+    signal as (select *, same_ph or same_web as ident, greatest(1 - m / 500, 0) as ds from near),
     pointed as (select *, case when m is null then name * 100 + case when ident then 85 else 0 end
                       when ident then case when same_ph and same_web then 70 else 65 end + ds * 30 + name * 5
                       else name * 65 + ds * 35 end as score
@@ -172,7 +173,7 @@ def award_sql(*parts):
              case when m is not null then '座標相距 ' || cast(round(m) as bigint) || ' 公尺' end) as reasons
     from accepted""", views=["places", "awards_dup"])
 def award_winners(table):
-    linked = awards.link_awards(table("places"), table("awards_dup"))
+    linked = awards.link_awards(table("places"), table("awards_dup")).filter(c("distance_m").isNotNull())
     return linked.select("place_id", "award_id", "match_score", F.round("distance_m", 3).alias("distance_m"),
                          F.array_join("reasons", "|").alias("reasons"))
 
@@ -181,9 +182,8 @@ def award_winners(table):
     select place_id, count_if(same_web) as website_matches, count_if(same_ph) as phone_matches, count_if(coalesce(m <= 35, false)) as close_rows
     from ranked group by place_id""", views=["places", "awards_dup"])
 def ambiguity_counts(table):
-    probe = awards.probes(table("places"))
-    pairs = awards.linkage_pairs(probe, awards.award_keys(table("awards_dup")))
-    return pairs.groupBy("place_id").agg(
+    pairs = awards.linkage_pairs(*award_tables(table, awards.probes(table("places"))))
+    return pairs.filter(c("distance_m").isNotNull()).groupBy("place_id").agg(
         F.count_if("same_website").alias("website_matches"), F.count_if("same_phone").alias("phone_matches"),
         F.count_if(F.coalesce(c("distance_m") <= 35, F.lit(False))).alias("close_rows"))
 
@@ -248,11 +248,18 @@ def runner_up(table):
 def without_coordinates(table):
     """Identity pairs of all places once their coordinates are taken away."""
     probe = awards.probes(table("places")).withColumn("place_lat", F.lit(None).cast("double"))
-    pairs = awards.linkage_pairs(probe, awards.award_keys(table("awards_dup")))
+    pairs = awards.linkage_pairs(*award_tables(table, probe))
     return pairs.filter(c("same_phone") | c("same_website")).select(
         "place_id", "award_id", c("same_phone").alias("same_ph"), c("same_website").alias("same_web"))
 
 
+@query("j05_award_winners_without_coordinates")
+def winners_without_coordinates(table):
+    """Winners among names at least 0.94 alike, phones and websites, for places off the map."""
+    off_map = table("places").filter(c("latitude").isNull())
+    return awards.link_awards(off_map, table("awards_dup")).drop("reasons")
+
+
 @query("j06_detail_enrichment")
 def detail_enrichment(table):
     """Places whose name the award row does not share, linked through detail-page phones."""

@@ -20,10 +20,11 @@ def query(name, sql=None, views=()):
 
 def metres(lat_a, lng_a, lat_b, lng_b):
     """SQL text of the great-circle distance."""
-    return (
-        f"(2 * 6371000.0e0 * asin(sqrt(least(1.0e0, pow(sin(radians({lat_b} - {lat_a}) / 2), 2) + "
-        f"cos(radians({lat_a})) * cos(radians({lat_b})) * pow(sin(radians({lng_b} - {lng_a}) / 2), 2)))))"
+    chord = (
+        f"(pow(sin(radians({lat_b} - {lat_a}) / 2), 2) + "
+        f"cos(radians({lat_a})) * cos(radians({lat_b})) * pow(sin(radians({lng_b} - {lng_a}) / 2), 2))"
     )
+    return f"(2 * 6371000.0e0 * asin(sqrt({chord})))"
 
 
 def folded(text):

@@ -42,7 +42,7 @@ VIEWS = {
                case when p_partkey % 2 = 0 then {PRICE} else '' end as lunch_price,
                p_retailprice as price,
                p_partkey % 29 = 0 as is_relocated,
-               case when p_partkey % 29 = 0 then concat('https://tabelog.com/tw/', {AREA}, '/', 13000001 + p_partkey, '/') else '' end as moved_to
+               case when p_partkey % 29 = 0 then concat('https://tabelog.com/tw/', {AREA}, '/', 13000020 + p_partkey, '/') else '' end as moved_to
         from {{part}}""",
     "listings_dup": """
         select listing_id, name, latitude, longitude, phone, address, url, rating, review_count, is_relocated
