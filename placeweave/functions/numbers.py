@@ -31,3 +31,8 @@ def number_text(value: Column) -> Column:
     number = finite_double(value)
     whole = number == F.floor(number)
     return F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string"))
+
+
+def micros(value: Column) -> Column:
+    """Microseconds since the epoch; a time without a zone counts in the session's zone."""
+    return F.unix_micros(value.cast("timestamp"))

@@ -94,7 +94,7 @@ def following(
 
 
 def running_max(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, step: float,
+    df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, step: int,
     out: str,
 ) -> DataFrame:
     """Over rows numbered i = 1, 2, … per key: the maximum of ``value_j - j * step`` plus i * step.

@@ -112,7 +112,9 @@ def page_nodes(pages: DataFrame, keep: list[str]) -> DataFrame:
 
 # --- expressions on node arrays ------------------------------------------------------------
 
-NODES = F.col("nodes")
+
+def all_nodes() -> Column:
+    return F.col("nodes")
 
 
 def attr(node: Column, name: str) -> Column:
@@ -123,9 +125,9 @@ def has_class(node: Column, name: str) -> Column:
     return F.array_contains(F.split(attr(node, "class"), f"[{WHITE}]+"), name)
 
 
-def inside(node: Column, nodes: Column = NODES) -> Column:
+def inside(node: Column) -> Column:
     """All nodes of the subtree, in document order."""
-    return F.slice(nodes, node["pos"] + 2, node["size"])
+    return F.slice(all_nodes(), node["pos"] + 2, node["size"])
 
 
 def node_text(node: Column, drop=None) -> Column:
@@ -175,7 +177,7 @@ def resolve(href: Column, base: str) -> Column:
 def links(nodes: DataFrame, key: str, where=is_link) -> DataFrame:
     """(key, pos, href, label) of every anchor in document order."""
     found = F.transform(
-        F.filter(NODES, where),
+        F.filter(all_nodes(), where),
         lambda a: F.struct(a["pos"].alias("pos"), strip(attr(a, "href")).alias("href"),
                            node_text(a).alias("label")),
     )
@@ -190,9 +192,9 @@ def first_links(nodes: DataFrame, key: str, top: int = 6, canonical=listing_url)
 
 def popularity_lists(nodes: DataFrame, key: str, top: int = 20) -> DataFrame:
     """(key, scope, urls) of regional ranking pages."""
-    title = node_text(first(F.filter(NODES, lambda n: n["tag"] == "title")))
+    title = node_text(first(F.filter(all_nodes(), lambda n: n["tag"] == "title")))
     scope = strip(F.regexp_extract(F.coalesce(title, F.lit("")), "推薦適合在(.+?)美食餐廳", 1))
-    anchors = F.filter(NODES, lambda n: is_link(n) & has_class(n, "list-rst__rst-name-target"))
+    anchors = F.filter(all_nodes(), lambda n: is_link(n) & has_class(n, "list-rst__rst-name-target"))
     urls = F.transform(
         anchors, lambda a: listing_url(resolve(attr(a, "href"), "https://tabelog.com"))
     )
@@ -218,7 +220,7 @@ def nearby_cards(nodes: DataFrame, key: str, top: int = 20) -> DataFrame:
     def heading(n):
         return (n["tag"] == "h4") | (n["tag"] == "h5")
 
-    heads = F.filter(NODES, heading)
+    heads = F.filter(all_nodes(), heading)
 
     def chosen(n):
         headed = F.exists(
@@ -228,14 +230,14 @@ def nearby_cards(nodes: DataFrame, key: str, top: int = 20) -> DataFrame:
 
     def card_text(n):
         around = F.filter(
-            NODES,
+            all_nodes(),
             lambda c: c["tag"].isin("li", "div") & (c["pos"] < n["pos"])
             & (n["pos"] <= c["pos"] + c["size"]),
         )
         return F.coalesce(node_text(F.get(around, F.size(around) - 1)), F.lit(""))
 
     rows = F.transform(
-        F.filter(NODES, chosen),
+        F.filter(all_nodes(), chosen),
         lambda n: F.struct(
             n["pos"].alias("pos"), listing_url(attr(n, "href")).alias("url"),
             node_text(n).alias("name"), card_text(n).alias("text"),
@@ -264,7 +266,7 @@ def nearby_cards(nodes: DataFrame, key: str, top: int = 20) -> DataFrame:
 
 def award_cards(nodes: DataFrame, key: str) -> DataFrame:
     """Award rows of a list page: cards inside the result container that have id, name and url."""
-    container = first(F.filter(NODES, lambda n: has_class(n, "js-restaurant__list_items")))
+    container = first(F.filter(all_nodes(), lambda n: has_class(n, "js-restaurant__list_items")))
     cards = F.filter(inside(container), lambda n: has_class(n, "js-restaurant__list_item"))
 
     def classed(card, name):
@@ -310,10 +312,10 @@ def award_cards(nodes: DataFrame, key: str) -> DataFrame:
 
 def award_totals(nodes: DataFrame, key: str) -> DataFrame:
     """(key, declared, last_page) of a list page."""
-    heading = node_text(first(F.filter(NODES, lambda n: has_class(n, "search-results__stats"))))
+    heading = node_text(first(F.filter(all_nodes(), lambda n: has_class(n, "search-results__stats"))))
     declared = F.regexp_extract(F.coalesce(heading, F.lit("")), "共\\s*([0-9,]+)\\s*個餐廳", 1)
     numbers = F.transform(
-        F.filter(NODES, is_link),
+        F.filter(all_nodes(), is_link),
         lambda a: F.regexp_extract(attr(a, "href"), "/restaurants/page/(\\d+)", 1).try_cast("int"),
     )
     return nodes.select(
@@ -324,7 +326,10 @@ def award_totals(nodes: DataFrame, key: str) -> DataFrame:
     )
 
 
-ENTITY = "struct<found:boolean,telephone:string,latitude:double,longitude:double>"
+ENTITY_TYPE = (
+    T.StructType().add("found", "boolean").add("telephone", "string")
+    .add("latitude", "double").add("longitude", "double")
+)
 
 
 def _entities(value, deep):
@@ -351,7 +356,7 @@ def _number(value):
         return None
 
 
-@F.pandas_udf(ENTITY)
+@F.pandas_udf(ENTITY_TYPE)
 def _linked_entity(scripts: pd.Series) -> pd.DataFrame:
     rows = []
     for texts in scripts:
@@ -379,7 +384,7 @@ def _linked_entity(scripts: pd.Series) -> pd.DataFrame:
 def linked_entity() -> Column:
     """struct(found, telephone, latitude, longitude) from the page's JSON-LD; bad JSON is skipped."""
     scripts = F.filter(
-        NODES, lambda n: (n["tag"] == "script") & (attr(n, "type") == "application/ld+json")
+        all_nodes(), lambda n: (n["tag"] == "script") & (attr(n, "type") == "application/ld+json")
     )
     return _linked_entity(
         F.transform(
@@ -392,7 +397,7 @@ def linked_entity() -> Column:
 def award_details(nodes: DataFrame, key: str) -> DataFrame:
     """(key, phone, website) of detail pages that describe a restaurant."""
     button = first(
-        F.filter(NODES, lambda n: is_link(n) & (attr(n, "data-event") == "CTA_website"))
+        F.filter(all_nodes(), lambda n: is_link(n) & (attr(n, "data-event") == "CTA_website"))
     )
     website = strip(attr(button, "href"))
     read = nodes.select(key, linked_entity().alias("entity"), website.alias("website"))
@@ -409,7 +414,7 @@ def page_point() -> Column:
     """struct(latitude, longitude): data attributes, else JSON-LD."""
     basics = first(
         F.filter(
-            NODES,
+            all_nodes(),
             lambda n: (attr(n, "id") == "js-basics") & F.map_contains_key(n["attrs"], "data-lat")
             & F.map_contains_key(n["attrs"], "data-lng"),
         )
@@ -429,7 +434,7 @@ def info_map() -> Column:
     def cell(row, tag):
         return first(F.filter(inside(row), lambda n: n["tag"] == tag))
 
-    rows = F.filter(NODES, lambda n: n["tag"] == "tr")
+    rows = F.filter(all_nodes(), lambda n: n["tag"] == "tr")
     entries = F.transform(
         rows,
         lambda r: F.struct(
@@ -449,7 +454,7 @@ def award_history(nodes: DataFrame, key: str) -> DataFrame:
 
     def badge(n):
         around = F.filter(
-            NODES,
+            all_nodes(),
             lambda d: (d["tag"] == "div") & (d["pos"] < n["pos"])
             & (n["pos"] <= d["pos"] + d["size"])
             & attr(d, "class").rlike("rdheader-badge-award|rstinfo-table-badge-hyakumeiten"),
@@ -462,7 +467,7 @@ def award_history(nodes: DataFrame, key: str) -> DataFrame:
         return F.coalesce(node_text(tip), node_text(n))
 
     anchors = F.filter(
-        NODES, lambda n: (n["tag"] == "a") & attr(n, "href").rlike(fixed.AWARD_LINK_PATTERN)
+        all_nodes(), lambda n: (n["tag"] == "a") & attr(n, "href").rlike(fixed.AWARD_LINK_PATTERN)
     )
     rows = F.transform(
         anchors,
@@ -476,7 +481,7 @@ def award_history(nodes: DataFrame, key: str) -> DataFrame:
 
 def relocation() -> Column:
     """struct(is_relocated, to_name, to_url) from an explicit notice only."""
-    notice = first(F.filter(NODES, lambda n: has_class(n, "rst-status-alert")))
+    notice = first(F.filter(all_nodes(), lambda n: has_class(n, "rst-status-alert")))
     moved = F.coalesce(node_text(notice).contains(fixed.RELOCATION_NOTICE), F.lit(False))
     target = first(F.filter(inside(notice), is_link))
     return F.struct(
@@ -490,16 +495,16 @@ def relocation() -> Column:
 def map_targets(nodes: DataFrame, key: str) -> DataFrame:
     """(key, address, latitude, longitude) of map frames; without an address there is no row."""
     label = first(
-        F.filter(NODES, lambda n: (n["tag"] == "strong") & node_text(n).contains("住所"))
+        F.filter(all_nodes(), lambda n: (n["tag"] == "strong") & node_text(n).contains("住所"))
     )
     start = label["pos"] + label["size"] + 2
-    parent = F.get(NODES, F.greatest(label["parent"], F.lit(0)))
-    end = F.when(label["parent"] < 0, F.size(NODES)).otherwise(parent["pos"] + parent["size"] + 1)
-    after = F.slice(NODES, start, F.greatest(end - start + 1, F.lit(0)))
+    parent = F.get(all_nodes(), F.greatest(label["parent"], F.lit(0)))
+    end = F.when(label["parent"] < 0, F.size(all_nodes())).otherwise(parent["pos"] + parent["size"] + 1)
+    after = F.slice(all_nodes(), start, F.greatest(end - start + 1, F.lit(0)))
     breaks = F.filter(
         after, lambda n: (n["tag"] == "br") & (n["parent"] == label["parent"])
     )
-    stop = F.coalesce(first(breaks)["pos"], F.size(NODES))
+    stop = F.coalesce(first(breaks)["pos"], F.size(all_nodes()))
     texts = F.transform(
         F.filter(after, lambda n: (n["tag"] == "#text") & (n["pos"] < stop)),
         lambda n: strip(n["text"]),
@@ -524,10 +529,10 @@ def review_texts(nodes: DataFrame, key: str) -> DataFrame:
     """(key, pos, text): anonymous review bodies; author, picture and link nodes never count."""
 
     def items(tag, name):
-        return F.filter(NODES, lambda n: (n["tag"] == tag) & has_class(n, name))
+        return F.filter(all_nodes(), lambda n: (n["tag"] == tag) & has_class(n, name))
 
     choices = [items("div", "rvw-item"), items("li", "rvw-item"), items("div", "js-rvw-item")]
-    chosen = F.coalesce(*[F.when(F.size(c) > 0, c) for c in choices], F.filter(NODES, lambda n: F.lit(False)))
+    chosen = F.coalesce(*[F.when(F.size(c) > 0, c) for c in choices], F.filter(all_nodes(), lambda n: F.lit(False)))
 
     def hidden(n):
         authors = ["rvw-item__rvwr-name", "rvw-item__name", "rvw-item__photo", "rvw-item__img"]
@@ -541,16 +546,14 @@ def review_texts(nodes: DataFrame, key: str) -> DataFrame:
 
     def best(item, names):
         """First non-empty text among the first node of each (tag, class), in that order."""
-        options = []
-        for tag, name in names:
-            hit = first(
-                F.filter(
-                    inside(item),
-                    lambda n, tag=tag, name=name: has_class(n, name)
-                    & (F.lit(True) if tag is None else n["tag"] == tag),
-                )
-            )
-            options.append(none_if_empty(clean(hit)))
+        def matching(tag, name):
+            def test(n):
+                return has_class(n, name) if tag is None else has_class(n, name) & (n["tag"] == tag)
+
+            return test
+
+        hits = [first(F.filter(inside(item), matching(tag, name))) for tag, name in names]
+        options = [none_if_empty(clean(hit)) for hit in hits]
         return F.coalesce(*options, F.lit(""))
 
     def fallback(item):

@@ -4,6 +4,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from placeweave.functions.numbers import micros
+
 
 
 def mark_fresh(
@@ -15,7 +17,7 @@ def mark_fresh(
     are folded on their own, each stretch in time order, with one number of state per stretch.
     """
     ttl = int(ttl_seconds * 1_000_000)
-    stretches = _stretches(events.withColumn("micros", F.unix_micros(ts)), key, ttl, tie)
+    stretches = _stretches(events.withColumn("micros", micros(F.col(ts))), key, ttl, tie)
     ordered = stretches.repartition(key, "stretch").sortWithinPartitions(
         key, "stretch", "micros", tie
     )
@@ -25,12 +27,12 @@ def mark_fresh(
         last, created = None, None
         for batch in batches:
             hits = []
-            for name, stretch, micros in zip(batch[key], batch["stretch"], batch["micros"]):
+            for name, stretch, at in zip(batch[key], batch["stretch"], batch["micros"]):
                 if (name, stretch) != last:
                     last, created = (name, stretch), None
-                hit = created is not None and micros - created <= ttl
+                hit = created is not None and at - created <= ttl
                 if not hit:
-                    created = micros
+                    created = at
                 hits.append(hit)
             yield batch.drop(columns=["stretch", "micros"]).assign(hit=hits)
 
@@ -83,11 +85,11 @@ def fresh_stream(
         ready = sorted(e for e in waiting if e[0] < mark_us)
         waiting = sorted(e for e in waiting if e[0] >= mark_us)
         out = []
-        for micros, event in ready:
-            hit = created is not None and micros - created <= ttl_us
+        for at, event in ready:
+            hit = created is not None and at - created <= ttl_us
             if not hit:
-                created = micros
-            out.append((keys[0], event, micros, hit))
+                created = at
+            out.append((keys[0], event, at, hit))
         if waiting or (created is not None and created + ttl_us >= mark_us):
             state.update((created, [e[0] for e in waiting], [e[1] for e in waiting]))
             wake_us = waiting[0][0] if waiting else created + ttl_us
@@ -97,7 +99,7 @@ def fresh_stream(
         yield pd.DataFrame(out, columns=[key, "event_id", "micros", "hit"])
 
     kind = dict(events.dtypes)[key]
-    marked = events.withColumn("micros", F.unix_micros("ts")).withWatermark("ts", lateness)
+    marked = events.withColumn("micros", micros(F.col("ts"))).withWatermark("ts", lateness)
     return marked.groupBy(key).applyInPandasWithState(
         fold,
         f"{key} {kind}, event_id bigint, micros bigint, hit boolean",
@@ -121,13 +123,13 @@ def debounce_stream(
         waiting.sort()
         mark_us = state.getCurrentWatermarkMs() * 1000
         out, kept = [], []
-        for i, (micros, event) in enumerate(waiting):
-            followed = i + 1 < len(waiting) and waiting[i + 1][0] - micros <= delay_us
-            settled = micros + delay_us < mark_us
+        for i, (at, event) in enumerate(waiting):
+            followed = i + 1 < len(waiting) and waiting[i + 1][0] - at <= delay_us
+            settled = at + delay_us < mark_us
             if settled and not followed:
-                out.append((keys[0], event, micros))
+                out.append((keys[0], event, at))
             elif not settled:
-                kept.append((micros, event))
+                kept.append((at, event))
         if kept:
             state.update(([e[0] for e in kept], [e[1] for e in kept]))
             state.setTimeoutTimestamp(max((kept[0][0] + delay_us) // 1000 + 1, mark_us // 1000 + 1))
@@ -136,7 +138,7 @@ def debounce_stream(
         yield pd.DataFrame(out, columns=[key, "event_id", "micros"])
 
     kind = dict(events.dtypes)[key]
-    marked = events.withColumn("micros", F.unix_micros("ts")).withWatermark("ts", lateness)
+    marked = events.withColumn("micros", micros(F.col("ts"))).withWatermark("ts", lateness)
     return marked.groupBy(key).applyInPandasWithState(
         fold,
         f"{key} {kind}, event_id bigint, micros bigint",
@@ -150,7 +152,7 @@ def stale_first(
     requests: DataFrame, store: DataFrame, key: str, now, ttl_seconds: float
 ) -> tuple[DataFrame, DataFrame]:
     """(answers from the newest stored result within its lifetime, requests left to do)."""
-    age = F.unix_micros(now) - F.unix_micros("created_at")
+    age = micros(now) - micros(F.col("created_at"))
     live = store.filter(age <= int(ttl_seconds * 1_000_000))
     newest = live.groupBy(key).agg(
         F.max_by("value", "created_at").alias("value"), F.max("created_at").alias("created_at")

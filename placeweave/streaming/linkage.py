@@ -4,19 +4,20 @@ from pyspark.sql import DataFrame
 
 from placeweave.operators.awards import award_keys, choose_award, linkage_pairs, probes
 from placeweave.operators.validate import accepted, check_places, drop_overseas
+from placeweave.session import cut_lineage
 from placeweave.sources.requests import read_requests, unpack
 
 
 def link_requests(bodies: DataFrame, prepared_snapshot: DataFrame) -> DataFrame:
     """One micro-batch: request bodies of (place_id, body) to accepted awards."""
     places = accepted(check_places(unpack(read_requests(bodies), "place_id")))
-    pairs = linkage_pairs(probes(drop_overseas(places)), prepared_snapshot)
-    return choose_award(pairs)
+    probe = cut_lineage(probes(drop_overseas(places)))
+    return choose_award(linkage_pairs(probe, prepared_snapshot))
 
 
 def link_stream(bodies: DataFrame, snapshot: DataFrame, path: str, checkpoint: str):
     """Start the stream; a micro-batch that runs twice replaces its own output."""
-    keys = award_keys(snapshot)
+    keys = cut_lineage(award_keys(snapshot))
 
     def write(batch, batch_number):
         linked = link_requests(batch, keys)

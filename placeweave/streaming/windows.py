@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placeweave import fixed
+from placeweave.functions.numbers import micros
 from placeweave.operators.skew import following, running_max
 
 
@@ -10,16 +11,12 @@ def day_of(column: str) -> Column:
     return F.to_date(column)
 
 
-def seconds(column: str) -> Column:
-    return F.unix_micros(column) / 1e6
-
-
 def debounce(
     events: DataFrame, keys: list[str], delay_ms: int, ts: str = "ts", tie: str = "event_id"
 ) -> DataFrame:
     """Events that no later event of their key follows within the delay."""
     later = following(events, keys, [ts, tie], day_of(ts), ts, "later_ts")
-    gap_ms = (F.unix_micros("later_ts") - F.unix_micros(ts)) / 1000
+    gap_ms = (micros(F.col("later_ts")) - micros(F.col(ts))) / 1000
     return later.filter(F.col("later_ts").isNull() | (gap_ms > delay_ms)).drop("later_ts")
 
 
@@ -37,7 +34,7 @@ def pace(
     requests: DataFrame, host: str, ts: str = "ts", tie: str = "event_id",
     gap_s: float = fixed.HOST_GAP_SECONDS,
 ) -> DataFrame:
-    """Start time in epoch seconds: not before arrival, and a gap after the host's last start."""
+    """``start_us``: not before arrival, and a gap after the host's last start, in microseconds."""
     return running_max(
-        requests, [host], [ts, tie], day_of(ts), seconds(ts), gap_s, "start_s"
+        requests, [host], [ts, tie], day_of(ts), micros(F.col(ts)), int(gap_s * 1_000_000), "start_us"
     )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from placeweave.functions.numbers import micros
 from placeweave.streaming import freshness, windows
 from placeweave.streaming.linkage import link_requests
 from placeweave.operators.awards import award_keys
@@ -27,7 +28,7 @@ def ttl_freshness(table):
 def debounce_sql(ms):
     return f"""
     with l as (select event_id, user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) as next_ts from events)
-    select event_id, user_id from l where next_ts is null or epoch_us(next_ts) - epoch_us(ts) > {ms} * 1000"""
+    select event_id, user_id from l where next_ts is null or epoch_us(next_ts) - epoch_us(ts) > {ms}::bigint * 1000"""
 
 
 # The proxy events lie minutes apart, so the delays are scaled to hours.
@@ -46,17 +47,16 @@ def debounced_recommendations(table):
                       lead(ts) over (partition by user_id, event_type order by ts, event_id) as next_ts from events)
     select event_id, coalesce(next_ts < ends, false) as cancelled from l""")
 def superseded(table):
-    micros = F.unix_micros("ts") + F.round(c("value") * 3600 * 1_000_000).cast("bigint")
-    rows = table("events").select("event_id", "user_id", "event_type", c("ts").alias("start_ts"), F.timestamp_micros(micros).alias("end_ts"))
+    ends = micros(c("ts")) + F.round(c("value") * 3600 * 1_000_000).cast("bigint")
+    rows = table("events").select("event_id", "user_id", "event_type", c("ts").cast("timestamp").alias("start_ts"), F.timestamp_micros(ends).alias("end_ts"))
     return windows.supersede(rows, ["user_id", "event_type"]).select("event_id", "cancelled")
 
 
 @query("t04_paced_starts", """
-    with r as (select event_id, event_type, epoch_us(ts) / 1e6 as t, row_number() over (partition by event_type order by ts, event_id) as rn from events)
-    select event_id, event_type, round(max(t - rn * 600.0e0) over (partition by event_type order by rn rows between unbounded preceding and current row) + rn * 600.0e0, 4) as start_s from r""")
+    with r as (select event_id, event_type, epoch_us(ts) as t, row_number() over (partition by event_type order by ts, event_id) as rn from events)
+    select event_id, event_type, max(t - rn * 600000000) over (partition by event_type order by rn rows between unbounded preceding and current row) + rn * 600000000 as start_us from r""")
 def paced(table):
-    rows = windows.pace(table("events").select("event_id", "event_type", "ts"), "event_type", gap_s=600.0)
-    return rows.select("event_id", "event_type", F.round("start_s", 4).alias("start_s"))
+    return windows.pace(table("events").select("event_id", "event_type", "ts"), "event_type", gap_s=600.0).drop("ts")
 
 
 STORE = """

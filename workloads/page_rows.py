@@ -39,8 +39,8 @@ def all_links(table):
     select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) = '' as untitled, lower(regexp_extract(html, '<html lang="([a-z]+)"', 1)) as lang from pages""")
 def page_corpus(table):
     nodes = pages.page_nodes(table("pages"), ["page_id"])
-    title = pages.first(F.filter(pages.NODES, lambda n: n["tag"] == "title"))
-    root = pages.first(F.filter(pages.NODES, lambda n: n["tag"] == "html"))
+    title = pages.first(F.filter(pages.all_nodes(), lambda n: n["tag"] == "title"))
+    root = pages.first(F.filter(pages.all_nodes(), lambda n: n["tag"] == "html"))
     return nodes.select("page_id", (F.coalesce(pages.node_text(title), F.lit("")) == "").alias("untitled"),
                         pages.attr(root, "lang").alias("lang"))
 
