@@ -103,6 +103,7 @@ def running_max(
     key, so a busy key is spread over its buckets.
     """
     df = df.withColumn("bucket", bucket).withColumn("amount", value)
+    step = F.lit(step).cast("bigint")
     inside = Window.partitionBy(*keys, "bucket").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = df.withColumn("turn", F.row_number().over(inside)).withColumn(

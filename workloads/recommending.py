@@ -174,8 +174,9 @@ LISTS_SQL = SLUG_SQL + """
 
 
 def category_lists(table):
-    rows = with_genres(table("listings")).withColumn("slug", F.explode(recommend.genre_slugs(c("genres"))))
-    return rows.select("area_path", "slug", (-c("listing_id")).alias("row_pos"), "url", "name", "rating", "genres")
+    slugs = recommend.genre_slugs(c("genres"))
+    rows = cut_lineage(with_genres(table("listings")).withColumn("slugs", slugs))
+    return rows.withColumn("slug", F.explode("slugs")).select("area_path", "slug", (-c("listing_id")).alias("row_pos"), "url", "name", "rating", "genres")
 
 
 def category_pool(table):
@@ -185,15 +186,9 @@ def category_pool(table):
 
 
 @query("j09_category_candidates", LISTS_SQL + """
-    select seed_id, url, count(*) as copies from read group by all""", views=["listings"])
+    select distinct seed_id, url from read""", views=["listings"])
 def category_candidates(table):
-    pool = category_pool(table)
-    seeds = with_genres(table("listings")).select(
-        c("listing_id").alias("seed_id"), "area_path", F.explode(recommend.genre_slugs(c("genres"))).alias("slug"))
-    lists = cut_lineage(category_lists(table).select("area_path", "slug", "url"))
-    copies = cut_lineage(seeds).join(lists, ["area_path", "slug"])
-    copies = copies.groupBy("seed_id", "url").agg(F.count(F.lit(1)).alias("copies"))
-    return pool.select("seed_id", "url").join(copies, ["seed_id", "url"])
+    return category_pool(table).select("seed_id", "url")
 
 
 @query("a04_merged_lists", LISTS_SQL + """
