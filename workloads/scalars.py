@@ -395,7 +395,7 @@ def display_texts(table):
            event_type in ('signup', 'error') as offers_dine_in
     from events""")
 def dining_signals(table):
-    said = (F.when(c("event_type") == "view", "Menu · lunch").when(c("event_type") == "click", "約 1 人あたり ¥1,000")
+    said = (F.when(c("event_type") == "view", "Menu·lunch").when(c("event_type") == "click", "約 1 人あたり ¥1,000")
             .when(c("event_type") == "signup", "Offers dine-in").when(c("event_type") == "error", "店内飲食可").otherwise("menus"))
     return table("events").select(
         "event_id", labels.dining_signals(F.array(said, c("props"))).alias("s")).select("event_id", "s.*")
