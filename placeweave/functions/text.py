@@ -24,10 +24,15 @@ def strip(value: Column) -> Column:
 
 def squeeze(value: Column, limit: int | None = None) -> Column:
     """Collapse white space, strip, and cut to ``limit`` characters."""
-    text = strip(F.regexp_replace(text_or_empty(value), f"[{WHITE}]+", " "))
+    text = F.trim(F.regexp_replace(text_or_empty(value), f"[{WHITE}]+", " "))
     return text if limit is None else F.left(text, F.lit(limit))
 
 
+def has_text(value: Column) -> Column:
+    """Whether anything but white space is there; stops at the first such character."""
+    return text_or_empty(value).rlike(f"[^{WHITE}]")
+
+
 def none_if_empty(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 

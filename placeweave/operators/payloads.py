@@ -6,7 +6,7 @@ from placeweave import fixed
 from placeweave.functions.labels import ascii_numerals, translate_label
 from placeweave.functions.nearby import texts
 from placeweave.functions.numbers import finite_double, not_nan, to_double, to_integer
-from placeweave.functions.text import none_if_empty, squeeze, text_or_empty
+from placeweave.functions.text import has_text, none_if_empty, squeeze, text_or_empty
 from placeweave.operators.history import award_years
 from placeweave.operators.linkage import column_or
 
@@ -95,11 +95,10 @@ def budget_texts(
     the list when fewer than ``tail`` characters remain. Kept texts are a prefix of the non-empty
     ones, so only the first ``most`` of a group leave each map task.
     """
-    cut = reviews.withColumn("kept_text", squeeze(F.col(text), width)).filter(
-        F.col("kept_text") != ""
-    )
     in_order = Window.partitionBy(group).orderBy(order)
-    cut = cut.withColumn("turn", F.row_number().over(in_order)).filter(F.col("turn") <= most)
+    cut = reviews.filter(has_text(F.col(text))).withColumn("turn", F.row_number().over(in_order))
+    # Only texts that can be kept are cleaned.
+    cut = cut.filter(F.col("turn") <= most).withColumn("kept_text", squeeze(F.col(text), width))
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.length("kept_text")).over(earlier), F.lit(0))
     left_over = F.lit(total) - F.col("before")
