@@ -198,9 +198,9 @@ def request_bodies(table):
 
 
 @query("u01_union_new_keys", """
-    select listing_id, name, phone from listings_dup where listing_id < 1000000
+    select listing_id, name, coalesce(phone, '') as phone from listings_dup where listing_id < 1000000
     union all
-    select listing_id, name, phone from listings_dup d where listing_id >= 1000000
+    select listing_id, name, coalesce(phone, '') from listings_dup d where listing_id >= 1000000
       and coalesce(phone, '') not in (select phone from listings_dup where listing_id < 1000000 and phone is not null)""",
     views=["listings_dup"])
 def union_new(table):
@@ -231,10 +231,10 @@ def newest_kept(table):
 
 
 @query("a09_first_per_key", """
-    with keyed as (select *, row_number() over (partition by user_id, event_type, cast(value as integer) order by event_id) as rn from events)
-    select user_id, event_type, cast(value as integer) as amount, event_id from keyed where rn = 1""")
+    with keyed as (select *, row_number() over (partition by user_id, event_type, cast(floor(value) as integer) order by event_id) as rn from events)
+    select user_id, event_type, cast(floor(value) as integer) as amount, event_id from keyed where rn = 1""")
 def first_per_key(table):
-    rows = table("events").select("user_id", "event_type", F.round("value").cast("int").alias("amount"), "event_id")
+    rows = table("events").select("user_id", "event_type", F.floor("value").cast("int").alias("amount"), "event_id")
     return records.keep_first(rows, ["user_id", "event_type", "amount"], "event_id")
 
 
