@@ -89,7 +89,6 @@ def area_of(text):
 
 def website(text):
     """SQL text of the comparable form of an official site."""
-    shape = "^(?i)(https?)://([^/?#]*)([^?#]*)"
     shape = "(?i)^(https?)://([^/?#]*)([^?#]*)"
     scheme = f"lower(regexp_extract(trim({text}), '{shape}', 1))"
     server = f"regexp_replace(regexp_extract(trim({text}), '{shape}', 2), '^.*@', '')"
