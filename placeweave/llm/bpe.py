@@ -14,7 +14,7 @@ from placeweave.llm.native import fresh, read
 
 # Fixed value: how byte-level BPE cuts a text into words. White space is spelt out, because libraries differ
 # in whether \s holds U+001C to U+001F.
-SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUTS = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACE + r"\p{L}\p{N}]+|[" + SPACE + r"]+(?![^"
     + SPACE + r"])|[" + SPACE + r"]+"

@@ -1,8 +1,9 @@
 """Token ids in length-delimited binary records with masked checksums, and an offset index per file.
 
 A data file is a row of records: length (8 bytes), masked checksum of the length (4), payload, masked
-checksum of the payload (4); all little-endian. A payload is the document id (8), a flag (4: 1 if the id is
-null) and the token ids as unsigned 32-bit integers. The checksum is CRC-32, turned right by 15 bits and
+checksum of the payload (4); all little-endian. A payload is the document id (8), a flag (2: 1 if the id is
+null), the bytes per token id (2) and the token ids as unsigned integers of two bytes if all of the
+record's ids allow it, else four. The checksum is CRC-32, turned right by 15 bits and
 raised by a constant, so that checksums of data that hold checksums stay apart. The index file has one
 entry of 24 bytes per record in the same order: document id, place of the record in the data file, and
 number of ids before it in the file.
@@ -25,7 +26,7 @@ from placeweave.llm.store import new_folder
 MASK = 0xA282EAD8
 END = 1
 MOST_WORDS = 300_000
-HEAD, TAIL, FRONT, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qI"), struct.Struct("<qQQ")
+HEAD, TAIL, FRONT, ENTRY = "<QI", "<I", "<qHH", "<qQQ"
 
 
 def masked(data):
@@ -35,20 +36,31 @@ def masked(data):
 
 def framed(payload):
     length = struct.pack("<Q", len(payload))
-    return length + TAIL.pack(masked(length)) + payload + TAIL.pack(masked(payload))
+    return length + struct.pack(TAIL, masked(length)) + payload + struct.pack(TAIL, masked(payload))
 
 
 def unframed(data, at):
     """(payload, place of the next record); raises if a checksum differs."""
-    length, check = HEAD.unpack_from(data, at)
+    length, check = struct.unpack_from(HEAD, data, at)
     if masked(data[at : at + 8]) != check:
         raise ValueError(f"damaged length at {at}")
     payload = data[at + 12 : at + 12 + length]
-    if len(payload) != length or masked(payload) != TAIL.unpack_from(data, at + 12 + length)[0]:
+    if len(payload) != length or masked(payload) != struct.unpack_from(TAIL, data, at + 12 + length)[0]:
         raise ValueError(f"damaged record at {at}")
     return payload, at + 16 + length
 
 
+def packed(key, ids):
+    width = 2 if int(ids.max(initial=0)) < 65536 else 4
+    return struct.pack(FRONT, key or 0, key is None, width) + ids.astype(f"<u{width}").tobytes()
+
+
+def unpacked(payload):
+    """(document id, ids as unsigned 32-bit integers) of a payload."""
+    key, none, width = struct.unpack_from(FRONT, payload)
+    return None if none else key, np.frombuffer(payload[struct.calcsize(FRONT) :], f"<u{width}").astype("<u4")
+
+
 class Library:
     """The tokenizers library; each distinct word between ASCII white space is encoded once per task.
 
@@ -110,11 +122,11 @@ def written(path, folder):
             for batch in slices(batches, "text", 1_000_000):
                 encoded = library.encode([t or "" for t in batch.column("text").to_pylist()])
                 for key, own in zip(batch.column("key").to_pylist(), encoded):
-                    own += struct.pack("<I", END)
-                    record = framed(FRONT.pack(key or 0, key is None) + own)
-                    index.write(ENTRY.pack(key or 0, at, ids))
+                    own = np.append(np.frombuffer(own, "<u4"), np.uint32(END))
+                    record = framed(packed(key, own))
+                    index.write(struct.pack(ENTRY, key or 0, at, ids))
                     data.write(record)
-                    docs, ids, at = docs + 1, ids + len(own) // 4, at + len(record)
+                    docs, ids, at = docs + 1, ids + len(own), at + len(record)
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [docs], "ids": [ids], "size": [at]})
 
     return run
@@ -151,19 +163,18 @@ def read_back(batches):
             files, base = fs.FileSystem.from_uri(name)
             with files.open_input_file(base + ".idx") as index, files.open_input_file(base + ".rec") as data:
                 size = data.size()
-                while chunk := index.read(ENTRY.size * 4096):
-                    entries = list(ENTRY.iter_unpack(chunk))
+                while chunk := index.read(struct.calcsize(ENTRY) * 4096):
+                    entries = list(struct.iter_unpack(ENTRY, chunk))
                     rows = []
                     for k, (doc, at, start) in enumerate(entries):
                         data.seek(at)
-                        length, _ = HEAD.unpack(data.read(HEAD.size))
+                        length, _ = struct.unpack(HEAD, data.read(struct.calcsize(HEAD)))
                         data.seek(at)
                         payload, _ = unframed(data.read(16 + min(length, size)), 0)
-                        key, none = FRONT.unpack_from(payload)
-                        ids = payload[FRONT.size :]
-                        if key != doc:
+                        key, ids = unpacked(payload)
+                        if (key or 0) != doc:
                             raise ValueError(f"index and record differ in {name}")
-                        rows.append((None if none else key, before + start, len(ids) // 4, zlib.crc32(ids)))
+                        rows.append((key, before + start, len(ids), zlib.crc32(ids.tobytes())))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
 
@@ -183,11 +194,11 @@ def read_at(file: str, places: list[int]) -> list[tuple[int | None, list[int]]]:
     with files.open_input_file(base + ".rec") as data:
         for at in places:
             data.seek(at)
-            length, _ = HEAD.unpack(data.read(HEAD.size))
+            length, _ = struct.unpack(HEAD, data.read(struct.calcsize(HEAD)))
             data.seek(at)
             payload, _ = unframed(data.read(16 + min(length, data.size())), 0)
-            key, none = FRONT.unpack_from(payload)
-            out.append((None if none else key, np.frombuffer(payload[FRONT.size :], "<u4").tolist()))
+            key, ids = unpacked(payload)
+            out.append((key, ids.tolist()))
     return out
 
 
