@@ -1,6 +1,6 @@
 """The queries of this subpackage over the driver tables, and their SQL where SQL can say them."""
 
-from placeweave.llm import bpe, credentials, decontaminate, extraction, neardup, pii, quality, records
+from placeweave.llm import bpe, credentials, decontaminate, extraction, neardup, pii, quality, records, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.run,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_html_extraction": extraction.run,
     "op5_decontamination": decontaminate.run,
     "op6_near_duplicates": neardup.run,
+    "op7_toxicity": toxicity.run,
     "op8_pii": pii.run,
     "op9_bpe": bpe.run,
     "op10_records": records.run,
