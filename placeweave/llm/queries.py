@@ -1,6 +1,8 @@
 """The queries of this subpackage over the driver tables, and their SQL where SQL can say them."""
 
-from placeweave.llm import bpe, credentials, decontaminate, extraction, neardup, pii, quality, records, toxicity
+from placeweave.llm import (
+    bpe, credentials, decontaminate, extraction, neardup, oracles, pii, quality, records, toxicity,
+)
 
 QUERIES = {
     "op1_quality_rules": quality.run,
@@ -13,4 +15,8 @@ QUERIES = {
     "op9_bpe": bpe.run,
     "op10_records": records.run,
 }
-ORACLES = {}
+ORACLES = {
+    "op1_quality_rules": oracles.QUALITY,
+    "op2_secret_scans": oracles.SECRETS,
+    "op5_decontamination": oracles.LEAKS,
+}
