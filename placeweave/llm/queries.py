@@ -1,13 +1,15 @@
 """The queries of this subpackage over the driver tables, and their SQL where SQL can say them."""
 
 from placeweave.llm import (
-    bpe, credentials, decontaminate, extraction, neardup, oracles, pii, quality, records, toxicity,
+    bpe, credentials, decontaminate, extraction, neardup, oracles, pii, quality, records, site_quality,
+    toxicity,
 )
 
 QUERIES = {
     "op1_quality_rules": quality.run,
     "op2_secret_scans": credentials.run,
     "op3_html_extraction": extraction.run,
+    "op4_quality_classifier": site_quality.run,
     "op5_decontamination": decontaminate.run,
     "op6_near_duplicates": neardup.run,
     "op7_toxicity": toxicity.run,
