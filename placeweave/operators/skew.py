@@ -4,51 +4,70 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_SPLIT = 500_000
-MOST_HOT_KEYS = 10_000
+#: A task of a split join meets at most about so many pairs of one key.
+PAIRS_PER_BLOCK = 25_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_split: int, splits_name: str) -> DataFrame:
-    """Keys with more rows than one task should take; at most MOST_HOT_KEYS, so it may broadcast.
+def block_counts(left_rows: Column, right_rows: Column, pairs: int) -> tuple[Column, Column]:
+    """(left splits, right splits) so that a block of one key holds at most ``pairs`` pairs.
 
-    Keys beyond that bound simply stay unsplit; no row is lost.
+    A side smaller than the square root of ``pairs`` stays whole, which copies the fewest rows.
     """
+    side = max(1, int(pairs**0.5))
+
+    def splits(own, other):
+        share = F.floor(F.lit(pairs) / F.least(other, F.lit(side)))
+        return F.when(own <= side, 1).otherwise(F.ceil(own / share)).cast("int")
+
+    small = left_rows * right_rows <= pairs
     return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > rows_per_split)
-        .orderBy(F.desc("rows"), *keys)
-        .limit(MOST_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("rows") / rows_per_split).cast("int").alias(splits_name))
+        F.when(small, 1).otherwise(splits(left_rows, right_rows)),
+        F.when(small, 1).otherwise(splits(right_rows, left_rows)),
+    )
+
+
+def hot_keys(left: DataFrame, right: DataFrame, keys: list[str], pairs: int) -> DataFrame:
+    """Every key with more than ``pairs`` pairs, and into how many splits each side goes.
+
+    One count over both sides; counts are folded before they are shuffled.
+    """
+    sides = [df.select(*keys, F.lit(a).alias("l"), F.lit(1 - a).alias("r")) for df, a in ((left, 1), (right, 0))]
+    counted = (
+        sides[0].unionByName(sides[1]).groupBy(*keys)
+        .agg(F.sum("l").cast("double").alias("l"), F.sum("r").cast("double").alias("r"))
+        .filter(F.col("l") * F.col("r") > pairs)
     )
+    left_splits, right_splits = block_counts(F.col("l"), F.col("r"), pairs)
+    return counted.select(*keys, left_splits.alias("left_splits"), right_splits.alias("right_splits"))
 
 
 def split_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
-    rows_per_split: int = ROWS_PER_SPLIT,
+    pairs_per_block: int = PAIRS_PER_BLOCK,
     known_rows: str | None = None,
 ) -> DataFrame:
-    """Inner equi-join; a hot key becomes a grid of (left split, right split) blocks.
+    """Inner equi-join; a hot key becomes a grid of (left split, right split) blocks of bounded pairs.
 
     Every left row meets every right row of its key exactly once: it takes one left split
     and is copied to all right splits of that key, and the other way round. ``known_rows`` names a
-    column on both sides that already bounds the rows of the key; otherwise they are counted.
+    column on both sides that already bounds the rows of the key on either side; otherwise they are counted.
+    The hot keys join like any table: Spark broadcasts them only if it finds them small.
     """
     left_columns = left.columns
     right_columns = [c for c in right.columns if c != known_rows]
     left = left.dropna(subset=keys)
     right = right.dropna(subset=keys)
     if known_rows is None:
-        for name, df in (("left_splits", left), ("right_splits", right)):
-            hot = F.broadcast(hot_keys(df, keys, rows_per_split, name))
-            left = left.join(hot, keys, "left")
-            right = right.join(hot, keys, "left")
+        hot = hot_keys(left, right, keys, pairs_per_block)
+        left = left.join(hot, keys, "left")
+        right = right.join(hot, keys, "left")
     else:
-        splits = F.ceil(F.col(known_rows) / rows_per_split).cast("int")
-        left = left.withColumn("left_splits", splits).withColumn("right_splits", splits)
-        right = right.withColumn("left_splits", splits).withColumn("right_splits", splits)
+        rows = F.col(known_rows).cast("double")
+        for name, splits in zip(("left_splits", "right_splits"), block_counts(rows, rows, pairs_per_block)):
+            left = left.withColumn(name, splits)
+            right = right.withColumn(name, splits)
         right = right.drop(known_rows)
 
     def own(name, columns):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from placeweave import fixed
 from placeweave.functions.geo import distance_m
-from placeweave.operators.skew import ROWS_PER_SPLIT, split_join
+from placeweave.operators.skew import PAIRS_PER_BLOCK, split_join
 
 METRES_PER_DEGREE = fixed.EARTH_RADIUS_M * math.pi / 180
 
@@ -83,7 +83,7 @@ def within_distance(
     radius_m: float,
     keys: list[str] | None = None,
     out: str = "distance_m",
-    rows_per_split: int = ROWS_PER_SPLIT,
+    pairs_per_block: int = PAIRS_PER_BLOCK,
 ) -> DataFrame:
     """All pairs no farther apart than ``radius_m``, as an equi-join on grid cells.
 
@@ -99,6 +99,6 @@ def within_distance(
     right = right.dropna(subset=list(right_point)).withColumn(
         "cell", grid.home(F.col(right_lat), F.col(right_lng))
     )
-    pairs = split_join(left, right, ["cell"] + keys, rows_per_split).drop("cell")
+    pairs = split_join(left, right, ["cell"] + keys, pairs_per_block).drop("cell")
     metres = distance_m(F.col(left_lat), F.col(left_lng), F.col(right_lat), F.col(right_lng))
     return pairs.withColumn(out, metres).filter(F.col(out) <= radius_m)

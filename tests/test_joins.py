@@ -27,8 +27,8 @@ def test_grid_join_finds_every_pair(spark):
     left = spark.createDataFrame(rows, "a bigint, lat_a double, lng_a double")
     right = spark.createDataFrame(rows, "b bigint, lat_b double, lng_b double")
     expected = {(i, j) for i, p in enumerate(points) for j, q in enumerate(points) if metres(p, q) <= 500}
-    for rows_per_split in (500_000, 3):
-        pairs = within_distance(left, right, ("lat_a", "lng_a"), ("lat_b", "lng_b"), 500.0, rows_per_split=rows_per_split)
+    for pairs in (25_000_000, 9):
+        pairs = within_distance(left, right, ("lat_a", "lng_a"), ("lat_b", "lng_b"), 500.0, pairs_per_block=pairs)
         found = [(r["a"], r["b"]) for r in pairs.select("a", "b").collect()]
         assert len(found) == len(set(found)) and set(found) == expected
 
@@ -46,8 +46,20 @@ def test_split_join_keeps_all_pairs_of_a_hot_key(spark):
     left = spark.createDataFrame(rows, "a bigint, k bigint")
     right = spark.createDataFrame(rows, "b bigint, k bigint")
     expected = sorted((x, y) for x, k in rows for y, q in rows if k == q)
-    found = sorted((r["a"], r["b"]) for r in split_join(left, right, ["k"], rows_per_split=7).collect())
-    assert found == expected
+    for pairs in (1, 7, 50, 10**9):
+        found = sorted((r["a"], r["b"]) for r in split_join(left, right, ["k"], pairs_per_block=pairs).collect())
+        assert found == expected
+
+
+def test_blocks_of_a_split_join_stay_below_the_pair_bound(spark):
+    from pyspark.sql import functions as F
+
+    from placeweave.operators.skew import block_counts
+
+    for m, n in ((1, 10**6), (10**6, 3), (5000, 5000), (400, 10**5), (10, 10)):
+        a, b = spark.range(1).select(*block_counts(F.lit(float(m)), F.lit(float(n)), 10_000)).first()
+        assert -(-m // a) * -(-n // b) <= 10_200
+        assert (a, b) == (1, 1) or m * n > 10_000
 
 
 def alike(a, b):
