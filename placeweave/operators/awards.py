@@ -92,11 +92,10 @@ def _pairs_without_distance(probe: DataFrame, award: DataFrame) -> DataFrame:
         return df.select(*PROBE, lost.alias("place_id_lacking"),
                          F.explode(F.array_distinct(names)).alias("name"))
 
-    # Names matter only where coordinates are missing; the snapshot seldom lacks any.
-    sides = [(probe.filter(lost), award)]
-    if not award.filter(unplaced).isEmpty():
-        sides.append((probe.filter(~lost), award.filter(unplaced)))
-    for probes_in, awards_in in sides:
+    # Names matter only where coordinates are missing, on either side.
+    for probes_in, awards_in in (
+        (probe.filter(lost), award), (probe.filter(~lost), award.filter(unplaced))
+    ):
         given = named(probes_in).filter(F.col("name") != "")
         alike = similar_texts(
             given.select(F.col("name").alias("text")),
