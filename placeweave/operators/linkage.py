@@ -188,6 +188,12 @@ def with_keys(pairs: DataFrame, places: DataFrame, listings: DataFrame) -> DataF
     return pairs.join(listings, "listing_id").join(places, "place_id")
 
 
+def has_reviews(df: DataFrame) -> Column:
+    """Whether a listing, or a copy that was folded into it, has a rating or reviews."""
+    own = F.col("rating").isNotNull() | (F.coalesce("review_count", F.lit(0)) > 0)
+    return own | F.coalesce("copy_reviewed", F.lit(False)) if "copy_reviewed" in df.columns else own
+
+
 def stop_early(pairs: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """Keep only the stages a place still needs.
 
@@ -198,7 +204,7 @@ def stop_early(pairs: DataFrame, radius_m: float = 500.0) -> DataFrame:
         *[F.col(c) for c in ("place_lat", "place_lng", "listing_lat", "listing_lng")]
     )
     same_phone = (F.col("place_phone") != "") & (F.col("place_phone") == F.col("listing_phone"))
-    reviewed = F.col("rating").isNotNull() | (F.coalesce("review_count", F.lit(0)) > 0)
+    reviewed = has_reviews(pairs)
     named = F.col("stage") == 1
 
     def any_named(flag):
@@ -225,7 +231,7 @@ def evidence_flags(pairs: DataFrame, radius_m: float = 500.0) -> DataFrame:
     )
     same_phone = (F.col("place_phone") != "") & (F.col("place_phone") == F.col("listing_phone"))
     near = F.coalesce(metres <= radius_m, F.lit(False))
-    reviewed = F.col("rating").isNotNull() | (F.coalesce("review_count", F.lit(0)) > 0)
+    reviewed = has_reviews(pairs)
     return pairs.groupBy("place_id").agg(
         F.bool_or(same_phone).alias("has_phone"),
         F.bool_or(same_phone | near).alias("has_strong"),
@@ -307,7 +313,8 @@ def alternatives(candidates: DataFrame, selected_key: Column, candidate_key: Col
 def collapse_copies(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one best listing per identical evidence, listing_id to representative).
 
-    Copies score alike against every place, so only the best of them can be a winner.
+    Copies score alike against every place, so only the best of them can be a winner. Which stages a
+    place needs depends on any copy with reviews, so ``copy_reviewed`` stays beside the best one.
     """
     evidence = ["listing_name", "listing_phone", "listing_address", "listing_url",
                 "listing_lat", "listing_lng"]
@@ -320,9 +327,11 @@ def collapse_copies(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     # The evidence travels as a hash of its parts, so a hot group folds in the map tasks.
     keyed = listings.withColumn("evidence", F.sha2(F.to_json(F.struct(*evidence)), 256))
     row = F.struct(*listings.columns)
-    kept = keyed.groupBy("evidence").agg(F.max_by(row, order).alias("row"))
+    kept = keyed.groupBy("evidence").agg(
+        F.max_by(row, order).alias("row"), F.bool_or(has_reviews(listings)).alias("copy_reviewed")
+    )
     copies = split_join(
         keyed.select("listing_id", "evidence"),
         kept.select("evidence", F.col("row.listing_id").alias("kept_id")), ["evidence"],
     ).select("listing_id", "kept_id")
-    return kept.select("row.*"), copies
+    return kept.select("row.*", "copy_reviewed"), copies

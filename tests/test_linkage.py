@@ -15,9 +15,9 @@ LISTING = ("listing_id bigint, name string, address string, phone string, url st
 
 
 def test_scores_and_reasons(spark):
-    place = spark.createDataFrame([(1, "清水屋", "", "茨城県神栖市1", "+81 299-64-2011", "", 35.9, 140.6, "place")], PLACE)
+    place = spark.createDataFrame([(1, "朝霧庵", "", "長野県松本市1", "+81 312-34-5678", "", 35.9, 140.6, "place")], PLACE)
     listing = spark.createDataFrame(
-        [(7, "割烹 清水屋 本店", "茨城県神栖市1", "0299-64-2011", "https://tabelog.com/a", 35.9, 140.6, 3.5, 20, True),
+        [(7, "割烹 朝霧庵 本店", "長野県松本市1", "0312-34-5678", "https://tabelog.com/a", 35.9, 140.6, 3.5, 20, True),
          (8, "別の店", "", "", "https://tabelog.com/b", 36.9, 140.6, None, 0, False)], LISTING)
     pairs = place_keys(place).crossJoin(listing_keys(listing))
     rows = {r["listing_id"]: r for r in rank_candidates(score_pairs(pairs)).collect()}
@@ -36,10 +36,10 @@ def test_direct_link_short_circuits(spark):
 
 
 def test_reviewed_duplicate_wins(spark):
-    place = spark.createDataFrame([(1, "清水屋", "", "", "0299642011", "", 35.9, 140.6, "place")], PLACE)
+    place = spark.createDataFrame([(1, "朝霧庵", "", "", "0312345678", "", 35.9, 140.6, "place")], PLACE)
     listing = spark.createDataFrame(
-        [(1, "清水屋", "", "", "https://tabelog.com/x/1", 35.9, 140.6, None, 0, False),
-         (2, "清水屋", "", "0299642011", "https://tabelog.com/x/2", 35.9, 140.6, 3.2, 40, False)], LISTING)
+        [(1, "朝霧庵", "", "", "https://tabelog.com/x/1", 35.9, 140.6, None, 0, False),
+         (2, "朝霧庵", "", "0312345678", "https://tabelog.com/x/2", 35.9, 140.6, 3.2, 40, False)], LISTING)
     winners, duplicates = candidate_lists(place, listing)
     rows = winners.collect()
     assert [r["listing_id"] for r in rows] == [2] and rows[0]["duplicate_count"] == 1
@@ -47,11 +47,23 @@ def test_reviewed_duplicate_wins(spark):
     assert [r["url"] for r in duplicates.collect()] == ["https://tabelog.com/x/1"]
 
 
+def test_a_folded_copy_with_reviews_still_stops_the_search(spark):
+    place = spark.createDataFrame([(1, "朝霧庵", "", "", "0312345678", "", 35.9, 140.6, "place")], PLACE)
+    copy = ("朝霧庵", "", "", "https://tabelog.com/x/1", 35.9, 140.6)
+    listing = spark.createDataFrame(
+        [(1, *copy, None, 0, False), (2, *copy, 3.1, 50, True),
+         (3, "みどり亭", "", "0312345678", "https://tabelog.com/x/3", 35.9, 140.6, None, 0, False)], LISTING)
+    ranked, _ = candidate_lists(place, listing)
+    first = ranked.filter("rank = 1").first()
+    found = match_places(place, listing).first()
+    assert (found["listing_id"], found["score"]) == (first["listing_id"], first["score"]) and found["listing_id"] == 1
+
+
 def test_greedy_duplicates_match_a_plain_loop(spark):
     draw = random.Random(11)
     rows = []
     for rank in range(1, 61):
-        name = draw.choice(["清水屋食事処", "清水屋食事", "あおぞら亭銀座", "abcdefghijkl", "abcdefghijkm", ""])
+        name = draw.choice(["朝霧庵食事処", "朝霧庵食事", "あおぞら亭銀座", "abcdefghijkl", "abcdefghijkm", ""])
         rows.append((
             draw.randint(1, 2), rank, draw.choice([None, None, "u1", "u2"]), name, draw.choice(["", "", "0311", "0322"]),
             draw.choice(["", "", "東京都中央区銀座一", "東京都中央区銀座二"]),
