@@ -1,11 +1,12 @@
 """The versioned award snapshot: loading, preparing, reconciling and publishing."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from placeweave import fixed
 from placeweave.functions.text import text_or_empty
 from placeweave.operators.awards import award_keys
+from placeweave.session import cut_lineage
 
 ROW = (
     "id:string,name:string,url:string,latitude:double,longitude:double,location:string,"
@@ -85,6 +86,22 @@ def carry_details(
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add award_id: the place of each row in order of first_seen, counted range by range."""
+    dealt = cut_lineage(
+        rows.repartitionByRange("first_seen").withColumn("range", F.spark_partition_id())
+    )
+    sizes = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("rows"))
+    # One row per range partition: few, whatever the snapshot holds.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("first_seen", "id"))
+    return (
+        dealt.join(offsets, "range").withColumn("award_id", (F.col("offset") + inside - 1).cast("bigint"))
+        .drop("range", "offset")
+    )
+
+
 def reconcile(totals: DataFrame, parsed: DataFrame) -> DataFrame:
     """One row: the declared count beside the distinct ids, and whether they agree."""
     declared = totals.agg(
@@ -120,8 +137,10 @@ def publish(
 ) -> int:
     """Write one snapshot partition; refuse it when the declared count is not what was parsed.
 
-    A repeated run replaces the same partition, so it can be retried.
+    A repeated run replaces the same partition with the same award_id per row, so it can be retried. The rows
+    carry their comparable columns and can be linked as they are.
     """
+    cards = cut_lineage(cards)  # pages are parsed once for the count and the rows
     check = reconcile(totals, cards).first()
     if not check["agrees"]:
         raise ValueError(f"declared {check['declared']} rows, parsed {check['parsed']}")
@@ -136,7 +155,7 @@ def publish(
     rows = rows.withColumn("source_url", F.lit(fixed.GUIDE_LIST_URL)).withColumn(
         "fetched_at", stamp
     )
-    rows = rows.drop("page", "pos").withColumn("snapshot_date", F.lit(snapshot_date))
+    rows = prepare(numbered(rows)).drop("page", "pos").withColumn("snapshot_date", F.lit(snapshot_date))
     (
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("snapshot_date").parquet(path)

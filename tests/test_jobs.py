@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from placeweave.operators.awards import award_keys
 from placeweave.operators.payloads import check_ranking
 from placeweave.plans.match import recommend_nearby
 from placeweave.sources import pages, snapshot
@@ -47,6 +48,12 @@ def test_review_texts_hold_no_author(spark):
     assert len(texts) == 1 and "山田" not in texts[0] and "美味しい" in texts[0]
 
 
+def test_published_rows_are_numbered_in_order_over_all_ranges(spark):
+    rows = spark.range(1000).selectExpr("cast(id as string) id", "struct(cast(999 - id as int) page, 0 pos) first_seen")
+    got = {r["id"]: r["award_id"] for r in snapshot.numbered(rows).collect()}
+    assert got == {str(i): 999 - i for i in range(1000)}
+
+
 def test_publish_checks_counts_and_repeats(spark):
     cards = spark.createDataFrame([("r1", 1, 0, "甲"), ("r2", 1, 1, "乙"), ("r1", 2, 0, "甲改")], "id string, page int, pos int, name string")
     totals = spark.createDataFrame([(1, 2, 2)], "page int, declared bigint, last_page int")
@@ -55,6 +62,10 @@ def test_publish_checks_counts_and_repeats(spark):
         assert snapshot.publish(spark, cards, totals, path, "2024-02-02") == 2
     rows = {r["id"]: r["name"] for r in snapshot.published(spark, path, "2024-02-02").collect()}
     assert rows == {"r1": "甲改", "r2": "乙"}
+    published = snapshot.published(spark, path, "2024-02-02")
+    assert {r["id"]: r["award_id"] for r in published.collect()} == {"r1": 0, "r2": 1}
+    keys = {r["award_id"]: r["award_name"] for r in award_keys(published).collect()}
+    assert keys == {r["award_id"]: r["award_name"] for r in published.collect()} and keys[0] != keys[1]
     with pytest.raises(ValueError):
         snapshot.publish(spark, cards, totals.withColumn("declared", F.lit(3)), path, "2024-02-03")
 
