@@ -18,6 +18,11 @@ def text_or_empty(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(value: Column) -> Column:
     return F.regexp_replace(value, f"^[{WHITE}]+|[{WHITE}]+$", "")
 

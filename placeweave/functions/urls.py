@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from placeweave import fixed
-from placeweave.functions.text import none_if_empty, strip, text_or_empty
+from placeweave.functions.text import none_if_empty, once, strip, text_or_empty
 
 
 def percent_decode(value: Column) -> Column:
@@ -41,13 +41,18 @@ def website_key(value: Column) -> Column:
 
 def listing_url(value: Column) -> Column:
     """Canonical listing page of any link to it, through one search redirect; else null."""
-    decoded = percent_decode(value)
-    target = F.regexp_extract(decoded, "\\?(?:[^#]*?&)?uddg=([^&#]+)", 1)
-    once = percent_decode(F.replace(none_if_empty(target), F.lit("+"), F.lit(" ")))
-    unwrapped = F.when(decoded.contains("duckduckgo.com/l/"), none_if_empty(percent_decode(once)))
-    decoded = F.coalesce(unwrapped, decoded)
-    path = none_if_empty(F.regexp_extract(decoded, fixed.LISTING_URL_PATTERN, 1))
-    return F.concat(F.lit("https://tabelog.com/"), path, F.lit("/"))
+
+    def unwrapped(decoded):
+        target = F.regexp_extract(decoded, "\\?(?:[^#]*?&)?uddg=([^&#]+)", 1)
+        inner = percent_decode(percent_decode(F.replace(none_if_empty(target), F.lit("+"), F.lit(" "))))
+        redirect = decoded.contains("duckduckgo.com/l/") & (target != "")
+        return F.when(redirect, F.coalesce(none_if_empty(inner), decoded)).otherwise(decoded)
+
+    def canonical(decoded):
+        path = none_if_empty(F.regexp_extract(decoded, fixed.LISTING_URL_PATTERN, 1))
+        return F.concat(F.lit("https://tabelog.com/"), path, F.lit("/"))
+
+    return once(once(percent_decode(value), unwrapped), canonical)
 
 
 def listing_compare_key(value: Column) -> Column:
