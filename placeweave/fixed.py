@@ -55,11 +55,6 @@ GENERIC_BOOKING_PATHS = [
     "/ai_request_booking/guide/index",
     "/yoyaku/tabelog_booking/send_remind",
 ]
-POPULARITY_SORTS = [
-    ("most_reserved", "最多預訂", "inbound_most_reserved"),
-    ("local_reserved", "在地人預訂最多", "inbound_vacancy_net_yoyaku"),
-    ("most_viewed", "瀏覽最多", "inbound_access"),
-]
 PAYMENT_MARKERS = "カード|クレジットカード|電子マネー|QRコード決済"
 PAYMENT_KINDS = {
     "cards": ["カード", "クレジットカード"],
@@ -157,19 +152,8 @@ NUMERAL_POINTS = "點点"
 NUMERAL_RUN_PATTERN = "[零〇○一二三四五六七八九兩两十百千萬万億亿點点]+"
 
 # --- fixed values: keys, lifetimes and limits ----------------------------------------------
-MATCH_KEY_VERSION = "match-v2"
-SIMILAR_KEY_VERSION = "nearby-v20"
-POPULARITY_KEY_VERSION = "popularity-v2"
 ADVICE_KEY_VERSION = "zh-Hant-v3"
 REVIEW_KEY_VERSION = "review-insights-v1"
-LIFETIME_SECONDS = {
-    "match": 21600, "awards": 86400, "advice": 86400, "similar": 43200, "popularity": 86400,
-    "reviews": 604800,
-}
-CLIENT_LOOKUP_SECONDS = 2700
-CLIENT_LOOKUPS_KEPT = 80
-CLIENT_ADVICES_KEPT = 100
-DEBOUNCE_MS = {"list": 350, "detail": 500, "recommendations": 900}
 HOST_GAP_SECONDS = 0.8
 REQUEST_BYTES_MAX = 16384
 BATCH_CARDS_MAX = 10

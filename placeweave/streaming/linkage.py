@@ -2,17 +2,18 @@
 
 from pyspark.sql import DataFrame
 
-from placeweave.operators.awards import award_keys, choose_award, linkage_pairs, probes
+from placeweave.operators.awards import award_keys, first_with_margin, strict_pairs
+from placeweave.operators.linkage import place_keys
 from placeweave.operators.validate import accepted, check_places, drop_overseas
 from placeweave.session import cut_lineage
 from placeweave.sources.requests import read_requests, unpack
 
 
 def link_requests(bodies: DataFrame, prepared_snapshot: DataFrame) -> DataFrame:
-    """One micro-batch: request bodies of (place_id, body) to accepted awards."""
+    """One micro-batch: request bodies of (place_id, body) to unambiguous awards, by the strict rule of list cards."""
     places = accepted(check_places(unpack(read_requests(bodies), "place_id")))
-    probe = cut_lineage(probes(drop_overseas(places)))
-    return choose_award(linkage_pairs(probe, prepared_snapshot))
+    keys = cut_lineage(place_keys(drop_overseas(places)))
+    return first_with_margin(strict_pairs(keys, prepared_snapshot), 85.0, 3.0)
 
 
 def link_stream(bodies: DataFrame, snapshot: DataFrame, path: str, checkpoint: str):

@@ -7,6 +7,7 @@ from placeweave.streaming import freshness, windows
 from placeweave.streaming.linkage import link_requests
 from placeweave.operators.awards import award_keys
 from placeweave.session import cut_lineage
+from workloads.linking import strict_sql
 from workloads.registry import query
 
 c = F.col
@@ -88,11 +89,14 @@ def left_to_do(table):
     return todo.select("event_id")
 
 
-@query("t05_linked_requests")
+@query("t05_linked_requests", f"""
+    , strict as ({strict_sql('places', 'awards')})
+    select place_id, award_id, round(score, 3) as score, round(m, 3) as distance_m from strict""", views=["places", "awards"])
 def linked_requests(table):
     """One micro-batch of the stream: every place as a request body."""
     bodies = table("places").select(
         "place_id",
         F.to_json(F.struct("name", "phone", "website", "address", c("latitude").cast("string").alias("latitude"),
                            c("longitude").cast("string").alias("longitude"), "coordinates_source")).alias("body"))
-    return link_requests(bodies, cut_lineage(award_keys(table("awards")))).drop("reasons")
+    linked = link_requests(bodies, cut_lineage(award_keys(table("awards"))))
+    return linked.select("place_id", "award_id", F.round("score", 3).alias("score"), F.round("distance_m", 3).alias("distance_m"))

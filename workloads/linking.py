@@ -1,5 +1,7 @@
 """Candidate blocks, pair scores, ranking, ambiguity rules and award linkage."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from placeweave.functions.urls import listing_compare_key
@@ -8,6 +10,7 @@ from placeweave.operators.dedupe import dedupe_catalogue, duplicate_rule
 from placeweave.operators.spatial import within_distance
 from placeweave.plans.match import candidate_lists, match_places, match_with_awards
 from placeweave.session import cut_lineage
+from placeweave.sources import sinks
 from workloads.registry import (
     address_key, contained_likeness, folded, listing_link, metres, phone_key, query, website,
 )
@@ -354,6 +357,23 @@ def matched_places(table):
     return matched.select("place_id", "listing_id", "score", "confidence", "matched", "needs_confirmation")
 
 
+@query("s06_typed_matches", sql_of("listings_dup", FOUND, PAIRS, STOPPED, SCORED) + f"""
+    , best as (select *, row_number() over (partition by place_id {RANK}) as rn from banded)
+    select p.place_id, b.listing_id, b.score, b.confidence, b.listing_id is not null as matched,
+           coalesce(b.confidence <> 'high', false) as needs_confirmation, '2024-05-01' as run_date
+    from p left join best b on p.place_id = b.place_id and b.rn = 1 and b.confidence <> 'low'""",
+    views=["places", "listings_dup"])
+def typed_matches(table):
+    """Matches written as a result table, twice, and read back."""
+    matched = cut_lineage(match_places(table("places").drop("address"), table("listings_dup")))
+    spark = matched.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/results-{uuid.uuid4().hex}"
+    for _ in range(2):
+        sinks.write_result(matched, sinks.MATCHES, path, "2024-05-01")
+    return spark.read.parquet(path).select(
+        "place_id", "listing_id", "score", "confidence", "matched", "needs_confirmation", c("run_date").cast("string").alias("run_date"))
+
+
 @query("a05_best_of_names", f"""
     select p.place_id, round(greatest({contained_likeness('p.n', 'l.n')}, {contained_likeness('p.alt', 'l.n')}), 6) as best
     from (select place_id, {folded('name')} as n, {folded('alternate_name')} as alt from places) p
@@ -387,18 +407,6 @@ def decisive_pairs(table):
     return scored.filter(linkage.is_decisive(scored)).select("place_id", "listing_id")
 
 
-@query("p16_not_same_entity", """
-    select a.listing_id, b.listing_id as other_id from listings a join listings b on a.area_path = b.area_path
-    where rtrim(a.url, '/') <> rtrim(b.url, '/')""", views=["listings"])
-def not_same(table):
-    seeds = recommend.seed_side(table("listings").withColumn("seed_id", c("listing_id"))
-                                .withColumn("genres", F.split("genre_text", ",")))
-    others = recommend.candidate_side(table("listings").withColumn("genres", F.split("genre_text", ",")), "listing_id", "area_path")
-    pairs = recommend.nearby_pairs(
-        seeds.withColumn("area_path", c("seed_area_path")), others.withColumnRenamed("listing_id", "other_id"), ["area_path"])
-    return recommend.score_similar(pairs).filter(c("outcome") != "same").select(c("seed_id").alias("listing_id"), "other_id")
-
-
 @query("u02_duplicate_pairs", f"""
     , k as (select listing_id, {folded('name')} as n, {phone_key('phone')} as ph, {address_key('address')} as ad, latitude as lat, longitude as lng from listings_dup)
     select a.listing_id, b.listing_id as other_id from k a join k b on a.listing_id < b.listing_id

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from placeweave.operators.awards import award_keys
 from placeweave.operators.records import prefer_details
 from placeweave.sources import pages, snapshot
-from placeweave.sources.sinks import MATCHES, typed
 from placeweave.functions.labels import payment_of, reservation_state
 from workloads.registry import folded, phone_key, query, website
 
@@ -223,10 +222,3 @@ def carried_snapshot(table):
     select count(*) as count, count_if(details_error <> '') as details_error_count, 'Japan' as scope from d""", views=["listings"])
 def header_counts(table):
     return snapshot.header(carried(table), F.lit("2024-02-02"), F.lit("2024-02-02")).select("count", "details_error_count", "scope")
-
-
-@query("s06_typed_matches")
-def typed_matches(table):
-    from placeweave.plans.match import match_places
-
-    return typed(match_places(table("places"), table("listings")), MATCHES).drop("reasons")
