@@ -201,6 +201,19 @@ def score_similar(pairs: DataFrame) -> DataFrame:
     )
 
 
+def seed_pool(seeds: DataFrame, lists: DataFrame, cap: int = fixed.SIMILAR_POOL) -> DataFrame:
+    """Each seed beside at most ``cap`` candidates: the category lists of its area, merged.
+
+    A seed without a known category reads the generic list of its area, whose slug is empty, so no seed
+    is lost while its area has a list. The pool does not grow with the area.
+    """
+    known = F.col("slugs") if "slugs" in seeds.columns else genre_slugs(F.col("genres"))
+    known = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("")))
+    wanted = seeds.select("seed_id", "area_path", known.alias("slugs"))
+    merged = candidate_side(category_candidates(wanted, lists, cap), "seed_id")
+    return seed_side(seeds).join(merged, "seed_id")
+
+
 def nearby_pairs(seeds: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
     """Seed and candidate sides that share a location key; a busy area is split over tasks."""
     return split_join(seeds, candidates, on)

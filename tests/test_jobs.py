@@ -12,7 +12,7 @@ from placeweave.streaming.freshness import debounce_stream, fresh_stream, mark_f
 from placeweave.streaming.windows import debounce
 
 SEED = ("seed_id bigint, url string, genres array<string>, station string, address string, dinner_price string, area_path string")
-CARD = ("area_path string, name string, url string, genres array<string>, station string, address string, rating double, "
+CARD = ("area_path string, slug string, row_pos int, name string, url string, genres array<string>, station string, address string, rating double, "
         "review_count bigint, dinner_price string")
 
 
@@ -20,15 +20,25 @@ def test_recommendation_reasons(spark):
     base = "https://tabelog.com/tokyo/A1301/A130101/"
     seed = spark.createDataFrame([(1, base + "1300001/", ["寿司"], "銀座駅", "東京都中央区銀座", "￥20,000～￥29,999", "a")], SEED)
     cards = spark.createDataFrame([
-        ("a", "元の店", base + "1300001/", ["寿司"], "", "", None, None, ""),
-        ("a", "銀座の寿司店", base + "1300002/", ["寿司"], "銀座駅", "東京都中央区銀座1-1-1", 3.81, 210, "￥20,000～￥29,999"),
+        ("a", "sushi", 1, "朝の鮨", base + "1300001/", ["寿司"], "", "", None, None, ""),
+        ("a", "sushi", 2, "夜の鮨", base + "1300002/", ["寿司"], "銀座駅", "東京都中央区銀座1-1-1", 3.81, 210, "￥20,000～￥29,999"),
     ], CARD)
     best, counts = recommend_nearby(seed, cards)
     row = best.first()
-    assert row["name"] == "銀座の寿司店" and row["reasons"] == ["同為壽司", "同為銀座站", "晚餐價位接近"]
+    assert row["name"] == "夜の鮨" and row["reasons"] == ["同為壽司", "同為銀座站", "晚餐價位接近"]
     assert counts.first()["same_restaurant_count"] == 1
 
 
+def test_a_seed_without_a_category_reads_the_generic_list(spark):
+    base = "https://tabelog.com/tokyo/A1301/A130101/"
+    seeds = spark.createDataFrame([(i, base + f"{1300000 + i}/", g, "", "", "", "a") for i, g in ((1, ["謎"]), (2, None), (3, ["寿司"]))], SEED)
+    cards = spark.createDataFrame(
+        [("a", slug, i, f"店{slug}{i}", base + f"{n + i}/", ["寿司"], "", "", 3.5, 10, "")
+         for slug, n in (("", 1400000), ("sushi", 1500000)) for i in range(40)], CARD)
+    _, counts = recommend_nearby(seeds, cards)
+    assert {r["seed_id"]: r["returned_count"] for r in counts.collect()} == {1: 20, 2: 20, 3: 20}
+
+
 def test_bad_ranking_is_refused_whole(one):
     def checked(text):
         return one(check_ranking(F.lit(text), F.lit(3)))

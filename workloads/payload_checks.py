@@ -119,7 +119,7 @@ def checked(table):
     select p.seed_id, p.cand_id, cast(answer_rank as integer) as answer_rank, case when answer_rank = 1 then cast(p.seed_id % 100 as integer) else 50 end as answer_score
     from pool p join n on p.rn = case when answer_rank = 1 then 2 else 1 end where p.seed_id % 6 in (4, 5)""", views=["listings"])
 def reattached(table):
-    pool = ranked_pool(table).select("seed_id", "rank", c("listing_id").alias("cand_id"))
+    pool = ranked_pool(table).select("seed_id", "rank", "cand_id")
     return payloads.reattach(checked(table).filter(c("ranking").isNotNull()), pool).select(
         "seed_id", "cand_id", "answer_rank", "answer_score")
 

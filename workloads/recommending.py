@@ -16,28 +16,58 @@ def with_genres(listings):
     return listings.withColumn("genres", F.split("genre_text", ","))
 
 
+def pool(table):
+    """Seeds beside the candidates that their category lists give, at most 30 each."""
+    seeds = with_genres(table("listings")).withColumn("seed_id", c("listing_id"))
+    pairs = recommend.seed_pool(seeds, category_lists(table))
+    # The links of the proxy listings end in their number.
+    number = F.regexp_extract("cand_url", "([0-9]+)/?$", 1).cast("bigint") - 13000000
+    return pairs.withColumn("cand_id", number)
+
+
 def scored(table):
-    """All pairs of seeds and candidates of one area, scored once."""
-    rows = with_genres(table("listings"))
-    seeds = recommend.seed_side(rows.withColumn("seed_id", c("listing_id")))
-    cands = recommend.candidate_side(rows, "listing_id", "area_path")
-    pairs = recommend.nearby_pairs(
-        cut_lineage(seeds.withColumn("area_path", c("seed_area_path"))), cut_lineage(cands), ["area_path"])
-    return recommend.score_similar(pairs)
+    return recommend.score_similar(pool(table))
+
+
+def dictionary_sql():
+    words = sorted(fixed.GENRE_SLUGS, key=len, reverse=True)
+    rows = ", ".join(f"({i}, '{w}', '{fixed.GENRE_SLUGS[w]}')" for i, w in enumerate(words))
+    return f"dict(pos, word, slug) as (values {rows})"
+
+
+SLUG_SQL = f"""
+    , {dictionary_sql()},
+    g as (select listing_id, area_path, unnest(split(genre_text, ',')) as genre, generate_subscripts(split(genre_text, ','), 1) as gpos from listings),
+    hit as (select listing_id, area_path, gpos, min_by(slug, pos) as slug from g join dict on contains(genre, word) group by all),
+    one as (select listing_id, area_path, slug, min(gpos) as gpos from hit group by all),
+    slugs as (select listing_id, area_path, slug, row_number() over (partition by listing_id order by gpos) - 1 as list_pos from one)"""
+
+
+LISTS_SQL = SLUG_SQL + """
+    , lists as (select s.area_path, s.slug, l.listing_id, l.url, l.name, l.rating, l.genre_text,
+                row_number() over (partition by s.area_path, s.slug order by l.listing_id desc) as row_pos
+                from slugs s join listings l on s.listing_id = l.listing_id where s.list_pos < 3),
+    wanted as (select s.listing_id as seed_id, s.list_pos, t.row_pos, t.url, t.name, t.rating, t.genre_text
+               from slugs s join lists t on s.area_path = t.area_path and s.slug = t.slug where s.list_pos < 3 and t.row_pos <= 20),
+    firsts as (select seed_id, url, min(list_pos * 1000 + row_pos) as p from wanted group by all),
+    turns as (select *, row_number() over (partition by seed_id order by p) as turn from firsts),
+    ends as (select seed_id, count(*) as n, max(p) as e from turns where turn <= 30 group by seed_id),
+    read as (select w.* from wanted w join ends e on w.seed_id = e.seed_id where e.n < 30 or w.list_pos * 1000 + w.row_pos <= e.e)"""
 
 
 MID = ("(case when len(regexp_extract_all({0}, '[0-9][0-9,]*')) = 0 then null else "
        "list_avg(list_transform(regexp_extract_all({0}, '[0-9][0-9,]*')[1:2], lambda x: cast(replace(x, ',', '') as double))) end)")
 BROAD = "['カフェ', '喫茶店', 'バー', 'バル', 'バー・お酒', 'ダイニングバー', '居酒屋', '食堂', 'レストラン']"
 GENRE_KEY = folded("g")
-SIDES = f"""
+SIDES = LISTS_SQL + f"""
     , side as (select listing_id, area_path, rtrim(url, '/') as url, name, rating, review_count, station,
                       {folded("station")} as sk, {MID.format('dinner_price')} as d, {MID.format('lunch_price')} as l,
                       split(genre_text, ',') as gs, list_transform(split(genre_text, ','), lambda g: {GENRE_KEY}) as gk from listings),
     pair as (select s.listing_id as seed_id, t.listing_id as cand_id, s.area_path, s.url as su, t.url as tu, t.name, t.rating, t.review_count,
                     s.sk as ssk, t.sk as tsk, s.station, s.d as sd, t.d as td, s.l as sl, t.l as tl, s.gk as sgk, s.gs as sgs, t.gk as tgk,
                     list_filter(s.gk, lambda a: len(list_filter(t.gk, lambda b: a <> '' and b <> '' and (a = b or (length(a) >= 2 and (contains(a, b) or contains(b, a)))))) > 0) as hits
-             from side s join side t on s.area_path = t.area_path),
+             from (select distinct seed_id, rtrim(url, '/') as link from read) p
+             join side s on s.listing_id = p.seed_id join side t on t.url = p.link),
     points as (select *,
         case when len(hits) = 0 then 0.0e0
              when len(list_filter(hits, lambda h: not list_contains({BROAD}, h))) > 0 then 45.0e0
@@ -49,36 +79,32 @@ SIDES = f"""
     graded as (select *, gp + lp + pp + rp as raw, round(least(gp + lp + pp + rp, 100.0e0)) as score, su = tu as same from points)"""
 
 
-@query("h16_location_points", """
-    select s.listing_id as seed_id, t.listing_id as cand_id,
-           case when s.station <> '' and s.station = t.station then 25.0e0 else 20.0e0 end as points,
-           case when s.station <> '' and s.station = t.station then '同為' || s.station || '站' else '同一 Tabelog 區域' end as reason
-    from listings s join listings t on s.area_path = t.area_path and t.listing_id > s.listing_id""", views=["listings"])
+@query("h16_location_points", SIDES + """
+    select seed_id, cand_id, lp as points,
+           case when lp = 25 then '同為' || station || '站' else '同一 Tabelog 區域' end as reason from graded""", views=["listings"])
 def location_points(table):
-    rows = with_genres(table("listings"))
-    seeds = recommend.seed_side(rows.withColumn("seed_id", c("listing_id"))).withColumn("area_path", c("seed_area_path"))
-    cands = recommend.candidate_side(rows, "listing_id", "area_path")
-    pairs = recommend.nearby_pairs(seeds, cands, ["area_path"]).filter(c("listing_id") > c("seed_id"))
     hit = nearby.location_evidence(c("seed_area_path"), c("seed_station"), c("cand_area"))
-    return pairs.select("seed_id", c("listing_id").alias("cand_id"), hit.alias("h")).select("seed_id", "cand_id", "h.*")
+    return pool(table).select("seed_id", "cand_id", hit.alias("h")).select("seed_id", "cand_id", "h.*")
 
 
 @query("h19_genre_points", SIDES + """
     select seed_id, cand_id, gp as points from graded""", views=["listings"])
 def genre_points(table):
-    rows = with_genres(table("listings"))
-    seeds = recommend.seed_side(rows.withColumn("seed_id", c("listing_id"))).withColumn("area_path", c("seed_area_path"))
-    cands = recommend.candidate_side(rows, "listing_id", "area_path")
-    pairs = recommend.nearby_pairs(seeds, cands, ["area_path"])
     hit = nearby.genre_evidence(c("seed_genres"), c("seed_genre_keys"), c("cand_genre_keys"))
-    return pairs.select("seed_id", c("listing_id").alias("cand_id"), hit["points"].alias("points"))
+    return pool(table).select("seed_id", "cand_id", hit["points"].alias("points"))
 
 
 @query("j10_similar_pairs", SIDES + """
     select seed_id, cand_id, round(raw, 6) as raw_score, case when same then 'same' else 'scored' end as outcome from graded""",
     views=["listings"])
 def similar_pairs(table):
-    return scored(table).select("seed_id", c("listing_id").alias("cand_id"), F.round("raw_score", 6).alias("raw_score"), "outcome")
+    return scored(table).select("seed_id", "cand_id", F.round("raw_score", 6).alias("raw_score"), "outcome")
+
+
+@query("p16_not_same_entity", SIDES + """
+    select seed_id, cand_id from graded where not same""", views=["listings"])
+def not_same(table):
+    return scored(table).filter(c("outcome") != "same").select("seed_id", "cand_id")
 
 
 @query("w05_top_recommendations", SIDES + """
@@ -88,7 +114,7 @@ def similar_pairs(table):
     select seed_id, cand_id, cast(score as integer) as similarity_score, cast(rn as integer) as rank from ranked where rn <= 6""",
     views=["listings"])
 def top_recommendations(table):
-    return recommend.recommend(scored(table)).select("seed_id", c("listing_id").alias("cand_id"), "similarity_score", "rank")
+    return recommend.recommend(scored(table)).select("seed_id", "cand_id", "similarity_score", "rank")
 
 
 @query("a01_similar_diagnostics", SIDES + """
@@ -100,59 +126,41 @@ def diagnostics(table):
 
 
 def sort_sql(order):
-    return f"""
-    select area_path, listing_id, cast(row_number() over (partition by area_path order by {order}, name, url) as integer) as display_rank from listings"""
+    return SIDES + f"""
+    , shown as (select seed_id, cand_id, cast(row_number() over (partition by seed_id order by {order}, name, tu) as integer) as display_rank from graded)"""
 
 
 def sorted_by(table, mode, expanded=True):
-    rows = table("listings").select(
-        c("area_path").alias("seed_id"), "listing_id", "name", c("url").alias("cand_url"), "rating", "review_count",
-        c("price").alias("similarity_score"))
-    shown = recommend.visible(rows, mode, expanded)
-    return shown.select(c("seed_id").alias("area_path"), "listing_id", "display_rank")
+    return recommend.visible(scored(table), mode, expanded).select("seed_id", "cand_id", "display_rank")
 
 
 ORDERS = {
-    "recommended": "price desc, coalesce(rating, -1) desc, review_count desc",
-    "rating": "coalesce(rating, -1) desc, review_count desc, price desc",
-    "reviews": "review_count desc, coalesce(rating, -1) desc, price desc",
+    "recommended": "score desc, coalesce(rating, -1) desc, review_count desc",
+    "rating": "coalesce(rating, -1) desc, review_count desc, score desc",
+    "reviews": "review_count desc, coalesce(rating, -1) desc, score desc",
 }
 
 
-@query("l01_sorted_recommended", sort_sql(ORDERS["recommended"]), views=["listings"])
+@query("l01_sorted_recommended", sort_sql(ORDERS["recommended"]) + " select * from shown", views=["listings"])
 def sorted_recommended(table):
     return sorted_by(table, "recommended")
 
 
-@query("l01_sorted_rating", sort_sql(ORDERS["rating"]), views=["listings"])
+@query("l01_sorted_rating", sort_sql(ORDERS["rating"]) + " select * from shown", views=["listings"])
 def sorted_rating(table):
     return sorted_by(table, "rating")
 
 
-@query("l01_sorted_reviews", sort_sql(ORDERS["reviews"]), views=["listings"])
+@query("l01_sorted_reviews", sort_sql(ORDERS["reviews"]) + " select * from shown", views=["listings"])
 def sorted_reviews(table):
     return sorted_by(table, "reviews")
 
 
-@query("l02_visible_three", f"select * from ({sort_sql(ORDERS['recommended'])}) t where display_rank <= 3", views=["listings"])
+@query("l02_visible_three", sort_sql(ORDERS["recommended"]) + " select * from shown where display_rank <= 3", views=["listings"])
 def visible_three(table):
     return sorted_by(table, "recommended", expanded=False)
 
 
-def dictionary_sql():
-    words = sorted(fixed.GENRE_SLUGS, key=len, reverse=True)
-    rows = ", ".join(f"({i}, '{w}', '{fixed.GENRE_SLUGS[w]}')" for i, w in enumerate(words))
-    return f"dict(pos, word, slug) as (values {rows})"
-
-
-SLUG_SQL = f"""
-    , {dictionary_sql()},
-    g as (select listing_id, area_path, unnest(split(genre_text, ',')) as genre, generate_subscripts(split(genre_text, ','), 1) as gpos from listings),
-    hit as (select listing_id, area_path, gpos, min_by(slug, pos) as slug from g join dict on contains(genre, word) group by all),
-    one as (select listing_id, area_path, slug, min(gpos) as gpos from hit group by all),
-    slugs as (select listing_id, area_path, slug, row_number() over (partition by listing_id order by gpos) - 1 as list_pos from one)"""
-
-
 @query("j11_category_slugs", SLUG_SQL + """
     select listing_id, string_agg(slug, ',' order by list_pos) as slugs from slugs where list_pos < 3 group by listing_id""",
     views=["listings"])
@@ -161,22 +169,11 @@ def category_slugs(table):
     return rows.select("listing_id", F.array_join(recommend.genre_slugs(c("genres")), ",").alias("slugs"))
 
 
-LISTS_SQL = SLUG_SQL + """
-    , lists as (select s.area_path, s.slug, l.listing_id, l.url, l.name, l.rating, l.genre_text,
-                row_number() over (partition by s.area_path, s.slug order by l.listing_id desc) as row_pos
-                from slugs s join listings l on s.listing_id = l.listing_id where s.list_pos < 3),
-    wanted as (select s.listing_id as seed_id, s.list_pos, t.row_pos, t.url, t.name, t.rating, t.genre_text
-               from slugs s join lists t on s.area_path = t.area_path and s.slug = t.slug where s.list_pos < 3 and t.row_pos <= 20),
-    firsts as (select seed_id, url, min(list_pos * 1000 + row_pos) as p from wanted group by all),
-    turns as (select *, row_number() over (partition by seed_id order by p) as turn from firsts),
-    ends as (select seed_id, count(*) as n, max(p) as e from turns where turn <= 30 group by seed_id),
-    read as (select w.* from wanted w join ends e on w.seed_id = e.seed_id where e.n < 30 or w.list_pos * 1000 + w.row_pos <= e.e)"""
-
-
 def category_lists(table):
     slugs = recommend.genre_slugs(c("genres"))
     rows = cut_lineage(with_genres(table("listings")).withColumn("slugs", slugs))
-    return rows.withColumn("slug", F.explode("slugs")).select("area_path", "slug", (-c("listing_id")).alias("row_pos"), "url", "name", "rating", "genres")
+    return rows.withColumn("slug", F.explode("slugs")).select("area_path", "slug", (-c("listing_id")).alias("row_pos"), "url", "name", "rating", "genres",
+        "review_count", "address", "station", "area", "lunch_price", "dinner_price")
 
 
 def category_pool(table):
@@ -202,7 +199,7 @@ def merged_lists(table):
 
 
 @query("j12_slug_from_labels", f"""
-    , labels as (select area_path, listing_id as pos, {folded("name")} as lk, 'slug' || listing_id as slug from listings),
+    , labels as (select area_path, min(listing_id) as pos, {folded("area")} as lk, 'slug' || min(listing_id) as slug from listings group by area_path, area),
     seeds as (select listing_id, area_path, list_transform(split(name, ' '), lambda g: {folded("g")}) as gk from listings),
     cross_ as (select s.listing_id, unnest(s.gk) as g, generate_subscripts(s.gk, 1) as gp, l.lk, l.pos, l.slug
                from seeds s join labels l on s.area_path = l.area_path),
@@ -211,10 +208,10 @@ def merged_lists(table):
     select listing_id, slug from (select *, row_number() over (partition by listing_id order by score desc, gp, pos) as rn
       from scored where score is not null) t where rn = 1""", views=["listings"])
 def dynamic_slug(table):
-    rows = table("listings").withColumn("label", c("name"))
+    # A page offers one label per neighbourhood, 25 in all, whatever the number of listings.
+    rows = table("listings").groupBy("area_path", c("area").alias("label")).agg(F.min("listing_id").alias("listing_id"))
     labelled = recommend.folded_labels(rows).select(
         "area_path", F.struct("listing_id", "label_key", F.concat(F.lit("slug"), "listing_id").alias("slug")).alias("link"))
-    # A page offers a bounded set of labels; here each area stands for one page.
     pages = labelled.groupBy("area_path").agg(F.array_sort(F.collect_list("link")).alias("links"))
     seeds = table("listings").select("listing_id", "area_path", nearby.fold_texts(F.split("name", " ")).alias("gk"))
     return seeds.join(pages, "area_path").select(
