@@ -9,6 +9,7 @@ entry of 24 bytes per record in the same order: document id, place of the record
 number of ids before it in the file.
 """
 
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +26,7 @@ from placeweave.llm.store import new_folder
 
 MASK = 0xA282EAD8
 END = 1
-MOST_WORDS = 300_000
+MOST_WORDS = 600_000
 HEAD, TAIL, FRONT, ENTRY = "<QI", "<I", "<qHH", "<qQQ"
 
 
@@ -61,46 +62,83 @@ def unpacked(payload):
     return None if none else key, np.frombuffer(payload[struct.calcsize(FRONT) :], f"<u{width}").astype("<u4")
 
 
+#: Latin letters that stay one letter in lower case, then ASCII signs; the apostrophe may open a suffix.
+SHAPE = re.compile(
+    r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+)([!-&(-/:-@\[-`{-~]*)"
+).fullmatch
+
+
 class Library:
     """The tokenizers library; each distinct word between ASCII white space is encoded once per task.
 
-    Valid where no piece of the vocabulary's cuts spans white space, as in files that drop it. Words meet
-    the library in long texts, parted by an added token that it never joins to a neighbour.
+    Valid for vocabularies that lower the case, drop white space and mark word ends, as the library then
+    encodes every word by itself. Words of Latin letters meet the library in long texts, cut apart again at the
+    marks of word ends; a word with signs behind its letters is that word and the signs. All other words, and
+    texts with an added token, meet it alone.
     """
 
+    END = "</w>"
+
     def __init__(self, path):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.parts = {i: t.content for i, t in added.items()}
-        self.split_id, self.split = next(iter(self.parts.items()), (None, None))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
+        self.signs = {}
         self.words = {}
 
-    def learn(self, words):
-        texts = [w.decode() for w in words]
-        alone = [self.split is None or any(p in t for p in self.parts.values()) for t in texts]
-        joined = [(w, t) for w, t, a in zip(words, texts, alone) if not a]
-        for i in range(0, len(joined), 500):
-            part = joined[i : i + 500]
-            ids = self.tokenizer.encode(self.split.join(t for _, t in part), add_special_tokens=False).ids
+    def whole(self, text):
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def letters(self, words):
+        """Ids of words of letters only, many in one call."""
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            ids = self.tokenizer.encode(" ".join(w.decode() for w in part), add_special_tokens=False).ids
             ids = np.array(ids, "<u4")
-            for (w, _), own in zip(part, np.split(ids, np.flatnonzero(ids == self.split_id))):
-                self.words[w] = (own[1:] if len(own) and own[0] == self.split_id else own).tobytes()
-        for w, t, a in zip(words, texts, alone):
-            if a:
-                self.words[w] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not mark the end of every word")
+            raw, cuts = ids.tobytes(), [0, *(cuts * 4).tolist()]
+            self.words.update(zip(part, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:]))))
+
+    def learn(self, words):
+        plain, signed = set(), []
+        for w in words:
+            found = SHAPE(w.decode())
+            if not found:
+                self.words[w] = self.whole(w.decode())
+                continue
+            front, sign = found.groups()
+            front = front.encode()
+            if sign:
+                signed.append((w, front, sign))
+                if sign not in self.signs:
+                    self.signs[sign] = self.whole(sign)
+            if front not in self.words:
+                plain.add(front)
+        self.letters(list(plain))
+        for w, front, sign in signed:
+            self.words[w] = self.words[front] + self.signs[sign]
 
     def encode(self, texts):
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        cut = [t.encode().split() for t in texts]
-        new = list({w for words in cut for w in words if w not in self.words})
+        # Case is lowered for ASCII here; the vocabulary would do it anyway.
+        cut = [None if any(a in t for a in self.added) else t.encode().lower().split() for t in texts]
+        known = self.words
+        new = {w for words in cut if words for w in words}.difference(known)
         if new:
             self.learn(new)
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        return [
+            self.whole(t) if words is None else b"".join(map(known.__getitem__, words))
+            for t, words in zip(texts, cut)
+        ]
 
 
 def written(path, folder):
