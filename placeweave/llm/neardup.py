@@ -11,8 +11,8 @@ from placeweave.llm.store import stored
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: 12 bands of 3 samples find a pair of similarity 0.8 with probability 0.9998.
-BANDS, ROWS = 12, 3
+#: 16 bands of 4 samples find a pair of similarity 0.8 with probability 0.9998, and one of 0.3 seldom.
+BANDS, ROWS = 16, 4
 #: Document frequencies are kept per hash bucket, a table of fixed size however large the corpus is.
 BUCKETS = 2**16
 TABLE = 2**16
@@ -148,10 +148,11 @@ def signed(weights):
     return run
 
 
-def shingles_of(wanted):
-    """Function over batches (key, text): node, hashes and counts of the texts that may be wanted."""
+def shingles_of(wanted, weights):
+    """Function over batches (key, text): node, hashes and weights of the texts that may be wanted."""
 
     def run(batches):
+        table = weights.value
         bits = np.frombuffer(wanted.value, np.uint8)
         for batch in slices(batches, "text"):
             s = Shingles(batch.column("text"))
@@ -159,39 +160,34 @@ def shingles_of(wanted):
             take = (((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) > 0) & (np.array(s.sizes) > 0)
             take = np.flatnonzero(take).tolist()
             cut = [slice(s.first[i], s.first[i + 1]) for i in take]
+            weight = table[bucket_of(s.hashes)] * s.counts.astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key").take(pa.array(take, pa.int64())),
                     pa.array([s.nodes[i] for i in take], pa.binary()),
                     pa.array([s.hashes[c].astype(np.int64) for c in cut], pa.list_(pa.int64())),
-                    pa.array([s.counts[c].astype(np.int32) for c in cut], pa.list_(pa.int32())),
+                    pa.array([weight[c] for c in cut], pa.list_(pa.float32())),
                 ],
-                names=["key", "node", "hashes", "counts"],
+                names=["key", "node", "hashes", "weights"],
             )
 
     return run
 
 
-def similarity(weights):
-    """Function over batches (a, b, their hashes and counts): weighted Jaccard similarity of each pair."""
-
-    def run(batches):
-        table = weights.value
-        for batch in batches:
-            columns = [batch.column(c) for c in ("hashes_a", "counts_a", "hashes_b", "counts_b")]
-            out = []
-            for i in range(batch.num_rows):
-                ha, ca, hb, cb = (c[i].values.to_numpy() for c in columns)
-                ha, hb = ha.astype(np.uint64), hb.astype(np.uint64)
-                wa, wb = table[bucket_of(ha)] * ca.astype(float), table[bucket_of(hb)] * cb.astype(float)
-                _, x, y = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                shared = np.minimum(wa[x], wb[y]).sum()
-                out.append(float(shared / (wa.sum() + wb.sum() - shared)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"]
-            )
-
-    return run
+def similarity(batches):
+    """(a, b, similarity) of rows of pairs with their hashes and weights: weighted Jaccard."""
+    for batch in batches:
+        columns = [batch.column(c) for c in ("hashes_a", "weights_a", "hashes_b", "weights_b")]
+        out = []
+        for i in range(batch.num_rows):
+            ha, wa, hb, wb = (c[i].values.to_numpy() for c in columns)
+            wa, wb = wa.astype(float), wb.astype(float)
+            _, x, y = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+            shared = np.minimum(wa[x], wb[y]).sum()
+            out.append(float(shared / (wa.sum() + wb.sum() - shared)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"]
+        )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,38 +214,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-class Verifier:
-    """Similarity of pairs of texts; shingles of the texts that pairs name are read from the documents once a call."""
+def node_shingles(rows: DataFrame, texts: DataFrame, nodes: DataFrame, weights) -> DataFrame:
+    """node, hashes and weights of the given nodes, read again from one row (key, text) for each."""
+    spark = rows.sparkSession
+    kind = rows.schema["key"].dataType.simpleString()
+    front = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint")
+    bits = filter_of(nodes.select((front % FILTER_BITS).alias("bit")).distinct())
+    found = rows.mapInArrow(
+        shingles_of(spark.sparkContext.broadcast(bits), weights),
+        f"key {kind}, node binary, hashes array<bigint>, weights array<float>",
+    )
+    # Copies of a text would bring the same shingles; the row with the least key speaks for them.
+    named = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("n"), F.col("rep").alias("k"))
+    same = (F.col("node") == F.col("n")) & F.col("key").eqNullSafe(F.col("k"))
+    return found.join(named, same, "left_semi").groupBy("node").agg(
+        F.first("hashes").alias("hashes"), F.first("weights").alias("weights")
+    )
+
 
-    def __init__(self, docs: DataFrame, key: str, text: str, texts: DataFrame, weights):
-        self.rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        self.kind = self.rows.schema["key"].dataType.simpleString()
-        self.texts, self.weights = texts, weights
+def linkable(shingles: DataFrame, similar: float, rounds: int = 2) -> DataFrame:
+    """(node, whole, common) of the nodes that may have a link: their weight, and that of shingles which others hold too.
 
-    def shingles(self, nodes: DataFrame) -> DataFrame:
-        """node, hashes, counts of the given nodes, from one document for each."""
-        spark = self.rows.sparkSession
-        front = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint")
-        bits = filter_of(nodes.select((front % FILTER_BITS).alias("bit")).distinct())
-        found = self.rows.mapInArrow(
-            shingles_of(spark.sparkContext.broadcast(bits)),
-            f"key {self.kind}, node binary, hashes array<bigint>, counts array<int>",
-        )
-        # Copies of a text would bring the same shingles; the one with the least key speaks for them.
-        named = self.texts.join(nodes, "node", "left_semi").select(F.col("node").alias("n"), F.col("rep").alias("k"))
-        same = (F.col("node") == F.col("n")) & F.col("key").eqNullSafe(F.col("k"))
-        return found.join(named, same, "left_semi").groupBy("node").agg(
-            F.first("hashes").alias("hashes"), F.first("counts").alias("counts")
+    What a text shares with another is at most ``common``, so a similarity of ``similar`` needs
+    common >= similar * whole. Dropping the others makes more shingles single, hence a second round.
+    """
+    # A 64-bit name is enough here: if two nodes fall together, both only seem to have more in common.
+    name = F.xxhash64("node").alias("name")
+    each = shingles.select(name, F.explode(F.arrays_zip("hashes", "weights")).alias("s"))
+    each = each.select("name", F.col("s.hashes").alias("hash"), F.col("s.weights").alias("weight"))
+    sums = shingles.select(
+        "node", name, F.aggregate("weights", F.lit(0.0), lambda a, w: a + w.cast("double")).alias("whole")
+    )
+    kept = None
+    for _ in range(rounds):
+        now = each if kept is None else each.join(kept.select("name"), "name", "left_semi")
+        shared = now.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+        common = now.join(shared, "hash").groupBy("name").agg(F.sum(F.col("weight").cast("double")).alias("common"))
+        kept = stored(
+            sums.join(common, "name").filter(F.col("common") >= F.col("whole") * (similar - 1e-6)), "linkable"
         )
+    return kept.drop("name")
+
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        have = stored(self.shingles(nodes), "shingles")
-        left = have.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a"), F.col("counts").alias("counts_a"))
-        right = have.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b"), F.col("counts").alias("counts_b"))
-        whole = pairs.join(left, "a").join(right, "b")
-        whole = whole.select("a", "b", "hashes_a", "counts_a", "hashes_b", "counts_b")
-        return whole.mapInArrow(similarity(self.weights), "a binary, b binary, similarity double")
+def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs of nodes."""
+    for side in "ab":
+        pairs = pairs.join(
+            shingles.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in shingles.columns]), side
+        )
+    columns = ["a", "b", "hashes_a", "weights_a", "hashes_b", "weights_b"]
+    return pairs.select(*columns).mapInArrow(similarity, "a binary, b binary, similarity double")
 
 
 def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SIMILAR) -> DataFrame:
@@ -259,10 +273,11 @@ def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SI
     with a band in common are candidates; those with a weighted Jaccard similarity of at least ``similar`` are
     linked, and linked nodes make a class.
 
-    A band that many nodes share is not expanded into pairs. Its most central node is compared with all
-    others. Where a band is not in one class after that, further pairs are compared, but only those whose
-    distances to the central node allow a link: the distance 1 - similarity obeys the triangle inequality, so
-    no link between candidates is lost.
+    A band that many nodes share is not expanded into pairs. Nodes whose shingles are too much their own to
+    have any link leave first. The most central node of a band is compared with all others. Where a band is
+    not in one class after that, further pairs are compared, but only those that may be linked by the weights of
+    the two nodes, by the part of them that others hold too, and by their distances to the central node
+    (1 - similarity obeys the triangle inequality). No link between candidates is lost.
     """
     fresh(docs, key, text)
     spark = docs.sparkSession
@@ -275,22 +290,26 @@ def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SI
         "texts",
     )
     each = texts.select("node", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(each.join(shared, "band"), "members")
+
+    def in_company(members):
+        return members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "band")
+
+    members = stored(in_company(each), "members")
+    nodes = members.select("node").distinct()
+    shingles = stored(node_shingles(rows, texts, nodes, weights), "shingles")
+    able = linkable(shingles, similar)
+    members = stored(in_company(members.drop("n").join(able.select("node"), "node", "left_semi")), "members")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     centre = members.join(degree, "node").groupBy("band").agg(
         F.max(F.struct("degree", "node"))["node"].alias("centre")
     )
     stars = stored(members.join(centre, "band").select("band", "node", "centre"), "stars")
-    verify = Verifier(docs, key, text, texts, weights)
-    pairs = stored(
-        stars.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
-    )
-    measured = stored(verify(pairs), "measured")
+    pairs = stars.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    measured = stored(verified(pairs, shingles), "measured")
     classes = components(measured.filter(F.col("similarity") >= similar))
-    rest = stored(further_pairs(stars, measured, classes, 1 - similar), "rest")
+    rest = stored(further_pairs(stars, measured, classes, able, similar), "rest")
     if not rest.isEmpty():
-        links = measured.unionByName(verify(rest)).filter(F.col("similarity") >= similar)
+        links = measured.unionByName(verified(rest, shingles)).filter(F.col("similarity") >= similar)
         classes = components(links)
     classes = classes.select("node", F.col("class").alias("linked"))
     return signs.filter("node is not null").join(classes, "node", "left").select(
@@ -298,29 +317,50 @@ def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SI
     ).unionByName(signs.filter("node is null").select("key", "node", F.lit(None).cast("binary").alias("class")))
 
 
-def further_pairs(stars: DataFrame, measured: DataFrame, classes: DataFrame, far: float) -> DataFrame:
-    """Pairs (a, b) of one band in different classes that may be within ``far`` of each other."""
+def further_pairs(stars: DataFrame, measured: DataFrame, classes: DataFrame, able: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of one band in different classes that may be linked, though not by their band's centre.
+
+    A node with weight w, of which c is common, can only be linked to weights from similar * w to
+    c / similar + c - w; a pair joins where the other weight's bin lies in that range. Two nodes share at most the
+    lesser of their parts inside the centre and the lesser of their common parts outside it.
+    """
     near = measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("d"))
     placed = (
-        stars.join(near, ["centre", "node"], "left")
-        .join(classes, "node", "left")
-        .select("band", "node", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("class", "node").alias("class"))
+        stars.join(near, ["centre", "node"], "left").join(able, "node").join(classes, "node", "left")
+        .join(able.select(F.col("node").alias("centre"), F.col("whole").alias("centre_whole")), "centre")
+        .withColumn("inside", F.coalesce(
+            (1 - F.col("d")) * (F.col("whole") + F.col("centre_whole")) / (2 - F.col("d")), F.col("whole")
+        ))
+        .select(
+            "band", "node", "whole", "common", "inside", F.coalesce("d", F.lit(0.0)).alias("d"),
+            F.coalesce("class", "node").alias("class"), (F.col("node") == F.col("centre")).alias("is_centre"),
+        )
     )
-    # Distances in steps of ``far``: a link spans at most one step. Step 0 is all in the centre's class.
-    step = F.least(F.floor((F.col("d") - 1e-9) / far), F.lit(int(1 / far))).cast("int")
-    placed = placed.withColumn("step", F.greatest(step, F.lit(0)))
-    open_bands = placed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y")
-    placed = stored(placed.join(open_bands.select("band"), "band", "left_semi"), "open")
-    a = placed.filter("step > 0").select(
-        "band", "step", F.col("node").alias("a"), F.col("d").alias("da"), F.col("class").alias("ca")
+    main = placed.filter("is_centre").select("band", F.col("class").alias("main"))
+    placed = placed.join(main, "band")
+    open_bands = placed.filter("class != main").select("band").distinct()
+    placed = stored(placed.join(open_bands, "band", "left_semi"), "open")
+    # Weight bins of 2 percent.
+    bin_of = lambda w: F.floor(F.log(w) / F.log(F.lit(1.02))).cast("int")
+    least = F.col("whole") * (similar - 1e-6)
+    most = F.col("common") / (similar - 1e-6) + F.col("common") - F.col("whole")
+    a = placed.filter("class != main").filter(most >= least).select(
+        "band", F.explode(F.sequence(bin_of(least), bin_of(most))).alias("bin"),
+        F.col("node").alias("a"), F.col("d").alias("da"), F.col("class").alias("ca"),
+        F.col("whole").alias("wa"), F.col("common").alias("sa"), F.col("inside").alias("ia"),
     )
-    b = placed.select(
-        "band", F.explode(F.array_distinct(F.array(F.greatest("step", F.lit(1)), F.col("step") + 1))).alias("step"),
-        F.col("node").alias("b"), F.col("d").alias("db"), F.col("class").alias("cb"),
+    b = placed.filter("not is_centre").select(
+        "band", bin_of(F.col("whole")).alias("bin"), F.col("node").alias("b"), F.col("d").alias("db"),
+        F.col("class").alias("cb"), F.col("whole").alias("wb"), F.col("common").alias("sb"), F.col("inside").alias("ib"),
     )
-    met = a.join(b, ["band", "step"]).filter(
-        (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far + 1e-9) & (F.col("db") > 0)
+    outside = F.greatest(F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")), F.lit(0.0))
+    shared = F.least(F.least("sa", "sb", "wa", "wb"), F.least("ia", "ib") + outside)
+    may = (
+        (F.col("ca") != F.col("cb"))
+        & (F.abs(F.col("da") - F.col("db")) <= 1 - similar + 1e-6)
+        & (shared >= (similar - 1e-6) * (F.col("wa") + F.col("wb") - shared))
     )
+    met = a.join(b, (a["band"] == b["band"]) & (a["bin"] == b["bin"]) & may)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
