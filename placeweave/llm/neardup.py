@@ -295,6 +295,7 @@ def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SI
         return members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "band")
 
     members = stored(in_company(each), "members")
+    bands = texts.select("node", "bands")
     nodes = members.select("node").distinct()
     shingles = stored(node_shingles(rows, texts, nodes, weights), "shingles")
     able = linkable(shingles, similar)
@@ -307,7 +308,7 @@ def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SI
     pairs = stars.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     measured = stored(verified(pairs, shingles), "measured")
     classes = components(measured.filter(F.col("similarity") >= similar))
-    rest = stored(further_pairs(stars, measured, classes, able, similar), "rest")
+    rest = stored(further_pairs(stars, measured, classes, able, bands, similar), "rest")
     if not rest.isEmpty():
         links = measured.unionByName(verified(rest, shingles)).filter(F.col("similarity") >= similar)
         classes = components(links)
@@ -317,12 +318,16 @@ def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SI
     ).unionByName(signs.filter("node is null").select("key", "node", F.lit(None).cast("binary").alias("class")))
 
 
-def further_pairs(stars: DataFrame, measured: DataFrame, classes: DataFrame, able: DataFrame, similar: float) -> DataFrame:
+def further_pairs(
+    stars: DataFrame, measured: DataFrame, classes: DataFrame, able: DataFrame, bands: DataFrame, similar: float
+) -> DataFrame:
     """Pairs (a, b) of one band in different classes that may be linked, though not by their band's centre.
 
     A node with weight w, of which c is common, can only be linked to weights from similar * w to
     c / similar + c - w; a pair joins where the other weight's bin lies in that range. Two nodes share at most the
-    lesser of their parts inside the centre and the lesser of their common parts outside it.
+    lesser of their parts inside the centre and the lesser of their common parts outside it. Every band that two
+    nodes of different classes share is open and each of these conditions is necessary, so a pair is looked at once, in
+    the first band that it shares.
     """
     near = measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("d"))
     placed = (
@@ -339,7 +344,7 @@ def further_pairs(stars: DataFrame, measured: DataFrame, classes: DataFrame, abl
     main = placed.filter("is_centre").select("band", F.col("class").alias("main"))
     placed = placed.join(main, "band")
     open_bands = placed.filter("class != main").select("band").distinct()
-    placed = stored(placed.join(open_bands, "band", "left_semi"), "open")
+    placed = stored(placed.join(open_bands, "band", "left_semi").join(bands, "node"), "open")
     # Weight bins of 2 percent.
     bin_of = lambda w: F.floor(F.log(w) / F.log(F.lit(1.02))).cast("int")
     least = F.col("whole") * (similar - 1e-6)
@@ -348,15 +353,19 @@ def further_pairs(stars: DataFrame, measured: DataFrame, classes: DataFrame, abl
         "band", F.explode(F.sequence(bin_of(least), bin_of(most))).alias("bin"),
         F.col("node").alias("a"), F.col("d").alias("da"), F.col("class").alias("ca"),
         F.col("whole").alias("wa"), F.col("common").alias("sa"), F.col("inside").alias("ia"),
+        F.col("bands").alias("bands_a"),
     )
     b = placed.filter("not is_centre").select(
         "band", bin_of(F.col("whole")).alias("bin"), F.col("node").alias("b"), F.col("d").alias("db"),
         F.col("class").alias("cb"), F.col("whole").alias("wb"), F.col("common").alias("sb"), F.col("inside").alias("ib"),
+        F.col("bands").alias("bands_b"), (F.col("class") == F.col("main")).alias("b_main"),
     )
     outside = F.greatest(F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")), F.lit(0.0))
     shared = F.least(F.least("sa", "sb", "wa", "wb"), F.least("ia", "ib") + outside)
     may = (
         (F.col("ca") != F.col("cb"))
+        & (F.col("b_main") | (F.col("a") < F.col("b")))
+        & (F.array_intersect("bands_a", "bands_b")[0] == a["band"])
         & (F.abs(F.col("da") - F.col("db")) <= 1 - similar + 1e-6)
         & (shared >= (similar - 1e-6) * (F.col("wa") + F.col("wb") - shared))
     )
