@@ -37,25 +37,33 @@ MARKS = set(
 WORD = re.compile(r"[a-z]+")
 #: Gaussian weights of the neighbours at distance 0, 1 and 2 (one block of deviation).
 WEIGHTS = [math.exp(-d * d / 2) for d in range(3)]
+#: Evidence of an article or main element: what its smoothed ratios count against the threshold.
+LIFT = 4.0
 
 
 class Blocks(HTMLParser):
-    """Collects [text pieces, tags, region, in article] of every block outside the dropped elements."""
+    """Collects [text pieces, tags, region, article, dropped, pieces in links, links] of every block.
+
+    region is the number of the nearest container, article that of the nearest article or main element, or 0.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = []  # (element, dropped, region number, in article) of open regions
+        self.open = []  # (element, dropped, region, article) of open regions
+        self.headers = set()  # regions that are header elements
+        self.link = False
         self.blocks = []
         self.regions = 0
         self.silent = None  # a dropped element that is no region, while it is open
         self.fresh_block()
 
     def state(self):
-        return self.open[-1] if self.open else ("", False, 0, False)
+        return self.open[-1] if self.open else ("", False, 0, 0)
 
     def fresh_block(self):
         _, dropped, region, article = self.state()
-        self.now = [[], 0, region, article, dropped]
+        self.now = [[], 0, region, article, dropped, [], 0]
+        self.link = False  # an unclosed link ends with its block
         self.blocks.append(self.now)
 
     def handle_starttag(self, tag, attrs):
@@ -79,12 +87,17 @@ class Blocks(HTMLParser):
                 elif tag not in ("html", "body") and self.marked(attrs):
                     dropped = "mark"
             self.regions += 1
-            self.open.append((tag, dropped, self.regions, article or main))
+            self.open.append((tag, dropped, self.regions, self.regions if main else article))
+            if tag == "header":
+                self.headers.add(self.regions)
         elif tag in DROPPED or (tag in BLOCKS and self.marked(attrs)):
             self.silent = tag
         if tag in BLOCKS:
             self.fresh_block()
         self.now[1] += 1
+        if tag == "a":
+            self.link = True
+            self.now[6] += 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -97,6 +110,8 @@ class Blocks(HTMLParser):
             if tag not in REGIONS:
                 return
         self.now[1] += 1
+        if tag == "a":
+            self.link = False
         if tag in REGIONS:
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] == tag:
@@ -108,6 +123,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         if not self.silent and not self.now[4]:
             self.now[0].append(data)
+            if self.link:
+                self.now[5].append(data)
 
     @staticmethod
     def marked(attrs):
@@ -122,12 +139,13 @@ class Blocks(HTMLParser):
         return False
 
 
-def smoothed(values):
+def smoothed(values, groups):
+    """Gaussian means over the neighbours of the same group."""
     out = []
     for i in range(len(values)):
         total = weight = 0.0
         for j in range(max(0, i - 2), min(len(values), i + 3)):
-            w = WEIGHTS[abs(i - j)]
+            w = WEIGHTS[abs(i - j)] if groups[i] == groups[j] else 0.0
             total += w * values[j]
             weight += w
         out.append(total / weight)
@@ -152,29 +170,40 @@ def main_text(html):
     """The article of a page, blocks joined by one space; empty for a null or empty page.
 
     Blocks in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-    left out as they are parsed. Of the others the text-to-tag ratios are smoothed and cut in two
-    clusters; regions (an article or main element, else the nearest container) that hold a block of the
-    upper cluster are taken whole, short blocks too. If a page has an article or main element with
-    text, other regions are not taken.
+    left out as they are parsed. Of the others the ratios of text outside links to tags are smoothed, not
+    across the border of an article or main element, and cut in two clusters. Regions (the nearest article
+    or main element, else the nearest container) that hold a block of the upper cluster are taken whole,
+    short blocks too; in an article or main element a block counts as upper from a quarter of the border
+    (``LIFT``). Blocks that are half links or more never choose a region, and containers of several links
+    and little else are left out of their article, unless nothing else is in the regions taken.
     """
     if not html:
         return ""
     parser = Blocks()
     parser.feed(html)
     parser.close()
-    blocks = []
-    for pieces, tags, region, article, dropped in parser.blocks:
+    blocks, shares = [], {}
+    for pieces, tags, region, article, dropped, linked, links in parser.blocks:
         text = " ".join("".join(pieces).split())
         if text and not dropped:
-            blocks.append((text, len(text) / (1 + tags), region, article))
+            n = min(len(" ".join("".join(linked).split())), len(text))
+            blocks.append((text, len(text), n, tags, region, article))
+            share = shares.setdefault(region, [0, 0, 0])
+            for i, v in enumerate((len(text), n, links)):
+                share[i] += v
     if not blocks:
         return ""
-    if any(b[3] for b in blocks):
-        return " ".join(b[0] for b in blocks if b[3])
-    ratio = smoothed([b[1] for b in blocks])
+    ratio = smoothed([(length - n) / (1 + tags) for _, length, n, tags, _, _ in blocks], [b[5] for b in blocks])
+    ratio = [0.0 if 2 * b[2] >= b[1] else r for b, r in zip(blocks, ratio)]
     border = threshold(ratio)
-    chosen = {b[2] for b, r in zip(blocks, ratio) if r >= border}
-    return " ".join(b[0] for b in blocks if b[2] in chosen)
+    chosen = {b[5] or b[4] for b, r in zip(blocks, ratio) if r * (LIFT if b[5] else 1.0) >= border}
+    taken = [b for b in blocks if (b[5] or b[4]) in chosen]
+
+    def in_list(region, article):
+        length, n, links = shares[region]
+        return region != article and region not in parser.headers and links > 1 and 2 * n >= length
+
+    return " ".join(b[0] for b in [b for b in taken if not in_list(b[4], b[5])] or taken)
 
 
 def extracted(batches):

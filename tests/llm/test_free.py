@@ -58,6 +58,31 @@ def test_an_unclosed_menu_does_not_swallow_the_article():
     assert extraction.main_text("<nav><ul><li>a<article><p>Text</article>") == "Text"
 
 
+STORY = "".join(f"<p>{'A sentence of the story number %d goes on. ' % i * 6}</p>" for i in range(4))
+
+
+def test_long_text_beside_a_teaser_article():
+    teaser = '<article><h2><a href="/t">Other tale</a></h2><p>Read it here.</p></article>'
+    for page in (f"{teaser}<div>{STORY}</div>", f"<main>{teaser}<div>{STORY}</div>{teaser}</main>"):
+        got = extraction.main_text(f"<body>{page}</body>")
+        assert got.startswith("A sentence of the story number 0") and "number 3" in got and "tale" not in got and "Read" not in got
+
+
+def test_link_lists_inside_an_article_are_left_out():
+    links = "".join(f'<li><a href="/{i}">Go to page {i}</a></li>' for i in range(6))
+    bullets = "<ul><li>Salt</li><li>Bread with <a href=/b>oil</a></li></ul>"
+    head = "<header><h1><a href=/>Title</a></h1><a href=/by>By</a></header>"
+    got = extraction.main_text(f"<article>{head}<ul>{links}</ul>{STORY}{bullets}<div><ol>{links}</ol></div><p>End.</p></article>")
+    assert got.startswith("Title By A sentence") and got.endswith("goes on. Salt Bread with oil End.") and "Go" not in got
+    assert extraction.main_text(f"<article><ul>{links}</ul></article>").startswith("Go to page 0 Go")
+
+
+def test_two_articles_of_unlike_length_are_both_taken():
+    short = f"<p>{'Few words of another one. ' * 7}</p>" * 3
+    got = extraction.main_text(f"<article><h2>A</h2>{STORY}</article><article><h2>B</h2>{short}</article><div>Page 1 of 2</div>")
+    assert got.startswith("A A sentence") and "B Few words" in got and "Page" not in got
+
+
 # --- benchmark decontamination ---
 
 
