@@ -27,16 +27,26 @@ STAND_FOR = {
 }
 SEPARATORS = "-_.*~'`,/\\^:;​‌‍­"
 KEPT, SWAPPED, REPEATED, PARTED = math.log(0.97), math.log(0.3), math.log(0.4), math.log(0.6)
+#: A sign that ends a word costs nothing, as the best reading without any end is kept as well.
+BROKEN = 0.0
 
 WORD = re.compile(r"[^\W\d_]+")
 PUNCTUATION = ".,;:!?\"'()[]{}<>&%#*$-_|"
+#: A chunk from behind, without the punctuation and paired signs at its end.
+LAST = re.compile(r"[^\w@$]*(?:[$@]{2,})?(.*)", re.S)
+TRIPLED = re.compile(r"(.)\1{2,}")
 THRICE = re.compile(r"([^\W\d_])\1\1")
 #: Letters spaced out one by one.
 SPACED = re.compile(
     rf"(?<!\S)[^\W_](?:[ {re.escape(SEPARATORS)}]{{1,2}}[^\W_@$!]){{2,}}(?![^\s{re.escape(SEPARATORS)}!?])"
 )
-#: Longer chunks are identifiers or digests, not disguised words; their plain words still count.
-LONGEST = 40
+#: Hexadecimal digests and UUIDs are no disguised words; their plain words still count.
+DIGEST = re.compile(
+    r"(?=.*\d)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
+    r"|[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})"
+)
+#: Longer chunks are read anew each time, so that the cache stays small.
+LONGEST_CACHED = 200
 
 
 def letter_classes():
@@ -89,6 +99,7 @@ class Restorer:
     def __init__(self, model):
         self.model = model.tolist()
         self.known = {}
+        self.signs = {}
 
     @staticmethod
     def letter(ch):
@@ -105,43 +116,69 @@ class Restorer:
             bare = chunk.strip(PUNCTUATION)
             fronted = chunk[:1] in STAND_FOR and chunk[1:2].isalpha()
             odd = plain and (fronted or not bare.isalpha() or THRICE.search(bare))
-            found = self.known[chunk] = (*plain, *(self.decoded(chunk) if odd else ()))
+            found = (*plain, *(self.decoded(chunk) if odd else ()))
+            if len(chunk) <= LONGEST_CACHED:
+                self.known[chunk] = found
+        return found
+
+    def options(self, ch):
+        """(class, letter, cost) of each letter that a sign can be, and whether it can stand between letters."""
+        found = self.signs.get(ch)
+        if found is None:
+            letters = [(self.letter(o), o, SWAPPED) for o in STAND_FOR.get(ch, "")]
+            if ch.isalpha():
+                letters.append((self.letter(ch), ch, KEPT))
+            found = self.signs[ch] = (letters, ch in SEPARATORS or ch == " " or not letters)
         return found
 
     def decoded(self, chunk):
+        """Words of the best reading as one word and of the best one in several words, for any length."""
         # Signs behind a word are punctuation, save for digits and letter-like signs.
-        chunk = re.sub(r"[^\w@$]+$", "", re.sub(r"^[^\w@$!|+]+", "", chunk))
-        chunk = re.sub(r"[$@]{2,}$", "", chunk)
-        if len(chunk) > LONGEST or not WORD.search(chunk):
+        chunk = re.sub(r"^[^\w@$!|+]+", "", chunk)
+        chunk = LAST.match(chunk[::-1]).group(1)[::-1]
+        if DIGEST.fullmatch(chunk) or not WORD.search(chunk):
             return ()
-        # state: (letter before last, last letter) -> (score, letters, letter just written or None)
-        states = {(0, 0): (0.0, "")}
+        model = self.model
+        # state: (letter before last, last letter, whether a word has ended) -> (score, path); a path is
+        # (path before, letter), so that readings share what they have in common.
+        states = {(0, 0, False): (0.0, None)}
         previous = ""
         for ch in chunk:
             after = {}
-
-            def offer(state, score, out, after=after):
-                if state not in after or after[state][0] < score:
-                    after[state] = (score, out)
-
-            options = [(o, SWAPPED) for o in STAND_FOR.get(ch, "")]
-            if ch.isalpha():
-                options.append((ch, KEPT))
-            for (a, b), (score, out) in states.items():
-                for o, cost in options:
-                    c = self.letter(o)
-                    offer((b, c), score + cost + self.model[a][b][c], out + o)
-                if ch in SEPARATORS or ch == " " or (not options):
-                    offer((a, b), score + PARTED, out)
-                if ch == previous and out and ch.isalpha():
-                    offer((a, b), score + REPEATED, out)
+            letters, between = self.options(ch)
+            again = ch == previous and ch.isalpha()
+            for state, (score, path) in states.items():
+                a, b, broken = state
+                row = model[a][b]
+                for c, o, cost in letters:
+                    to, s = (b, c, broken), score + cost + row[c]
+                    if to not in after or after[to][0] < s:
+                        after[to] = (s, (path, o))
+                if between:
+                    s = score + PARTED
+                    if state not in after or after[state][0] < s:
+                        after[state] = (s, path)
+                    if b:
+                        to, s = (0, 0, True), score + BROKEN + row[0]
+                        if to not in after or after[to][0] < s:
+                            after[to] = (s, (path, " "))
+                if again and path:
+                    s = score + REPEATED
+                    if state not in after or after[state][0] < s:
+                        after[state] = (s, path)
             states, previous = after, ch
-        if not states:
-            return ()
-        best = max(states.items(), key=lambda s: s[1][0] + self.model[s[0][0]][s[0][1]][0])
-        word = best[1][1]
-        squeezed = re.sub(r"(.)\1{2,}", r"\1", word)
-        return tuple({w for w in (word, squeezed) if len(w) > 1})
+        out = set()
+        for kind in (False, True):
+            ends = [(s + (model[a][b][0] if b else 0.0), path) for (a, b, broken), (s, path) in states.items() if broken == kind]
+            if not ends:
+                continue
+            path, letters = max(ends, key=lambda e: e[0])[1], []
+            while path:
+                path, letter = path
+                letters.append(letter)
+            for word in "".join(reversed(letters)).split():
+                out.update(w for w in (word, TRIPLED.sub(r"\1", word)) if len(w) > 1)
+        return tuple(out)
 
     def words(self, text):
         """Distinct words of a text, plain and restored."""

@@ -232,6 +232,20 @@ def test_toxicity_learns_from_labels_and_restores_disguised_words(spark):
     assert scorer.score(docs.limit(0)).count() == 0
 
 
+def test_disguised_words_of_any_length_are_restored(spark):
+    plain = "so you are such a stupid person and a complete idiot who is a moron too".split()
+    rng = np.random.default_rng(4)
+    restorer = toxicity.Restorer(toxicity.language_model(table(spark, [" ".join(rng.choice(plain, 300)) for _ in range(20)])))
+    spaced = " ".join("youaresuchastupididiot")
+    assert len(spaced) > 40 and {"you", "are", "such", "stupid", "idiot"} <= restorer.words(f"Well: {spaced}.")
+    assert {"you", "idiot"} <= restorer.words("y o u i d i o t")
+    assert {"idiot", "moron", "complete"} <= restorer.words("so_you_are_a_complete_1d10t_and_a_m0r0n_too")
+    assert "idiot" in restorer.words("idi" + "o" * 60 + "t") and "idiot" in restorer.words("i-d-i-o-t")
+    assert {"idiot", "moron"} <= restorer.words("so_" * 30_000 + "1d10t_m0r0n")
+    digest = hashlib.sha256(b"x").hexdigest()
+    assert restorer.words(digest) == set(toxicity.WORD.findall(digest))
+
+
 def test_toxicity_without_labels_gives_all_the_same_score(spark):
     docs = table(spark, ["some text", None])
     scorer = toxicity.Toxicity(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
