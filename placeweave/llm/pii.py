@@ -68,7 +68,7 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def proposals(text: Column, base: Column) -> Column:
+def proposals(text: Column, base: Column, generators=(0, 1, 2)) -> Column:
     """High-recall spans of three generators with format and context features.
 
     They may overlap each other and the base spans; ``base`` tells which they overlap (the weak label).
@@ -97,62 +97,75 @@ def proposals(text: Column, base: Column) -> Column:
 
         return F.transform(spans(text, pattern, guard), row)
 
-    return F.concat(
-        described(0, NUMBER, None),
-        described(1, DOTTED, text.rlike("[0-9]\\.[0-9]")),
-        described(2, AT, F.contains(text, F.lit("@"))),
-    )
+    kinds = [(NUMBER, None), (DOTTED, text.rlike("[0-9]\\.[0-9]")), (AT, F.contains(text, F.lit("@")))]
+    return F.concat(*[described(g, *kinds[g]) for g in generators])
 
 
-def proposed(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
+def proposed(docs: DataFrame, text: str, *keep: Column, generators=(0, 1, 2)) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         *keep,
         let(
             base_spans(whole),
-            lambda b: F.struct(b.alias("base"), proposals(whole, b).alias("proposals")),
+            lambda b: F.struct(b.alias("base"), proposals(whole, b, generators).alias("proposals")),
         ).alias("found"),
     )
 
 
 def fitted(docs: DataFrame, text="text", key="doc_id", fit_rows: int = FIT_ROWS, precision: float = 0.98):
-    """(boosted trees, threshold per generator) from at most ``fit_rows`` proposals of smallest hash.
+    """(boosted trees, threshold per generator).
 
-    Half of them fit the trees; on the other half each generator gets the least score, in hundredths,
-    above which ``precision`` of its proposals overlap a base span. None if only one class is seen.
+    The trees are fitted on at most ``fit_rows`` proposals, an equal share for each generator: those of
+    smallest hash among the even hashes. All proposals outside that sample are scored, and each generator
+    gets the least score, in hundredths, above which ``precision`` of its proposals overlap a base span; it
+    gets none, so that nothing of it is added, where no score does. A generator without proposals outside
+    the sample takes the threshold of all generators together. None if only one class is seen.
     """
-    each = proposed(docs, text, F.col(key).alias("key")).select(
-        "key", F.explode("found.proposals").alias("p")
-    )
-    draw = F.xxhash64("key", "p.start", "p.stop", "p.generator")
-    sample = (
-        each.select(draw.alias("draw"), F.col("p.base").cast("double").alias("label"), *[f"p.{f}" for f in FEATURES])
-        .orderBy("draw", "label", *FEATURES)
-        .limit(fit_rows)
-        .persist()
-    )
-    fit, rest = sample.filter(F.col("draw") % 2 == 0), sample.filter(F.col("draw") % 2 != 0)
-    if fit.select("label").distinct().count() < 2:
-        sample.unpersist()
+
+    def drawn(*generators):
+        each = proposed(docs, text, F.col(key).alias("key"), generators=generators).select(
+            "key", F.explode("found.proposals").alias("p")
+        )
+        draw = F.xxhash64("key", "p.start", "p.stop", "p.generator")
+        return each.select(draw.alias("draw"), F.col("p.base").cast("double").alias("label"), *[f"p.{f}" for f in FEATURES])
+
+    # One pass for each generator, so that each share is bounded before rows meet.
+    parts = [
+        drawn(g).filter(F.col("draw") % 2 == 0).orderBy("draw", "label", *FEATURES).limit(max(fit_rows // 3, 1))
+        for g in range(3)
+    ]
+    fit = parts[0].union(parts[1]).union(parts[2]).persist()
+    seen = fit.groupBy("generator", "label").agg(F.max("draw").alias("last")).collect()  # at most 6 rows
+    if len({r["label"] for r in seen}) < 2:
+        fit.unpersist()
         return None
     pack = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTClassifier(maxIter=10, maxDepth=3, maxBins=32, seed=7).fit(pack.transform(fit))
-    scored = trees.transform(pack.transform(rest))
+    fit.unpersist()
+    outside = F.col("draw") % 2 != 0
+    for g in {r["generator"] for r in seen}:
+        last = max(r["last"] for r in seen if r["generator"] == g)
+        outside = outside | ((F.col("generator") == g) & (F.col("draw") > last))
+    scored = trees.transform(pack.transform(drawn(0, 1, 2).filter(outside)))
     part = F.floor(vector_to_array("probability")[1] * 100).cast("int")
-    seen = (
+    counts = (
         scored.groupBy("generator", part.alias("part"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
         .collect()  # at most 101 rows per generator
     )
-    sample.unpersist()
-    limits = {}
-    for g in range(3):
+
+    def limit(rows):
         n = good = 0
-        for r in sorted((r for r in seen if r["generator"] == g), key=lambda r: -r["part"]):
-            n, good = n + r["n"], good + r["good"]
+        least = None
+        for p in sorted({r["part"] for r in rows}, reverse=True):
+            n += sum(r["n"] for r in rows if r["part"] == p)
+            good += sum(r["good"] for r in rows if r["part"] == p)
             if good >= precision * n:
-                limits[g] = r["part"] / 100
-    return trees, limits
+                least = p / 100
+        return least
+
+    limits = {g: limit([r for r in counts if r["generator"] == g] or counts) for g in range(3)}
+    return trees, {g: v for g, v in limits.items() if v is not None}
 
 
 def personal_spans(docs: DataFrame, text="text", key="doc_id", model=None) -> DataFrame:

@@ -186,6 +186,15 @@ def test_trees_add_spans_that_look_like_base_ones(spark):
     assert sum(r.n_phone for r in got) == 150 and not any("other" in r.spans for r in got if r.doc_id >= 150)
 
 
+def test_rare_generators_get_their_own_threshold_over_all_proposals(spark):
+    numbers = [" , ".join(f"+1 ({i:03d}) 555-{i:04d} , {i:08d}" for i in range(a, a + 50)) for a in range(100, 900, 20)]
+    mails = [f"write me{i}@home{i}.org or you{i}@home" for i in range(40)]
+    trees, limits = pii.fitted(table(spark, numbers + mails), fit_rows=60)
+    assert 2 in limits and 0 in limits
+    trees, limits = pii.fitted(table(spark, numbers), fit_rows=60)
+    assert 0 in limits and limits[1] == limits[2] == limits[0]
+
+
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="missing"):
         quality.quality(spark.range(1))
