@@ -1,8 +1,8 @@
 """The queries of this subpackage over the driver tables, and their SQL where SQL can say them."""
 
 from placeweave.llm import (
-    bpe, credentials, decontaminate, extraction, neardup, oracles, pii, quality, records, site_quality,
-    toxicity,
+    bpe, conversations, credentials, decontaminate, extraction, hard_negatives, multi_index, neardup, oracles, pii,
+    quality, records, site_quality, toxicity,
 )
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_pii": pii.run,
     "op9_bpe": bpe.run,
     "op10_records": records.run,
+    "op11_hard_negatives": hard_negatives.run,
+    "op12_conversation_repair": conversations.run,
+    "op13_multi_index": multi_index.run,
 }
 ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
