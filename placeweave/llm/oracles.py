@@ -109,3 +109,108 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, c
        sha256(coalesce(names.names, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
 from d left join hit using (r) left join names using (r)
 """
+
+NEGATIVES = """
+with given as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+size as (select len(v) as n from given group by 1 order by count(*) desc, 1 limit 1),
+rows as (select * from given where len(v) = (select n from size)),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+         list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as score
+  from rows a join rows b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over w as integer) as rank, vec_id as negative_id,
+       cast(positive_score as bigint) as positive_score, cast(score as bigint) as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window w as (partition by anchor_id, positive_id order by score desc, vec_id)
+qualify row_number() over w <= 3
+"""
+
+
+def _crc32(text):
+    """crc32 of an ASCII text; ``crc`` must hold the table of its 256 remainders."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: cast(ascii(c) as bigint))"
+    step = "lambda crc, b: xor(t[(xor(crc, b) & 255) + 1], crc >> 8)"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), {step}), 4294967295)"
+
+
+def _least(*ways):
+    """The cheapest of (condition, cost so far and edit, letter, repaired text); ties by the letters."""
+    each = ", ".join(
+        f"case when {when} and {old} is not null then {{'c': {old}.c + {price}, 'a': {old}.a || '{letter}', "
+        f"'r': {old}.r" + (f" || '\n' || {text}" if text else "") + "} end"
+        for when, old, price, letter, text in ways
+    )
+    return f"list_min(list_filter([{each}], lambda x: x is not null))"
+
+
+_STAYS = "case when fault = 'truncated' then 5 else 0 end"
+_MAY = "coalesce(fault, '') not in ('blank', 'duplicate')"
+_KEPT = "role || ':' || text"
+_TO_USER = [(f"{_MAY} and role[1] = 'u'", q, _STAYS, "K", _KEPT) for q in ("p", "s", "a")] + [
+    (_MAY, q, f"1 + {_STAYS}", "R", "'user:' || text") for q in ("p", "s", "a")
+]
+_TO_ASSISTANT = [
+    (f"{_MAY} and role[1] = 'a'", "u", _STAYS, "K", _KEPT), (_MAY, "u", f"1 + {_STAYS}", "R", "'assistant:' || text"),
+]
+#: States: p nothing yet, s a system turn, u a user's turn, a an assistant's turn; each {cost, letters, repaired}.
+REPAIRS = f"""
+with recursive crc as (
+  select list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+         lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {_crc32("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as fate
+  from conversations, crc),
+left_over as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+         case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when fate = 3 then [0, 1] else [0] end) as copy
+  from given where fate <> 0),
+numbered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from left_over),
+faulty as (
+  select *, lag(role[1]) over (partition by conv_id order by i) || role[1] as pair,
+         case when not regexp_matches(text, '{SOLID}') then 'blank'
+              when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+              when not regexp_matches(text, '[.!?]{SPACES[:-1]}*$') then 'truncated' end as fault
+  from numbered),
+steps as (
+  select conv_id, cast(0 as bigint) as i, {{'c': 0, 'a': '', 'r': ''}} as p, cast(null as struct(c integer, a varchar, r varchar)) as s,
+         {{'c': 5, 'a': 'I', 'r': chr(10) || 'user:'}} as u,
+         {{'c': 10, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} as a
+  from (select distinct conv_id from numbered)
+  union all
+  select conv_id, i, p, s, u, {_least(("true", "a", 0, "", ""), ("true", "u", 5, "I", "'assistant:'"))} as a
+  from (
+    select conv_id, i, p, s, a, {_least(("true", "u", 0, "", ""), *[("true", q, 5, "I", "'user:'") for q in ("p", "s", "a")])} as u
+    from (
+      select f.conv_id, f.i, {_least(("true", "p", 2, "D", ""))} as p,
+             {_least(("true", "s", 2, "D", ""), (f"{_MAY} and role[1] = 's'", "p", _STAYS, "K", _KEPT))} as s,
+             {_least(("true", "u", 2, "D", ""), *_TO_USER)} as u,
+             {_least(("true", "a", 2, "D", ""), *_TO_ASSISTANT)} as a
+      from steps join faulty f on f.conv_id is not distinct from steps.conv_id and f.i = steps.i + 1))),
+ends as (
+  select conv_id, {_least(("true", "p", 0, "", ""), ("true", "a", 0, "", ""))} as best
+  from steps qualify row_number() over (partition by conv_id order by i desc) = 1),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (i > 1 and coalesce(pair, '') not in ('su', 'ua', 'au')) as illegal
+  from faulty group by conv_id)
+select d.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(best.c, 0) as bigint) as cost,
+       coalesce(best.a, '') as audit, sha256(substr(coalesce(best.r, ''), 2)) as repaired_sha256
+from (select distinct conv_id from conversations) d
+left join counts on counts.conv_id is not distinct from d.conv_id
+left join ends on ends.conv_id is not distinct from d.conv_id
+"""

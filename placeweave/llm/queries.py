@@ -24,4 +24,6 @@ ORACLES = {
     "op1_quality_rules": oracles.QUALITY,
     "op2_secret_scans": oracles.SECRETS,
     "op5_decontamination": oracles.LEAKS,
+    "op11_hard_negatives": oracles.NEGATIVES,
+    "op12_conversation_repair": oracles.REPAIRS,
 }
