@@ -14,6 +14,11 @@ WHITE = (
 )
 
 
+#: Ratios that a task remembers from batch to batch; the same two names meet in many pairs.
+RATIOS_KEPT = 2**18
+_RATIOS = {}
+
+
 def text_or_empty(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
@@ -101,15 +106,16 @@ def fold_address(value: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    known = {}
     scores = []
     for pair in zip(left, right):
         if pair[0] is None or pair[1] is None:
             scores.append(None)
             continue
-        if pair not in known:
-            known[pair] = SequenceMatcher(None, pair[0], pair[1]).ratio()
-        scores.append(known[pair])
+        if pair not in _RATIOS:
+            if len(_RATIOS) >= RATIOS_KEPT:
+                _RATIOS.clear()
+            _RATIOS[pair] = SequenceMatcher(None, pair[0], pair[1]).ratio()
+        scores.append(_RATIOS[pair])
     return pd.Series(scores, dtype="float64")
 
 
@@ -124,6 +130,12 @@ def containment_likeness(left: Column, right: Column) -> Column:
     return F.lit(fixed.CONTAINMENT_FLOOR) + F.lit(fixed.CONTAINMENT_SPAN) * (short / long)
 
 
+def most_likeness(left: Column, right: Column) -> Column:
+    """What the matching ratio of two texts is at most, from their lengths alone."""
+    total = F.length(left) + F.length(right)
+    return F.when((left == "") | (right == ""), 0.0).otherwise(2.0 * F.least(F.length(left), F.length(right)) / total)
+
+
 def likeness(left: Column, right: Column, at_least: float | None = None) -> Column:
     """0 for empty text, the containment score, else the order-sensitive matching ratio.
 

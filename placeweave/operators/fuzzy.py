@@ -101,8 +101,13 @@ def similar_texts(
         F.col("left_text").contains(F.col("right_text"))
         | F.col("right_text").contains(F.col("left_text"))
     )
+    pairs = met.filter((F.col("role") == "alike") | held).select(*group, "left_text", "right_text").distinct()
+    # Few bytes, much work for each: without a number of its own this stage would be folded into one or two tasks.
+    context = met.sparkSession.sparkContext
+    pairs = pairs.repartition(max(4 * context.defaultParallelism, int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "left_text", "right_text")
+    # A ratio of t leaves at most (1 - t) s characters unmatched, and so many edits turn one text into the other.
+    edits = f"levenshtein(left_text, right_text, cast(floor({1 - threshold} * (length(left_text) + length(right_text)) + 1e-9) as int)) >= 0"
     score = likeness(F.col("left_text"), F.col("right_text"), at_least=threshold)
-    pairs = met.filter((F.col("role") == "alike") | held)
-    pairs = pairs.select(*group, "left_text", "right_text").distinct().withColumn("likeness", score)
+    pairs = pairs.filter(held | F.expr(edits)).withColumn("likeness", score)
     # Callers join the result and count its keys first; it must not be computed for each of these.
     return cut_lineage(pairs.filter(F.col("likeness") >= threshold))

@@ -5,12 +5,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from placeweave import fixed
 from placeweave.functions.geo import distance_m
 from placeweave.functions.labels import confidence_of
+from placeweave.functions.nearby import area_in_address
 from placeweave.functions.numbers import not_nan
 from placeweave.functions.text import (
-    fold_address, fold_name, fold_phone, likeness, none_if_empty, text_or_empty,
+    contained, containment_likeness, fold_address, fold_name, fold_phone, has_text, likeness, most_likeness, none_if_empty, text_or_empty,
 )
 from placeweave.functions.urls import listing_url, website_key
 from placeweave.operators.fuzzy import similar_texts
+from placeweave.operators.keywords import asked_words, held_words, questions
 from placeweave.operators.skew import split_join
 from placeweave.operators.spatial import Grid
 
@@ -20,6 +22,10 @@ def column_or(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+def none_if_blank(value: Column) -> Column:
+    return F.when(has_text(value), value)
+
+
 def place_keys(places: DataFrame) -> DataFrame:
     """Comparable form of each place, computed once before any pair exists."""
     return places.select(
@@ -33,6 +39,8 @@ def place_keys(places: DataFrame) -> DataFrame:
         not_nan(column_or(places, "latitude")).alias("place_lat"),
         not_nan(column_or(places, "longitude")).alias("place_lng"),
         column_or(places, "coordinates_source").alias("coordinates_source"),
+        area_in_address(column_or(places, "address")).alias("place_area"),
+        asked_words(F.coalesce(none_if_blank(column_or(places, "alternate_name")), column_or(places, "name"))).alias("place_words"),
     )
 
 
@@ -52,6 +60,8 @@ def listing_keys(listings: DataFrame) -> DataFrame:
         F.coalesce(column_or(listings, "is_relocated", "boolean"), F.lit(False)).alias(
             "is_relocated"
         ),
+        area_in_address(column_or(listings, "address")).alias("listing_area"),
+        held_words(column_or(listings, "name")).alias("listing_words"),
     )
 
 
@@ -61,6 +71,55 @@ def name_likeness(listing_name: Column, *place_names: Column) -> Column:
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
+def is_same_phone() -> Column:
+    return (F.col("place_phone") != "") & (F.col("place_phone") == F.col("listing_phone"))
+
+
+def total_points(name_score: Column, address_score: Column, metres: Column) -> Column:
+    near = (
+        F.when(metres <= 100, fixed.DISTANCE_POINTS)
+        .when(metres <= 1000, fixed.DISTANCE_POINTS * (1000 - metres) / 900)
+        .otherwise(0.0)
+    )
+    return (
+        F.when(is_same_phone(), fixed.PHONE_POINTS).otherwise(0.0)
+        + name_score * fixed.NAME_POINTS
+        + F.when(address_score >= 0.45, address_score * fixed.ADDRESS_POINTS).otherwise(0.0)
+        + near
+    )
+
+
+def may_win(pairs: DataFrame) -> DataFrame:
+    """The pairs of ``stop_early`` that can still be the best of their place.
+
+    Texts of which one holds the other have an exact likeness, others one that their lengths bound, so every pair
+    has a least and a largest score without the matching ratio. A pair leaves when its largest score is below the
+    least of another of its place that is ranked before it or alike (a current listing before a relocated one).
+    """
+    metres = distance_m(*[F.col(c) for c in ("place_lat", "place_lng", "listing_lat", "listing_lng")])
+    texts = {"name": ("place_name", "listing_name"), "alternate": ("place_alternate", "listing_name"), "address": ("place_address", "listing_address")}
+    exact = {f"exact_{k}": F.when(contained(F.col(a), F.col(b)), containment_likeness(F.col(a), F.col(b))) for k, (a, b) in texts.items()}
+    columns = pairs.columns
+    known = pairs.withColumns({**exact, "metres": metres})
+
+    def likely(k, most):
+        other = most_likeness(*[F.col(c) for c in texts[k]]) if most else F.lit(0.0)
+        return F.coalesce(F.col(f"exact_{k}"), other)
+
+    def score(most):
+        total = total_points(F.greatest(likely("name", most), likely("alternate", most)), likely("address", most), F.col("metres"))
+        return F.when(F.col("direct"), fixed.DIRECT_SCORE).otherwise(F.least(total, F.lit(100.0)))
+
+    bounded = known.withColumns({"least_score": score(False), "most_score": score(True)})
+    of_place = Window.partitionBy("place_id")
+    current = F.max(F.when(~F.col("is_relocated"), F.col("least_score"))).over(of_place)
+    moved = F.max("least_score").over(of_place)
+    ahead = F.when(F.col("is_relocated"), moved).otherwise(current)
+    bounded = bounded.select(*columns, "most_score", ahead.alias("ahead"))
+    # Scores are rounded to one decimal, so each may be off by half of that.
+    return bounded.filter(F.col("most_score") + 0.1001 >= F.coalesce("ahead", F.lit(0.0))).select(*columns)
+
+
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Add score, confidence, reasons and distance to pairs of place and listing keys."""
     direct = F.coalesce(F.col("direct"), F.lit(False)) if "direct" in pairs.columns else F.lit(False)
@@ -74,20 +133,9 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         "metres",
         distance_m(*[F.col(c) for c in ("place_lat", "place_lng", "listing_lat", "listing_lng")]),
     )
-    same_phone = (F.col("place_phone") != "") & (F.col("place_phone") == F.col("listing_phone"))
     metres = F.col("metres")
-    near = (
-        F.when(metres <= 100, fixed.DISTANCE_POINTS)
-        .when(metres <= 1000, fixed.DISTANCE_POINTS * (1000 - metres) / 900)
-        .otherwise(0.0)
-    )
-    total = (
-        F.when(same_phone, fixed.PHONE_POINTS).otherwise(0.0)
-        + F.col("name_score") * fixed.NAME_POINTS
-        + F.when(F.col("address_score") >= 0.45, F.col("address_score") * fixed.ADDRESS_POINTS)
-        .otherwise(0.0)
-        + near
-    )
+    same_phone = is_same_phone()
+    total = total_points(F.col("name_score"), F.col("address_score"), metres)
     before, after = fixed.REASON_DISTANCE
     reasons = F.array_compact(
         F.array(
@@ -117,21 +165,26 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     )
 
 
-SOURCES = ["direct", "name", "phone", "nearby"]
+SOURCES = ["direct", "name", "phone", "nearby", "keyword"]
+KEYWORD = SOURCES.index("keyword")
+#: Names of at least this likeness are suggestions.
+NAME_THRESHOLD = 0.88
 
 
 def candidate_pairs(
     places: DataFrame,
     listings: DataFrame,
     radius_m: float = 500.0,
-    name_threshold: float | None = None,
+    name_threshold: float | None = NAME_THRESHOLD,
 ) -> DataFrame:
-    """(place_id, listing_id, stage) from the link, name, phone and distance blocks.
+    """(place_id, listing_id, stage) from the link, name, phone, distance and keyword blocks.
 
     ``places`` and ``listings`` are key tables. ``stage`` is the position in SOURCES of the
-    strongest block that found the pair. The name block holds equal folded names, or with
-    ``name_threshold`` all names that are at least that alike. All blocks share one join: each
-    row gives one (stage, key) per block, and the distance is checked on the grid cells' pairs.
+    strongest block that found the pair. The name block holds all names that are at least
+    ``name_threshold`` alike, or without one equal folded names. The keyword block is asked for places
+    that no name suggests anything for: listings of the same area whose name holds all words of the place's name.
+    All blocks share one join: each row gives one (stage, key) per block, and the distance is checked on the grid
+    cells' pairs.
     """
     grid = Grid(radius_m)
     nowhere = F.lit(None).cast("bigint").alias("band")
@@ -146,42 +199,53 @@ def candidate_pairs(
             F.lit(3).alias("stage"), F.lit(None).cast("string").alias("key"), band.alias("band")
         ),
     )
-    named = [key(1, "place_name"), key(1, "place_alternate")] if name_threshold is None else []
-    blocks = F.array(key(0, "place_listing_url"), key(2, "place_phone"), *named)
+    blocks = F.array(key(0, "place_listing_url"), key(2, "place_phone"))
     blocks = F.concat(blocks, F.coalesce(bands, F.slice(blocks, 1, 0)))
-    left = places.select(
-        "place_id", "place_lat", "place_lng", F.explode(blocks).alias("block")
-    ).select("place_id", "place_lat", "place_lng", "block.*")
+    kept = ("place_id", "place_lat", "place_lng")
+    no_words = F.lit(None).cast("array<string>")
+    left = places.select(*kept, F.explode(blocks).alias("block")).select(*kept, "block.*")
     left = grid.widen(left, "place_lat", "place_lng", "band", "cell").select(
-        "place_id", "place_lat", "place_lng", "stage",
-        F.coalesce("key", F.col("cell").cast("string")).alias("key"),
+        *kept, "stage", F.coalesce("key", F.col("cell").cast("string")).alias("key"), no_words.alias("asked"),
     )
     names = F.array("place_name", "place_alternate")
-    if name_threshold is not None:
-        given = places.select(
-            "place_id", "place_lat", "place_lng",
-            F.explode(F.array_distinct(names)).alias("left_text"),
-        ).filter(F.col("left_text") != "")
-        alike = similar_texts(
-            given.select(F.col("left_text").alias("text")),
-            listings.select(F.col("listing_name").alias("text")), name_threshold,
-        )
-        left = left.unionByName(
-            split_join(given, alike.select("left_text", "right_text"), ["left_text"]).select(
-                "place_id", "place_lat", "place_lng", F.lit(1).alias("stage"),
-                F.col("right_text").alias("key"),
-            )
-        )
+    given = places.select(*kept, F.explode(F.array_distinct(names)).alias("left_text")).filter(F.col("left_text") != "")
+    held = listings.select(F.col("listing_name").alias("text")).filter(F.col("text") != "")
+    if name_threshold is None:
+        alike = held.distinct().select(F.col("text").alias("left_text"), F.col("text").alias("right_text"))
+    else:
+        alike = similar_texts(given.select(F.col("left_text").alias("text")), held, name_threshold)
+        alike = alike.select("left_text", "right_text")
+    suggested = split_join(given, alike, ["left_text"]).select(
+        *kept, F.lit(1).alias("stage"), F.col("right_text").alias("key"), no_words.alias("asked"),
+    )
+    named = given.join(alike.select("left_text").distinct(), "left_text", "left_semi").select("place_id")
+    asking = places.join(named, "place_id", "left_anti")
+    asked = asking.select(*kept, "place_area", "place_words").join(
+        questions(asking, listings), ["place_area", "place_words"]
+    ).select(*kept, F.lit(KEYWORD).alias("stage"), in_area("place_area", "word"), F.col("place_words").alias("asked"))
+    left = left.unionByName(suggested).unionByName(asked)
     home = grid.home(F.col("listing_lat"), F.col("listing_lng")).cast("string")
     cell = F.struct(F.lit(3).alias("stage"), home.alias("key"), nowhere)
     own = F.array(key(0, "listing_url"), key(1, "listing_name"), key(2, "listing_phone"), cell)
     right = listings.select(
         "listing_id", "listing_lat", "listing_lng", F.explode(own).alias("block")
-    ).select("listing_id", "listing_lat", "listing_lng", "block.stage", "block.key")
-    met = split_join(left, right, ["stage", "key"])
+    ).select("listing_id", "listing_lat", "listing_lng", "block.stage", "block.key", no_words.alias("held"))
+    wanted = asked.select("key").distinct()
+    found = listings.filter(F.col("listing_area").isNotNull()).select(
+        "listing_id", "listing_lat", "listing_lng", "listing_area", "listing_words", F.explode("listing_words").alias("word")
+    ).select(
+        "listing_id", "listing_lat", "listing_lng", F.lit(KEYWORD).alias("stage"), in_area("listing_area", "word"),
+        F.col("listing_words").alias("held"),
+    ).join(wanted, "key", "left_semi")
+    met = split_join(left, right.unionByName(found), ["stage", "key"])
     metres = distance_m(lat, lng, F.col("listing_lat"), F.col("listing_lng"))
-    near = (F.col("stage") < 3) | F.coalesce(metres <= radius_m, F.lit(False))
-    return met.filter(near).groupBy("place_id", "listing_id").agg(F.min("stage").alias("stage"))
+    near = (F.col("stage") != 3) | F.coalesce(metres <= radius_m, F.lit(False))
+    answers = (F.col("stage") != KEYWORD) | (F.size(F.array_except("asked", "held")) == 0)
+    return met.filter(near & answers).groupBy("place_id", "listing_id").agg(F.min("stage").alias("stage"))
+
+
+def in_area(area: str, word: str) -> Column:
+    return F.concat_ws(" ", area, word).alias("key")
 
 
 def with_keys(pairs: DataFrame, places: DataFrame, listings: DataFrame) -> DataFrame:
@@ -317,7 +381,7 @@ def collapse_copies(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
     place needs depends on any copy with reviews, so ``copy_reviewed`` stays beside the best one.
     """
     evidence = ["listing_name", "listing_phone", "listing_address", "listing_url",
-                "listing_lat", "listing_lng"]
+                "listing_lat", "listing_lng", "listing_area", "listing_words"]
     order = F.struct(
         (~F.col("is_relocated")).alias("current"),
         F.col("rating").isNotNull().alias("rated"),

@@ -12,40 +12,55 @@ from placeweave.plans.match import candidate_lists, match_places, match_with_awa
 from placeweave.session import cut_lineage
 from placeweave.sources import sinks
 from workloads.registry import (
-    address_key, contained_likeness, folded, listing_link, metres, phone_key, query, website,
+    address_area, address_key, asked_words, contained_likeness, folded, held_words, likenesses, listing_link, may_be_alike,
+    metres, phone_key, query, website,
 )
 
 c = F.col
 
-PLACE_KEYS = f"""
+def places_sql(view="places"):
+    return f"""
     p as (select place_id, {folded('name')} as n, {folded('alternate_name')} as alt, {phone_key('phone')} as ph,
-                 cast('' as varchar) as ad, {website('website')} as web, {listing_link('listing_url')} as link,
-                 latitude as lat, longitude as lng, coordinates_source as src from places)"""
+                 {address_key('address')} as ad, {website('website')} as web, {listing_link('listing_url')} as link,
+                 latitude as lat, longitude as lng, coordinates_source as src, {address_area('address')} as area,
+                 {asked_words("coalesce(nullif(trim(alternate_name), ''), name)")} as words from {view})"""
+
+
+PLACE_KEYS = places_sql()
 
 
 def listing_sql(view):
     return f"""
     l as (select listing_id, {folded('name')} as n, {phone_key('phone')} as ph, {address_key('address')} as ad,
                  coalesce({listing_link('url')}, url) as link, url, latitude as lat, longitude as lng, rating,
-                 review_count, is_relocated from {view})"""
+                 review_count, is_relocated, {address_area('address')} as area, {held_words('name')} as words from {view})"""
 
 
 M = metres("p.lat", "p.lng", "l.lat", "l.lng")
 BOX = "abs(p.lat - l.lat) < 0.005 and abs(p.lng - l.lng) < 0.01"
 FOUND = f"""
+    {may_be_alike('close_names', 'select n as t from p union all select alt from p', 'select n as t from l', 0.88)},
+    {likenesses('suggestions', 'select a, b from close_names')},
+    suggested as (select distinct place_id, listing_id from suggestions s join p on s.a = p.n or s.a = p.alt join l on l.n = s.b
+                  where likeness >= 0.88),
     found as (select place_id, listing_id, min(stage) as stage from (
         select place_id, listing_id, 0 as stage from p join l on p.link = l.link
-        union all select place_id, listing_id, 1 from p join l on p.n = l.n and p.n <> ''
-        union all select place_id, listing_id, 1 from p join l on p.alt = l.n and p.alt <> ''
+        union all select place_id, listing_id, 1 from suggested
         union all select place_id, listing_id, 2 from p join l on p.ph = l.ph and p.ph <> ''
-        union all select place_id, listing_id, 3 from p join l on {BOX} and {M} <= 500) t
+        union all select place_id, listing_id, 3 from p join l on {BOX} and {M} <= 500
+        union all select place_id, listing_id, 4 from p join l on p.area = l.area and len(p.words) > 0 and list_has_all(l.words, p.words)
+                  where place_id not in (select place_id from suggested)) t
       group by place_id, listing_id)"""
-NAME = f"greatest({contained_likeness('p.n', 'l.n')}, {contained_likeness('p.alt', 'l.n')})"
-ADDRESS = contained_likeness("p.ad", "l.ad")
 PAIRS = f"""
-    pairs as (select p.place_id, l.listing_id, f.stage, p.ph as pph, l.ph as lph, {M} as m, {NAME} as name, {ADDRESS} as address,
+    {likenesses('alike', """select p.n as a, l.n as b from found join p using (place_id) join l using (listing_id)
+        union all select p.alt, l.n from found join p using (place_id) join l using (listing_id)
+        union all select p.ad, l.ad from found join p using (place_id) join l using (listing_id)""")},
+    pairs as (select p.place_id, l.listing_id, f.stage, p.ph as pph, l.ph as lph, {M} as m,
+                     greatest(coalesce(x.likeness, 0e0), coalesce(y.likeness, 0e0)) as name, coalesce(z.likeness, 0e0) as address,
                      l.rating, l.review_count, l.is_relocated, l.url, p.src, p.n as pn, p.alt as palt, l.n as ln
-              from found f join p on f.place_id = p.place_id join l on f.listing_id = l.listing_id)"""
+              from found f join p on f.place_id = p.place_id join l on f.listing_id = l.listing_id
+              left join alike x on x.a = p.n and x.b = l.n left join alike y on y.a = p.alt and y.b = l.n
+              left join alike z on z.a = p.ad and z.b = l.ad)"""
 STOPPED = """
     evidence as (select place_id, bool_or(stage = 0) as direct,
         (coalesce(bool_or(stage = 1 and pph <> '' and pph = lph), false)
@@ -66,62 +81,56 @@ SCORED = f"""
       from scored)"""
 
 
-def sql_of(view, *parts):
-    return ", " + ",".join([PLACE_KEYS, listing_sql(view), *parts])
+def sql_of(places, listings, *parts):
+    return ", " + ",".join([places_sql(places), listing_sql(listings), *parts])
 
 
-def key_tables(table, view="listings"):
-    keys = linkage.place_keys(table("places").drop("address")), linkage.listing_keys(table(view))
+def key_tables(table, places="places", listings="listings"):
+    keys = linkage.place_keys(table(places)), linkage.listing_keys(table(listings))
     return tuple(cut_lineage(df) for df in keys)
 
 
-def award_tables(table, probe):
-    return cut_lineage(probe), cut_lineage(awards.award_keys(table("awards_dup")))
+TOWN = ("places_town", "listings_town")
 
 
-# SQL has no matching ratio. So the places here carry no address, and every candidate pair of the
-# proxy tables has names of which one holds the other; ratios are checked in the tests.
+def award_tables(table, probe):
+    return cut_lineage(probe), cut_lineage(awards.award_keys(table("awards_dup")))
 
 
-@query("j01_scored_pairs", sql_of("listings", FOUND, PAIRS, f"""
-    contained as (select *, round({TOTAL}, 1) as total from pairs where name > 0)""") + """
-    select place_id, listing_id, round(name, 6) as name_score, reasons
-    from (select *, concat_ws('|', case when pph <> '' and pph = lph then '電話完全相同' end,
-            case when name >= 0.88 then '店名高度相似' end,
-            case when m <= 100 then '座標相距 ' || cast(round(m) as bigint) || ' 公尺' end) as reasons from contained) t""",
-    views=["places", "listings"])
+@query("j01_scored_pairs", sql_of(*TOWN, FOUND, PAIRS, f"""
+    totals as (select *, round({TOTAL}, 1) as total from pairs)""") + """
+    select place_id, listing_id, round(name, 6) as name_score, round(address, 6) as address_score, least(total, 100e0) as score,
+           concat_ws('|', case when pph <> '' and pph = lph then '電話完全相同' end,
+            case when name >= 0.88 then '店名高度相似' end, case when address >= 0.82 then '地址高度相似' end,
+            case when m <= 100 then '座標相距 ' || cast(round(m) as bigint) || ' 公尺' end) as reasons from totals""",
+    views=TOWN)
 def scored_pairs(table):
-    place, listing = key_tables(table)
+    place, listing = key_tables(table, *TOWN)
     pairs = linkage.with_keys(linkage.candidate_pairs(place, listing), place, listing)
     scored = linkage.score_pairs(pairs)
-    held = [c("place_name"), c("place_alternate")]
-    contained = F.lit(False)
-    for name in held:
-        contained = contained | ((name != "") & (name.contains(c("listing_name")) | c("listing_name").contains(name)))
-    kept = scored.filter(contained)
-    return kept.select("place_id", "listing_id", F.round("name_score", 6).alias("name_score"),
-                       F.array_join("reasons", "|").alias("reasons"))
+    return scored.select("place_id", "listing_id", F.round("name_score", 6).alias("name_score"),
+                         F.round("address_score", 6).alias("address_score"), "score", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("j02_candidate_stages", sql_of("listings_dup", FOUND) + """
-    select place_id, listing_id, stage from found""", views=["places", "listings_dup"])
+@query("j02_candidate_stages", sql_of(*TOWN, FOUND) + """
+    select place_id, listing_id, stage from found""", views=TOWN)
 def candidate_stages(table):
-    return linkage.candidate_pairs(*key_tables(table, "listings_dup"))
+    return linkage.candidate_pairs(*key_tables(table, *TOWN))
 
 
-@query("j02_early_stop", sql_of("listings_dup", FOUND, PAIRS, STOPPED) + """
-    select place_id, listing_id, stage from kept""", views=["places", "listings_dup"])
+@query("j02_early_stop", sql_of(*TOWN, FOUND, PAIRS, STOPPED) + """
+    select place_id, listing_id, stage from kept""", views=TOWN)
 def early_stop(table):
-    place, listing = key_tables(table, "listings_dup")
+    place, listing = key_tables(table, *TOWN)
     pairs = linkage.with_keys(linkage.candidate_pairs(place, listing), place, listing)
     return linkage.stop_early(pairs).select("place_id", "listing_id", "stage")
 
 
-@query("j02_fuzzy_names")
+@query("j02_fuzzy_names", sql_of("places", "listings", FOUND) + """
+    select place_id, listing_id, stage from found""", views=["places", "listings"])
 def fuzzy_names(table):
-    """Candidate stages with names at least 0.88 alike instead of equal ones."""
-    place, listing = key_tables(table)
-    return linkage.candidate_pairs(place, listing, name_threshold=0.88)
+    """Candidate stages of places that keywords cannot help, for want of an area."""
+    return linkage.candidate_pairs(*key_tables(table), name_threshold=0.88)
 
 
 @query("j03_award_pairs", f"""
@@ -335,37 +344,37 @@ def listing_and_award(table):
 RANK = "order by is_relocated, score desc, case when rating is not null then 0 else 1 end, coalesce(review_count, 0) desc, listing_id"
 
 
-@query("w01_ranked_candidates", sql_of("listings_dup", FOUND, PAIRS, STOPPED, SCORED) + f"""
+@query("w01_ranked_candidates", sql_of(*TOWN, FOUND, PAIRS, STOPPED, SCORED) + f"""
     select place_id, listing_id, score, confidence, reasons || case when is_relocated then '|Tabelog 標示為移轉前資料' else '' end as reasons,
            cast(row_number() over (partition by place_id {RANK}) as integer) as rank from banded""",
-    views=["places", "listings_dup"])
+    views=TOWN)
 def ranked_candidates(table):
-    place, listing = key_tables(table, "listings_dup")
+    place, listing = key_tables(table, *TOWN)
     pairs = linkage.stop_early(linkage.with_keys(linkage.candidate_pairs(place, listing), place, listing))
     ranked = linkage.rank_candidates(linkage.score_pairs(pairs))
     return ranked.select("place_id", "listing_id", "score", "confidence", F.array_join("reasons", "|").alias("reasons"), "rank")
 
 
-@query("p15_match_places", sql_of("listings_dup", FOUND, PAIRS, STOPPED, SCORED) + f"""
+@query("p15_match_places", sql_of(*TOWN, FOUND, PAIRS, STOPPED, SCORED) + f"""
     , best as (select *, row_number() over (partition by place_id {RANK}) as rn from banded)
     select p.place_id, b.listing_id, b.score, b.confidence, b.listing_id is not null as matched,
            coalesce(b.confidence <> 'high', false) as needs_confirmation
     from p left join best b on p.place_id = b.place_id and b.rn = 1 and b.confidence <> 'low'""",
-    views=["places", "listings_dup"])
+    views=TOWN)
 def matched_places(table):
-    matched = match_places(table("places").drop("address"), table("listings_dup"))
+    matched = match_places(table("places_town"), table("listings_town"))
     return matched.select("place_id", "listing_id", "score", "confidence", "matched", "needs_confirmation")
 
 
-@query("s06_typed_matches", sql_of("listings_dup", FOUND, PAIRS, STOPPED, SCORED) + f"""
+@query("s06_typed_matches", sql_of(*TOWN, FOUND, PAIRS, STOPPED, SCORED) + f"""
     , best as (select *, row_number() over (partition by place_id {RANK}) as rn from banded)
     select p.place_id, b.listing_id, b.score, b.confidence, b.listing_id is not null as matched,
            coalesce(b.confidence <> 'high', false) as needs_confirmation, '2024-05-01' as run_date
     from p left join best b on p.place_id = b.place_id and b.rn = 1 and b.confidence <> 'low'""",
-    views=["places", "listings_dup"])
+    views=TOWN)
 def typed_matches(table):
     """Matches written as a result table, twice, and read back."""
-    matched = cut_lineage(match_places(table("places").drop("address"), table("listings_dup")))
+    matched = cut_lineage(match_places(table("places_town"), table("listings_town")))
     spark = matched.sparkSession
     path = f"{spark.sparkContext.getCheckpointDir()}/results-{uuid.uuid4().hex}"
     for _ in range(2):
@@ -385,24 +394,24 @@ def best_of_names(table):
     return pairs.select("place_id", F.round(best, 6).alias("best"))
 
 
-@query("a06_match_flags", sql_of("listings_dup", FOUND, PAIRS) + """
+@query("a06_match_flags", sql_of(*TOWN, FOUND, PAIRS) + """
     select place_id, coalesce(bool_or(pph <> '' and pph = lph), false) as has_phone,
            coalesce(bool_or((pph <> '' and pph = lph) or coalesce(m <= 500, false)), false) as has_strong,
            bool_or(rating is not null or coalesce(review_count, 0) > 0) as has_reviews
-    from pairs group by place_id""", views=["places", "listings_dup"])
+    from pairs group by place_id""", views=TOWN)
 def match_flags(table):
-    place, listing = key_tables(table, "listings_dup")
+    place, listing = key_tables(table, *TOWN)
     pairs = linkage.with_keys(linkage.candidate_pairs(place, listing), place, listing)
     return linkage.evidence_flags(pairs)
 
 
-@query("a07_decisive_pairs", sql_of("listings", FOUND, PAIRS) + """
+@query("a07_decisive_pairs", sql_of(*TOWN, FOUND, PAIRS) + """
     select place_id, listing_id from pairs where not is_relocated and
       ((name >= 0.88 and pph <> '' and pph = lph)
        or (src = 'place' and name >= 0.96 and m <= 150 and (rating is not null or review_count > 0)))""",
-    views=["places", "listings"])
+    views=TOWN)
 def decisive_pairs(table):
-    place, listing = key_tables(table)
+    place, listing = key_tables(table, *TOWN)
     scored = linkage.score_pairs(linkage.with_keys(linkage.candidate_pairs(place, listing), place, listing))
     return scored.filter(linkage.is_decisive(scored)).select("place_id", "listing_id")
 
@@ -441,9 +450,12 @@ def catalogue_winners(table):
     return dedupe_catalogue(keys, listing_compare_key(c("url")))
 
 
-@query("j01_scored_with_addresses")
+@query("j01_scored_with_addresses", sql_of("places", "listings_dup", FOUND, PAIRS, f"""
+    totals as (select *, least(round({TOTAL}, 1), 100e0) as score from pairs)""") + """
+    select place_id, listing_id, score, case when score >= 75 then 'high' when score >= 52 then 'medium' else 'low' end as confidence
+    from totals""", views=["places", "listings_dup"])
 def scored_with_addresses(table):
-    """All candidate pairs with address likeness, which needs the matching ratio."""
+    """All candidate pairs with the likeness of their addresses."""
     place = cut_lineage(linkage.place_keys(table("places")))
     listing = cut_lineage(linkage.listing_keys(table("listings_dup")))
     pairs = linkage.with_keys(linkage.candidate_pairs(place, listing), place, listing)

@@ -1,5 +1,6 @@
 """Registered queries: a Spark function and, where SQL can say it, the DuckDB text to compare with."""
 
+from placeweave import fixed
 from workloads.views import frame, with_views
 
 QUERIES = {}
@@ -67,6 +68,68 @@ def contained_likeness(a, b):
     )
 
 
+def likenesses(name, pairs):
+    """CTEs: ``name`` has a, b and likeness of every distinct pair of non-empty texts of the query ``pairs``.
+
+    The matching ratio takes the longest common part (the first in a, then in b) and goes on left and right of it.
+    """
+    return f"""
+    {name}_asked as (select distinct a, b from ({pairs}) where a <> '' and b <> ''),
+    {name}_pieces as (
+      select a as left_text, b as right_text, a, b, 0 as n from {name}_asked where not contains(a, b) and not contains(b, a)
+      union all
+      select left_text, right_text, part.a, part.b, part.n from (
+        select left_text, right_text, unnest([{{'a': a[:i - 1], 'b': b[:j - 1], 'n': k}}, {{'a': a[i + k:], 'b': b[j + k:], 'n': 0}}]) as part
+        from (select *, instr(b, a[i:i + k - 1]) as j from (
+          select left_text, right_text, a, b, best.k as k, -best.i as i from (
+            select *, list_max(list_transform(range(1, length(a) + 1), lambda i: {{'k': len(list_filter(range(1, length(a) - i + 2),
+                     lambda k: contains(b, a[i:i + k - 1]))), 'i': -i}})) as best
+            from {name}_pieces where a <> '' and b <> '')) where k > 0))),
+    {name} as (
+      select a, b, {contained_likeness('a', 'b')} as likeness from {name}_asked where contains(a, b) or contains(b, a)
+      union all
+      select left_text, right_text, 2e0 * sum(n) / (length(left_text) + length(right_text)) from {name}_pieces group by left_text, right_text)"""
+
+
+def may_be_alike(name, left, right, threshold):
+    """CTEs: ``name`` has all pairs (a, b) of texts of the two queries (column t) that may have that likeness.
+
+    A ratio cannot pass what the shorter text allows, nor what the common characters allow, counted one by one.
+    """
+    characters = "string_split('0123456789abcdefghijklmnopqrstuvwxyz', '')"
+    counts = f"list_transform({characters}, lambda x: length(t) - length(replace(t, x, '')))"
+    counted = f"select t, length(t) as s, {counts} as n, length(regexp_replace(t, '[0-9a-z]', '', 'g')) as rest from"
+    return f"""
+    {name}_left as ({counted} (select distinct t from ({left}) where t <> '')),
+    {name}_right as ({counted} (select distinct t from ({right}) where t <> '')),
+    {name} as (
+      select l.t as a, r.t as b from {name}_left l join {name}_right r on contains(l.t, r.t) or contains(r.t, l.t)
+        or (2 * least(l.s, r.s) >= {threshold} * (l.s + r.s)
+            and 2 * (least(l.rest, r.rest) + list_sum(list_transform(range(1, 37), lambda i: least(l.n[i], r.n[i])))) >= {threshold} * (l.s + r.s)))"""
+
+
+def asked_words(text):
+    return _words(text, "case when length(r) = 1 then [r] else PAIRS end")
+
+
+def held_words(text):
+    return _words(text, "case when length(r) = 1 then [r] else list_concat(PAIRS, string_split(r, '')) end")
+
+
+def _words(text, other):
+    """SQL text of the sorted distinct words of a name; ``other`` is for runs beyond ASCII."""
+    kept = "\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}"
+    runs = f"regexp_extract_all(lower(coalesce({text}, '')), '[0-9a-z]+|[{kept}]+')"
+    pairs = "list_transform(range(1, length(r)), lambda i: r[i:i + 1])"
+    each = f"case when regexp_matches(r, '^[0-9a-z]+$') then [r] else {other.replace('PAIRS', pairs)} end"
+    return f"list_sort(list_distinct(flatten(list_transform({runs}, lambda r: {each}))))"
+
+
+def address_area(text):
+    bare = f"replace(replace(coalesce({text}, ''), '日本、', ''), '日本,', '')"
+    return f"nullif(regexp_extract({bare}, '{fixed.ADDRESS_AREA_PATTERN}', 1), '')"
+
+
 LINK = "(?i)https?://tabelog\\.com/(?:en/|tw/|cn/|kr/)?([a-z0-9-]+/A\\d+/A\\d+/\\d+)/?"
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from placeweave.functions import geo, keys, labels, nearby, numbers, text, urls
 from workloads.registry import (
-    address_key, area_of, contained_likeness, folded, listing_link, metres, name_key, phone_key,
+    address_key, area_of, contained_likeness, folded, likenesses, listing_link, metres, name_key, phone_key,
     query, website,
 )
 
@@ -59,7 +59,10 @@ def likeness(table):
     return pairs.select("place_id", F.round(text.likeness(c("a"), c("b")), 6).alias("likeness"))
 
 
-@query("h05_likeness_ratio")
+@query("h05_likeness_ratio", f""", k as (select listing_id, {name_key('name')} as k from listings),
+    {likenesses('alike', 'select x.k as a, y.k as b from k x join k y on y.listing_id = x.listing_id + 1')}""" + """
+    select x.listing_id, round(coalesce(likeness, 0), 6) as likeness
+    from k x join k y on y.listing_id = x.listing_id + 1 left join alike on a = x.k and b = y.k""", views=["listings"])
 def ratio(table):
     """Ratio of each listing name with the next listing's; the standard library defines it."""
     left = table("listings").select("listing_id", text.fold_name(c("name")).alias("a"))

@@ -23,6 +23,11 @@ PRICE = (
     "concat('￥', cast(1000 + (p_partkey % 9) * 1000 as string), '～￥', cast(1 + p_partkey % 9 as string), ',999')"
 )
 
+TOWN = (
+    "case KEY % 4 when 0 then '〒104-0061 東京都中央区銀座' when 1 then '大阪府大阪市北区' when 2 then '京都府京都市左京区' "
+    "else '北海道札幌市' end"
+)
+
 VIEWS = {
     "listings": f"""
         select p_partkey as listing_id,
@@ -67,6 +72,25 @@ VIEWS = {
                case when p_partkey % 23 = 0 then concat('https://tabelog.com/tw/', {AREA}, '/', 13000000 + p_partkey, '/dtlrvwlst/?x=1') else '' end as listing_url,
                case when p_partkey % 2 = 0 then 'place' else 'viewport' end as coordinates_source
         from {{part}}""",
+    # Addresses name a prefecture; some names are misspelt, turned round or cut short and have nothing else to go by.
+    "listings_town": f"""
+        select listing_id, name, latitude, longitude, phone,
+               case when address = '' then '' else concat({TOWN.replace('KEY', 'listing_id')}, ' ', address) end as address,
+               url, rating, review_count, is_relocated
+        from {{listings_dup}}""",
+    "places_town": f"""
+        select place_id,
+               case place_id % 24 when 1 then concat(substr(name, 1, 2), substr(name, 4))
+                    when 7 then concat(split_part(name, ' ', 3), ' ', split_part(name, ' ', 2), ' ', split_part(name, ' ', 1))
+                    when 13 then concat(split_part(name, ' ', 3), ', ', split_part(name, ' ', 1)) else name end as name,
+               alternate_name,
+               case when place_id % 24 in (1, 7, 13) then null else latitude end as latitude,
+               case when place_id % 24 in (1, 7, 13) then null else longitude end as longitude,
+               case when place_id % 24 in (1, 7, 13) then null else phone end as phone,
+               case when address = '' and place_id % 24 not in (1, 7, 13) then ''
+                    else concat({TOWN.replace('KEY', 'place_id')}, ' ', address) end as address,
+               website, listing_url, coordinates_source
+        from {{places}}""",
     "awards": f"""
         select p_partkey as award_id,
                concat(p_name, ' ', p_brand) as name,
@@ -173,6 +197,7 @@ def with_views(names: list[str], sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
+    start = "with recursive " if "_pieces as (" in body else "with "
     if body.lower().startswith("with "):
-        return "with " + ",\n".join(parts) + ",\n" + body[5:]
-    return "with " + ",\n".join(parts) + "\n" + body
+        return start + ",\n".join(parts) + ",\n" + body[5:]
+    return start + ",\n".join(parts) + "\n" + body
