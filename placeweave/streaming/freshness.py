@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placeweave.functions.numbers import micros
-
+from placeweave.operators.asof import as_of, chains
+from placeweave.session import cut_lineage
 
 
 def mark_fresh(
@@ -13,55 +14,33 @@ def mark_fresh(
 ) -> DataFrame:
     """Add ``hit``: whether the event falls within the lifetime of its key's last miss.
 
-    A silence longer than the lifetime always ends in a miss, so the events between two silences
-    are folded on their own, each stretch in time order, with one number of state per stretch.
+    After a miss the next one is the first event later than its time plus the lifetime, so misses form chains. A
+    chain starts at the first event of a key and after every silence longer than the lifetime; the rest follows
+    by an as-of lookup and pointer doubling, without a task that sees a whole key. Of events of one key and time
+    only the first by ``tie`` can be a miss. An event without key or time is no hit.
     """
     ttl = int(ttl_seconds * 1_000_000)
-    stretches = _stretches(events.withColumn("micros", micros(F.col(ts))), key, ttl, tie)
-    ordered = stretches.repartition(key, "stretch").sortWithinPartitions(
-        key, "stretch", "micros", tie
-    )
-    schema = ordered.drop("stretch", "micros").schema.add("hit", "boolean")
-
-    def fold(batches):
-        last, created = None, None
-        for batch in batches:
-            hits = []
-            for name, stretch, at in zip(batch[key], batch["stretch"], batch["micros"]):
-                if (name, stretch) != last:
-                    last, created = (name, stretch), None
-                hit = created is not None and at - created <= ttl
-                if not hit:
-                    created = at
-                hits.append(hit)
-            yield batch.drop(columns=["stretch", "micros"]).assign(hit=hits)
-
-    return ordered.mapInPandas(fold, schema)
-
-
-def _stretches(events: DataFrame, key: str, ttl: int, tie: str) -> DataFrame:
-    """Give each event the start of its stretch: the last event that follows a long silence."""
-    day = F.floor(F.col("micros") / 86_400_000_000)
-    # The last event of each bucket and key is enough to see across a bucket's edge.
-    events = events.withColumn("bucket", day)
-    lasts = events.groupBy(key, "bucket").agg(F.max("micros").alias("last"))
-    per_key = Window.partitionBy(key).orderBy("bucket")
-    edges = lasts.withColumn("before", F.lag("last").over(per_key)).drop("last")
-    inside = Window.partitionBy(key, "bucket").orderBy("micros", tie)
-    marked = events.join(edges, [key, "bucket"]).withColumn(
-        "previous", F.coalesce(F.lag("micros").over(inside), F.col("before"))
-    )
-    starts = F.col("previous").isNull() | (F.col("micros") - F.col("previous") > ttl)
-    marked = marked.withColumn("start", F.when(starts, F.col("micros")))
-    heads = marked.groupBy(key, "bucket").agg(F.max("start").alias("head"))
-    earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("entered", F.max("head").over(earlier)).drop("head")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        marked.join(heads, [key, "bucket"])
-        .withColumn("stretch", F.coalesce(F.max("start").over(so_far), F.col("entered")))
-        .drop("bucket", "before", "previous", "start", "entered")
-    )
+    usable = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    timed = events.filter(usable).withColumn("at", micros(F.col(ts)))
+    nodes = cut_lineage(timed.select(key, "at").distinct())
+    # One lookup serves both: the next node after the lifetime, and, for a lifetime of nothing, the next node.
+    probes = nodes.select(key, "at", F.explode(F.array(F.lit(ttl), F.lit(0))).alias("wait"))
+    probes = probes.withColumn("until", F.col("at") + F.col("wait"))
+    later = nodes.withColumnRenamed("at", "later")
+    looked = cut_lineage(as_of(probes, later, [key], "until", "later", ["later"], forward=True).select(
+        key, "at", "wait", F.col("found.later").alias("next")
+    ).filter("next is not null"))
+    after_silence = looked.filter((F.col("wait") == 0) & (F.col("next") - F.col("at") > ttl)).select(key, F.col("next").alias("at"))
+    first = nodes.groupBy(key).agg(F.min("at").alias("at"))
+    starts = cut_lineage(after_silence.unionByName(first))
+    pointers = looked.filter(F.col("wait") == ttl).select(key, "at", "next") if ttl else looked.select(key, "at", "next").distinct()
+    known = starts.withColumnRenamed("at", "next")
+    misses = chains(starts, pointers.join(known, [key, "next"], "left_anti"), [key]).withColumn("missed", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy(key, "at").orderBy(tie))
+    marked = timed.withColumn("nth", nth).join(misses, [key, "at"], "left")
+    hit = ~(F.coalesce("missed", F.lit(False)) & (F.col("nth") == 1))
+    marked = marked.select(*events.columns, hit.alias("hit"))
+    return marked.unionByName(events.filter(~usable).withColumn("hit", F.lit(False)))
 
 
 def fresh_stream(
@@ -161,3 +140,16 @@ def stale_first(
     return answered, requests.join(newest.select(key), key, "left_anti")
 
 
+def stale_first_at(
+    requests: DataFrame, store: DataFrame, key: str, ttl_seconds: float, asked: str = "asked_at", saved: str = "created_at",
+    value: str = "value",
+) -> DataFrame:
+    """Requests with ``value`` and ``saved`` of the newest result stored by then, null if it is older than the lifetime.
+
+    Each request has a time of its own. Of results saved at one time the one with the largest value counts. Requests
+    without an answer are left to do; those without a key or time have none.
+    """
+    found = as_of(requests, store, [key], asked, saved, [saved, value], out="stored")
+    age = micros(F.col(asked)) - micros(F.col(f"stored.{saved}"))
+    fresh = age <= int(ttl_seconds * 1_000_000)
+    return found.select(*requests.columns, *[F.when(fresh, F.col(f"stored.{c}")).alias(c) for c in (value, saved)])

@@ -89,6 +89,19 @@ def left_to_do(table):
     return todo.select("event_id")
 
 
+@query("t06_answers_as_of", """
+    with saved as (select concat_ws('|', user_id, event_type) as key, ts as saved_at, max(value) as value from events where event_id % 3 = 0 group by all),
+    asked as (select event_id, concat_ws('|', user_id, event_type) as key, ts from events)
+    select event_id, case when epoch_us(ts) - epoch_us(saved_at) <= 5 * 86400000000 then value end as value
+    from asked asof left join saved on asked.key = saved.key and asked.ts >= saved.saved_at""")
+def answers_as_of(table):
+    """Every event asks at its own time; every third one has stored a result."""
+    named = table("events").withColumn("key", F.concat_ws("|", "user_id", "event_type"))
+    saved = named.filter(c("event_id") % 3 == 0).select("key", c("ts").alias("created_at"), "value")
+    asked = named.select("event_id", "key", c("ts").alias("asked_at"))
+    return freshness.stale_first_at(asked, saved, "key", 86400 * 5).select("event_id", "value")
+
+
 @query("t05_linked_requests", f"""
     , strict as ({strict_sql('places', 'awards')})
     select place_id, award_id, round(score, 3) as score, round(m, 3) as distance_m from strict""", views=["places", "awards"])
