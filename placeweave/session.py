@@ -4,6 +4,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The state store of stateful streams.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(cores="*", shuffle_partitions=8, app="placeweave"):
     """A session for tests and single-machine runs; on a cluster pass your own session instead."""
@@ -16,6 +19,7 @@ def local_session(cores="*", shuffle_partitions=8, app="placeweave"):
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

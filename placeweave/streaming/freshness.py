@@ -1,12 +1,11 @@
-"""Time-to-live freshness, as a batch fold and as a stateful stream."""
+"""Time-to-live freshness, in batch and as a stateful stream."""
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placeweave.functions.numbers import micros
 from placeweave.operators.asof import as_of, chains
 from placeweave.session import cut_lineage
+from placeweave.streaming.ordered import Fresh, Quiet, processed
 
 
 def mark_fresh(
@@ -46,85 +45,19 @@ def mark_fresh(
 def fresh_stream(
     events: DataFrame, key: str, ttl_seconds: float, lateness: str = "10 minutes"
 ) -> DataFrame:
-    """Streaming form over (key, event_id, ts): buffers up to the watermark, then folds in order.
+    """Streaming form over (key, event_id, ts): an event leaves, marked, once the watermark has passed its minute.
 
-    State per key is the last miss and the events the watermark has not passed.
+    State per key is the last miss and the minutes that the watermark has not passed; timers remove both. Events later
+    than the watermark are dropped, as in every stream.
     """
-    ttl_us = int(ttl_seconds * 1_000_000)
-
-    def fold(keys, batches, state: GroupState):
-        created, waiting = None, []
-        if state.exists:
-            created, stamps, ids = state.get
-            waiting = list(zip(stamps, ids))
-        if not state.hasTimedOut:
-            for batch in batches:
-                waiting += zip(batch["micros"].tolist(), batch["event_id"].tolist())
-        mark_us = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(e for e in waiting if e[0] < mark_us)
-        waiting = sorted(e for e in waiting if e[0] >= mark_us)
-        out = []
-        for at, event in ready:
-            hit = created is not None and at - created <= ttl_us
-            if not hit:
-                created = at
-            out.append((keys[0], event, at, hit))
-        if waiting or (created is not None and created + ttl_us >= mark_us):
-            state.update((created, [e[0] for e in waiting], [e[1] for e in waiting]))
-            wake_us = waiting[0][0] if waiting else created + ttl_us
-            state.setTimeoutTimestamp(max(wake_us // 1000 + 1, mark_us // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[key, "event_id", "micros", "hit"])
-
-    kind = dict(events.dtypes)[key]
-    marked = events.withColumn("micros", micros(F.col("ts"))).withWatermark("ts", lateness)
-    return marked.groupBy(key).applyInPandasWithState(
-        fold,
-        f"{key} {kind}, event_id bigint, micros bigint, hit boolean",
-        "created bigint, stamps array<bigint>, ids array<bigint>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    return processed(events, key, Fresh(key, int(ttl_seconds * 1_000_000)), ", hit boolean", lateness)
 
 
 def debounce_stream(
     events: DataFrame, key: str, delay_ms: int, lateness: str = "1 minute"
 ) -> DataFrame:
     """Streaming debounce over (key, event_id, ts): an event leaves once its quiet time has passed."""
-    delay_us = delay_ms * 1000
-
-    def fold(keys, batches, state: GroupState):
-        waiting = list(zip(*state.get)) if state.exists else []
-        if not state.hasTimedOut:
-            for batch in batches:
-                waiting += zip(batch["micros"].tolist(), batch["event_id"].tolist())
-        waiting.sort()
-        mark_us = state.getCurrentWatermarkMs() * 1000
-        out, kept = [], []
-        for i, (at, event) in enumerate(waiting):
-            followed = i + 1 < len(waiting) and waiting[i + 1][0] - at <= delay_us
-            settled = at + delay_us < mark_us
-            if settled and not followed:
-                out.append((keys[0], event, at))
-            elif not settled:
-                kept.append((at, event))
-        if kept:
-            state.update(([e[0] for e in kept], [e[1] for e in kept]))
-            state.setTimeoutTimestamp(max((kept[0][0] + delay_us) // 1000 + 1, mark_us // 1000 + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[key, "event_id", "micros"])
-
-    kind = dict(events.dtypes)[key]
-    marked = events.withColumn("micros", micros(F.col("ts"))).withWatermark("ts", lateness)
-    return marked.groupBy(key).applyInPandasWithState(
-        fold,
-        f"{key} {kind}, event_id bigint, micros bigint",
-        "stamps array<bigint>, ids array<bigint>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    return processed(events, key, Quiet(key, delay_ms * 1000), "", lateness)
 
 
 def stale_first(
