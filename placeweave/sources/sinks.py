@@ -1,6 +1,8 @@
-"""Typed result tables. Every writer replaces whole partitions, so a repeated run is harmless."""
+"""Typed result tables. A repeated run makes a new version of its day, so it is harmless."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from placeweave.sources.versions import read_current, write_version
 
 MATCHES = {
     "place_id": "bigint", "listing_id": "bigint", "score": "double", "confidence": "string",
@@ -24,8 +26,10 @@ def typed(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 
 def write_result(df: DataFrame, schema: dict[str, str], path: str, run_date: str) -> None:
-    (
-        typed(df, schema).withColumn("run_date", F.lit(run_date))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date").parquet(path)
-    )
+    """The results of one day, as a version of their own; those of other days stay as they are."""
+    write_version(typed(df, schema).withColumn("run_date", F.lit(run_date)), path, run_date)
+
+
+def read_results(spark: SparkSession, path: str, *run_dates: str) -> DataFrame:
+    """The current results of the given days, or of all."""
+    return read_current(spark, path, *run_dates)

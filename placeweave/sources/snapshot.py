@@ -7,6 +7,7 @@ from placeweave import fixed
 from placeweave.functions.text import text_or_empty
 from placeweave.operators.awards import award_keys
 from placeweave.session import cut_lineage
+from placeweave.sources.versions import read_current, write_version
 
 ROW = (
     "id:string,name:string,url:string,latitude:double,longitude:double,location:string,"
@@ -135,9 +136,9 @@ def publish(
     previous: DataFrame | None = None,
     refresh: bool = False,
 ) -> int:
-    """Write one snapshot partition; refuse it when the declared count is not what was parsed.
+    """Write one snapshot as a new version; refuse it when the declared count is not what was parsed.
 
-    A repeated run replaces the same partition with the same award_id per row, so it can be retried. The rows
+    A repeated run makes the same rows with the same award_id current, so it can be retried. The rows
     carry their comparable columns and can be linked as they are.
     """
     cards = cut_lineage(cards)  # pages are parsed once for the count and the rows
@@ -156,16 +157,10 @@ def publish(
         "fetched_at", stamp
     )
     rows = prepare(numbered(rows)).drop("page", "pos").withColumn("snapshot_date", F.lit(snapshot_date))
-    (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot_date").parquet(path)
-    )
+    write_version(rows, path, snapshot_date)
     return check["parsed"]
 
 
 def published(spark: SparkSession, path: str, snapshot_date: str | None = None) -> DataFrame:
-    """A published snapshot; with a date only that partition is read."""
-    table = spark.read.parquet(path)
-    if snapshot_date is not None:
-        table = table.filter(F.col("snapshot_date") == snapshot_date)
-    return table
+    """The current version of a snapshot, or of all; a reader during a publish sees the one before."""
+    return read_current(spark, path, *([snapshot_date] if snapshot_date else []))

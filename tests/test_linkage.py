@@ -123,3 +123,53 @@ def test_hint_supplies_name_and_coordinates(spark):
     hint = spark.createDataFrame([(1, "鮨ふう", 35.0, 139.0)], "place_id bigint, name string, latitude double, longitude double")
     assert link_awards(place, award).count() == 0
     assert link_awards(place, award, hint).first()["attempt"] == 2
+
+
+def test_candidates_match_all_pairs(spark):
+    """Suggested names and keywords of an area, against every pair of a small table in two scripts."""
+    import re
+
+    from placeweave.operators.linkage import candidate_pairs
+
+    draw = random.Random(12)
+    stems = ["清水屋", "水屋清", "鮨", "あおぞら亭", "blue bolt", "old ring"]
+    ends = ["", " 本店", " 銀座", " annex", " no 2"]
+    areas = ["東京都中央区1", "大阪府大阪市2", "", "〒104-0061 東京都港区3"]
+    names = [draw.choice(stems) + draw.choice(ends) + draw.choice(["", " " + draw.choice(stems)]) for _ in range(90)]
+    place = [(i, draw.choice([*names[:30], "bolt blue", "銀座 清水", None]), draw.choice(["", "", " ", draw.choice(names)]), draw.choice(areas)) for i in range(40)]
+    place += [(40 + i, ("銀座 清水", "bolt blue")[i % 2], None, areas[i // 2]) for i in range(8)]
+    listing = [(i, names[30 + i], draw.choice(areas)) for i in range(60)]
+    table = spark.createDataFrame([(i, n, a, d) for i, n, a, d in place], "place_id bigint, name string, alternate_name string, address string")
+    rows = spark.createDataFrame([(i, n, d, f"u{i}") for i, n, d in listing], "listing_id bigint, name string, address string, url string")
+    got = {(r["place_id"], r["listing_id"]): r["stage"] for r in candidate_pairs(place_keys(table), listing_keys(rows)).collect()}
+
+    def fold(name):
+        folded = re.sub("[^0-9a-z぀-ヿ㐀-鿿]", "", (name or "").lower())
+        for word in ["うなぎ", "鰻", "割烹", "食堂", "レストラン", "料理店", "居酒屋", "喫茶店", "カフェ", "本店", "支店", "駅前店", "別館", "新館"]:
+            folded = folded.replace(word, "")
+        return folded
+
+    def words(name, held):
+        out = set()
+        for run in re.findall("[0-9a-z]+|[぀-ヿ㐀-鿿]+", (name or "").lower()):
+            if re.match("[0-9a-z]", run) or len(run) == 1:
+                out.add(run)
+            else:
+                out |= {run[i : i + 2] for i in range(len(run) - 1)} | (set(run) if held else set())
+        return out
+
+    def area(address):
+        found = re.search(r"(?:〒\s*\d{3}-?\d{4}\s*)?([^\s,，]{2,12}?[都道府県])", address)
+        return found and found[1]
+
+    expected = {}
+    for p, name, other, address in place:
+        own = [f for f in (fold(name), fold(other)) if f]
+        suggested = {i for i, n, _ in listing if any(fold(n) and alike(o, fold(n)) >= 0.88 for o in own)}
+        asked = words(other if (other or "").strip() else name, False)
+        for i, n, d in listing:
+            if i in suggested:
+                expected[p, i] = 1
+            elif not suggested and asked and area(address) and area(d) == area(address) and asked <= words(n, True):
+                expected[p, i] = 4
+    assert got == expected and set(expected.values()) == {1, 4}

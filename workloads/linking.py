@@ -302,6 +302,15 @@ def popularity_ranks(table):
     return recommend.popularity_tags(table("listings"), lists)
 
 
+@query("s06_typed_popularity", f"""
+    select l.listing_id, r.ranking_key, cast(r.pos as integer) as rank,
+           case when r.pos <= 5 then 'top5' when r.pos <= 10 then 'top10' else 'top20' end as tier, '2024-05-01' as run_date
+    from listings l join rankings r on {listing_link('l.url')} = {listing_link('r.url')} and l.area_path = r.area_path
+    where r.pos <= 20""", views=["listings", "rankings"])
+def typed_popularity(table):
+    return written(popularity_ranks(table), sinks.POPULARITY)
+
+
 @query("j13_relocation_successors", f"""
     , k as (select *, regexp_replace(lower(rtrim(url, '/')), 'tabelog\\.com/(?:en|tw)/', 'tabelog.com/') as uk,
                    regexp_replace(lower(rtrim(moved_to, '/')), 'tabelog\\.com/(?:en|tw)/', 'tabelog.com/') as mk from listings)
@@ -375,12 +384,18 @@ def matched_places(table):
 def typed_matches(table):
     """Matches written as a result table, twice, and read back."""
     matched = cut_lineage(match_places(table("places_town"), table("listings_town")))
-    spark = matched.sparkSession
+    return written(matched, sinks.MATCHES).select(
+        "place_id", "listing_id", "score", "confidence", "matched", "needs_confirmation", "run_date")
+
+
+def written(df, schema, times=2):
+    """``df`` as a result table of one day, written several times and read back through its pointer."""
+    spark = df.sparkSession
+    df = cut_lineage(df)
     path = f"{spark.sparkContext.getCheckpointDir()}/results-{uuid.uuid4().hex}"
-    for _ in range(2):
-        sinks.write_result(matched, sinks.MATCHES, path, "2024-05-01")
-    return spark.read.parquet(path).select(
-        "place_id", "listing_id", "score", "confidence", "matched", "needs_confirmation", c("run_date").cast("string").alias("run_date"))
+    for _ in range(times):
+        sinks.write_result(df, schema, path, "2024-05-01")
+    return sinks.read_results(spark, path, "2024-05-01")
 
 
 @query("a05_best_of_names", f"""

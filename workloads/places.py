@@ -9,6 +9,7 @@ from placeweave.operators import records, validate
 from placeweave.operators.awards import link_awards_strict
 from placeweave.sources.requests import read_requests
 from workloads.linking import strict_sql
+from placeweave.sources import sinks
 from workloads.registry import listing_link, query
 
 c = F.col
@@ -164,6 +165,32 @@ def routed_cards(table):
     return routed.select(c("place_id").alias("card_id"), "key", "status", shown.alias("badge"))
 
 
+@query("s06_typed_badges", f"""
+    , checked as (select card_id, trim(key) as key, trim(name) as name, try_cast(latitude as double) as lat,
+                  try_cast(longitude as double) as lng, coordinates_source,
+                  trim(key) = '' or trim(name) = '' or (latitude <> '' and try_cast(latitude as double) is null) as invalid from cards),
+    place as (select card_id as place_id, name, lat as latitude, lng as longitude from checked),
+    matched as ({strict_sql('place', 'awards')}),
+    told as (select k.*, not (k.coordinates_source = 'place' and k.lat is not null and k.lng is not null
+                     and not (k.lat between 20 and 46.5 and k.lng between 122 and 154.5)) as inland, m.award_id
+             from checked k left join matched m on k.card_id = m.place_id where not coalesce(k.invalid, false))
+    select left(t.key, 300) as key, case when coalesce(inland, true) and t.award_id is not null then 'matched' else 'no_match' end as status,
+           a.award_id, a.distinction, a.green_star, '2024-05-01' as run_date
+    from told t left join awards a on t.award_id = a.award_id and coalesce(inland, true)""", views=["cards", "awards"])
+def typed_badges(table):
+    """Outcomes of all cards that are worth storing, written and read back."""
+    from workloads.linking import written
+
+    cards = validate.check_batches(table("cards").drop("batch_hint"))
+    places = validate.accepted(cards).select(c("card_id").alias("place_id"), "name", "latitude", "longitude")
+    linked = link_awards_strict(places, table("awards"))
+    badges = table("awards").select("award_id", "distinction", "green_star", award_badge(c("distinction"), c("green_star")).alias("label"))
+    routed = validate.remembered(validate.route_cards(cards.withColumnRenamed("card_id", "place_id"), linked, badges))
+    matched = c("status") == "matched"
+    shown = routed.select("key", "status", *[F.when(matched, c(x)).alias(x) for x in ("award_id", "distinction", "label", "green_star")])
+    return written(shown, sinks.BADGES).drop("label")
+
+
 @query("j15_cards_to_look_up", """
     , stored as (select distinct key from cards where card_id % 3 = 0)
     select card_id, key from cards where key <> '' and key not in (select key from stored)""", views=["cards"])

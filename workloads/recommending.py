@@ -117,6 +117,21 @@ def top_recommendations(table):
     return recommend.recommend(scored(table)).select("seed_id", "cand_id", "similarity_score", "rank")
 
 
+@query("s06_typed_recommendations", SIDES + """
+    , ranked as (select seed_id, tu, name, score, row_number() over (partition by seed_id
+        order by score desc, coalesce(rating, 0) desc, coalesce(review_count, 0) desc, name, tu) as rn
+      from graded where not same and raw >= 35)
+    select seed_id, cast(rn as integer) as rank, name, tu as cand_url, cast(score as integer) as similarity_score, '2024-05-01' as run_date
+    from ranked where rn <= 6""", views=["listings"])
+def typed_recommendations(table):
+    from placeweave.sources import sinks
+    from workloads.linking import written
+
+    best = recommend.recommend(scored(table)).withColumnRenamed("cand_name", "name")
+    return written(best, sinks.RECOMMENDATIONS).select(
+        "seed_id", "rank", "name", F.regexp_replace("cand_url", "/+$", "").alias("cand_url"), "similarity_score", "run_date")
+
+
 @query("a01_similar_diagnostics", SIDES + """
     select seed_id, count(*) as returned_count, count_if(same) as same_restaurant_count, cast(0 as bigint) as unverified_location_count,
            count_if(not same and raw < 35) as below_quality_count, least(count_if(not same and raw >= 35), 6) as recommendation_count
