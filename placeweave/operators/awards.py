@@ -96,6 +96,8 @@ def _pairs_without_distance(probe: DataFrame, award: DataFrame) -> DataFrame:
     for probes_in, awards_in in (
         (probe.filter(lost), award), (probe.filter(~lost), award.filter(unplaced))
     ):
+        if awards_in.isEmpty() or probes_in.isEmpty():
+            continue
         given = named(probes_in).filter(F.col("name") != "")
         alike = similar_texts(
             given.select(F.col("name").alias("text")),

@@ -173,18 +173,64 @@ AWARD_RANKED = f"""
                    else score >= 70 or (n_close = 1 and m <= 35 and name >= 0.25) end)"""
 
 
+def whole_awards_sql(awards_view, hints=None, places="places"):
+    """CTEs up to ``best``: the award of every place, with and without coordinates, in one or two attempts."""
+    second = f"""
+      union all
+      select p.place_id, 2, p.n, p.alt, {folded('h.name')}, p.ph, p.web,
+             case when p.lat is null or p.lng is null then h.latitude else p.lat end,
+             case when p.lat is null or p.lng is null then h.longitude else p.lng end
+      from p join {hints} h using (place_id)""" if hints else ""
+    away = metres("t.lat", "t.lng", "a.lat", "a.lng")
+    keys = AWARD_KEYS.replace("from awards_dup", f"from {awards_view}")
+    named_places = [places_sql(places)] if places else []
+    return ", " + ",".join([*named_places, keys, f"""
+    tries as (select place_id, 1 as attempt, n, alt, '' as hint, ph, web, lat, lng from p {second})""",
+    may_be_alike("close_names", "select unnest([n, alt, hint]) as t from tries", "select n as t from a", 0.94), f"""
+    near as (select place_id, attempt, award_id, {away} as m from tries t join a
+             on abs(t.lat - a.lat) < 0.005 and abs(t.lng - a.lng) < 0.01 and {away} <= 500)""",
+    likenesses("alike", """select a, b from close_names
+      union all select unnest([t.n, t.alt, t.hint]), a.n from near join tries t using (place_id, attempt) join a using (award_id)"""), """
+    far as (select t.place_id, t.attempt, a.award_id from tries t join a
+              on (t.lat is null or t.lng is null or a.lat is null or a.lng is null) and ((t.ph <> '' and t.ph = a.ph) or (t.web <> '' and t.web = a.web))
+            union
+            select t.place_id, t.attempt, a.award_id from tries t join alike s on likeness >= 0.94 and s.a in (t.n, t.alt, t.hint) join a on a.n = s.b
+            where t.lat is null or t.lng is null or a.lat is null or a.lng is null),
+    met as (select * from near union all select *, null from far),
+    named as (select x.*, t.ph <> '' and t.ph = a.ph as same_ph, t.web <> '' and t.web = a.web as same_web,
+                     greatest(coalesce(i.likeness, 0e0), coalesce(j.likeness, 0e0), coalesce(k.likeness, 0e0)) as name
+              from met x join tries t using (place_id, attempt) join a using (award_id)
+              left join alike i on i.a = t.n and i.b = a.n left join alike j on j.a = t.alt and j.b = a.n
+              left join alike k on k.a = t.hint and k.b = a.n),
+    signal as (select *, same_ph or same_web as ident, greatest(1 - m / 500, 0) as ds from named),
+    pointed as (select *, case when m is null then name * 100 + case when ident then 85 else 0 end
+                      when ident then case when same_ph and same_web then 70 else 65 end + ds * 30 + name * 5
+                      else name * 65 + ds * 35 end as score
+               from signal where ident or case when m is null then name >= 0.94 else name >= 0.45 or m <= 25 end),
+    ranked as (select *, row_number() over (partition by place_id, attempt order by score desc, name desc, award_id) as rn,
+                      row_number() over (partition by place_id, attempt, same_web order by score desc, name desc, award_id) as web_rn,
+                      row_number() over (partition by place_id, attempt, same_ph order by score desc, name desc, award_id) as ph_rn from pointed),
+    counts as (select place_id, attempt, count_if(same_web) as n_web, count_if(same_ph) as n_ph, count_if(coalesce(m <= 35, false)) as n_close,
+                      max(m) filter (same_web and web_rn = 2) as m_web, max(m) filter (same_ph and ph_rn = 2) as m_ph from ranked group by all),
+    accepted as (select w.* from ranked w join counts k using (place_id, attempt) where w.rn = 1 and
+        case when ident then case when same_web then n_web else n_ph end = 1
+                             or (m is not null and coalesce(case when same_web then m_web else m_ph end - m >= 25, false))
+             else score >= 70 or (n_close = 1 and coalesce(m <= 35, false) and name >= 0.25) end),
+    best as (select place_id, attempt, award_id, round(case when ident then least(score, 100) else score end, 1) as match_score,
+                    round(name, 3) as name_score, round(m, 3) as distance_m,
+                    concat_ws('|', case when same_ph then '電話完全相同' end, case when same_web then '官方網站完全相同' end,
+                      case when m is not null then '座標相距 ' || cast(round(m) as bigint) || ' 公尺' end) as reasons
+             from accepted qualify row_number() over (partition by place_id order by attempt desc) = 1)"""])
+
+
 def award_sql(*parts):
     return ", " + ",".join([PLACE_KEYS, AWARD_KEYS, *parts])
 
 
-@query("w03_award_winners", award_sql(AWARD_RANKED) + """
-    select place_id, award_id, round(case when ident then least(score, 100) else score end, 1) as match_score,
-           round(m, 3) as distance_m,
-           concat_ws('|', case when same_ph then '電話完全相同' end, case when same_web then '官方網站完全相同' end,
-             case when m is not null then '座標相距 ' || cast(round(m) as bigint) || ' 公尺' end) as reasons
-    from accepted""", views=["places", "awards_dup"])
+@query("w03_award_winners", whole_awards_sql("awards_dup") + """
+    select place_id, award_id, match_score, distance_m, reasons from best""", views=["places", "awards_dup"])
 def award_winners(table):
-    linked = awards.link_awards(table("places"), table("awards_dup")).filter(c("distance_m").isNotNull())
+    linked = awards.link_awards(table("places"), table("awards_dup"))
     return linked.select("place_id", "award_id", "match_score", F.round("distance_m", 3).alias("distance_m"),
                          F.array_join("reasons", "|").alias("reasons"))
 
@@ -264,7 +310,9 @@ def without_coordinates(table):
         "place_id", "award_id", c("same_phone").alias("same_ph"), c("same_website").alias("same_web"))
 
 
-@query("j05_award_winners_without_coordinates")
+@query("j05_award_winners_without_coordinates", ", off_map as (select * from places where latitude is null)"
+       + whole_awards_sql("awards_dup", places="off_map") + """
+    select place_id, attempt, award_id, match_score, name_score, cast(null as double) as distance_m from best""", views=["places", "awards_dup"])
 def winners_without_coordinates(table):
     """Winners among names at least 0.94 alike, phones and websites, for places off the map."""
     off_map = table("places").filter(c("latitude").isNull())
@@ -339,18 +387,36 @@ def hinted_links(table):
     return pairs.select("place_id", "attempt", "award_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("j14_two_pass_awards")
+HINTS = ", hints as (select listing_id as place_id, name, latitude, longitude from listings)"
+
+
+@query("j14_two_pass_awards", HINTS + whole_awards_sql("awards", "hints") + """
+    select place_id, attempt, award_id, match_score, name_score, distance_m, reasons from best""", views=["places", "awards", "listings"])
 def two_pass(table):
     hints = table("listings").select(c("listing_id").alias("place_id"), "name", "latitude", "longitude")
-    return awards.link_awards(table("places"), table("awards"), hints)
+    linked = awards.link_awards(table("places"), table("awards"), hints)
+    return linked.withColumn("distance_m", F.round("distance_m", 3)).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-@query("j16_listing_and_award")
-def listing_and_award(table):
-    return match_with_awards(table("places"), table("listings"), table("awards")).drop("reasons")
+RANK = "order by is_relocated, score desc, case when rating is not null then 0 else 1 end, coalesce(review_count, 0) desc, listing_id"
 
 
-RANK = "order by is_relocated, score desc, case when rating is not null then 0 else 1 end, coalesce(review_count, 0) desc, listing_id"
+AWARDS_OF_MATCHED = whole_awards_sql("awards", "hints", places=None).replace("alike", "award_alike").replace("close_names", "award_names")
+
+
+@query("j16_listing_and_award", sql_of("places", "listings", FOUND, PAIRS, STOPPED, SCORED) + f"""
+    , first as (select *, row_number() over (partition by place_id {RANK}) as rn from banded),
+    chosen as (select * from first where rn = 1 and confidence <> 'low'),
+    hints as (select c.place_id, l.name, l.latitude, l.longitude from chosen c join listings l using (listing_id))
+    {AWARDS_OF_MATCHED}
+    select p.place_id, c.listing_id, c.score, c.confidence, round(case when c.stage > 0 then c.m end, 3) as distance_m,
+           c.listing_id is not null as matched, coalesce(c.confidence <> 'high', false) as needs_confirmation, b.award_id, b.match_score,
+           case when c.listing_id is null and b.award_id is not null then 'no listing' else '' end as error
+    from p left join chosen c on p.place_id = c.place_id left join best b on p.place_id = b.place_id""",
+    views=["places", "listings", "awards"])
+def listing_and_award(table):
+    found = match_with_awards(table("places"), table("listings"), table("awards"))
+    return found.drop("reasons").withColumn("distance_m", F.round("distance_m", 3))
 
 
 @query("w01_ranked_candidates", sql_of(*TOWN, FOUND, PAIRS, STOPPED, SCORED) + f"""
