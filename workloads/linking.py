@@ -521,7 +521,7 @@ def duplicate_pairs(table):
 
 @query("u03_deduped_candidates")
 def deduped_candidates(table):
-    winners, _ = candidate_lists(table("places"), table("listings_dup"))
+    winners, _ = candidate_lists(table("places"), table("listings_dup"), name_threshold=None)
     return winners.select("place_id", "listing_id", "score", "duplicate_count", F.array_join("reasons", "|").alias("reasons"))
 
 
