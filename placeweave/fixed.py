@@ -104,7 +104,7 @@ ADDRESS_AREA_PATTERN = r"(?:〒\s*\d{3}-?\d{4}\s*)?([^\s,，]{2,12}?[都道府
 LOCALITY_PATTERN = r"^([^\p{Nd}\s　,，]{1,14}?(?:区|市|町|村))"
 QUOTED_STATION_PATTERN = r"[「『]([^」』]+)[」』]"
 LINE_STATION_PATTERN = (
-    r"^(?:JR|東京メトロ|都営(?:地下鉄)?|東急|京王|京急|小田急|西武|東武|相鉄|京成)[^「『]*線(.+?駅?)$"
+    r"^(?:(?:JR|東京メトロ|都営(?:地下鉄)?|東急|京王|京急|小田急|西武|東武|相鉄|京成)[^「『]*線)(.+?駅?)$"
 )
 
 # --- fixed values: country rules -----------------------------------------------------------
@@ -142,8 +142,8 @@ DINE_IN_LABEL_PATTERN = (
 
 # --- fixed values: numerals ----------------------------------------------------------------
 NUMERAL_DIGITS = {
-    "零": 0, "〇": 0, "○": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7,
-    "八": 8, "九": 9, "兩": 2, "两": 2,
+    "零": "0", "〇": "0", "○": "0", "一": "1", "二": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7",
+    "八": "8", "九": "9", "兩": "2", "两": "2",
 }
 NUMERAL_UNITS = {
     "十": 10, "百": 100, "千": 1000, "萬": 10000, "万": 10000, "億": 100000000, "亿": 100000000,
