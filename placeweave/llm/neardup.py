@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from placeweave.llm.buffers import ODD, SOLID, Words, grams, mixed, slices
 from placeweave.llm.decontaminate import FILTER_BITS, filter_of
 from placeweave.llm.native import fresh, read
-from placeweave.llm.store import stored
+from placeweave.llm.store import removed, stored
+from placeweave.operators.skew import split_join
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -149,26 +150,29 @@ def signed(weights):
 
 
 def shingles_of(wanted, weights):
-    """Function over batches (key, text): node, hashes and weights of the texts that may be wanted."""
+    """Function over batches (text): node, hashes and weights of the texts that may be wanted, each once a task."""
 
     def run(batches):
         table = weights.value
         bits = np.frombuffer(wanted.value, np.uint8)
+        seen = set()  # at most the distinct texts of one task's input, 16 bytes each
         for batch in slices(batches, "text"):
             s = Shingles(batch.column("text"))
             bit = np.array([int.from_bytes(n[:4], "big") if n else 0 for n in s.nodes], np.int64) % FILTER_BITS
-            take = (((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) > 0) & (np.array(s.sizes) > 0)
-            take = np.flatnonzero(take).tolist()
+            take = []
+            for i in np.flatnonzero(((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1) > 0).tolist():
+                if s.nodes[i] is not None and s.nodes[i] not in seen:
+                    seen.add(s.nodes[i])
+                    take.append(i)
             cut = [slice(s.first[i], s.first[i + 1]) for i in take]
             weight = table[bucket_of(s.hashes)] * s.counts.astype(np.float32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key").take(pa.array(take, pa.int64())),
                     pa.array([s.nodes[i] for i in take], pa.binary()),
                     pa.array([s.hashes[c].astype(np.int64) for c in cut], pa.list_(pa.int64())),
                     pa.array([weight[c] for c in cut], pa.list_(pa.float32())),
                 ],
-                names=["key", "node", "hashes", "weights"],
+                names=["node", "hashes", "weights"],
             )
 
     return run
@@ -196,7 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least class among neighbours, then the class of that class; rounds grow with the
     logarithm of the longest chain. Every round is written to the shared folder.
     """
-    both = stored(
+    both = stored(  # read in every round
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links"
     )
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("class")), "labels")
@@ -209,25 +213,23 @@ def components(edges: DataFrame) -> DataFrame:
         after = stored(
             now.join(up, "class").select("node", "old", F.least("class", "above").alias("class")), "labels"
         )
-        labels = after.select("node", "class")
-        if after.filter(F.col("old") != F.col("class")).isEmpty():
-            return labels
+        removed(labels)
+        labels = after
+        if labels.filter(F.col("old") != F.col("class")).isEmpty():
+            removed(both)
+            return labels.drop("old")
 
 
-def node_shingles(rows: DataFrame, texts: DataFrame, nodes: DataFrame, weights) -> DataFrame:
-    """node, hashes and weights of the given nodes, read again from one row (key, text) for each."""
+def node_shingles(rows: DataFrame, nodes: DataFrame, weights) -> DataFrame:
+    """node, hashes and weights of the given nodes, read again from the texts; copies leave a task once."""
     spark = rows.sparkSession
-    kind = rows.schema["key"].dataType.simpleString()
     front = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint")
     bits = filter_of(nodes.select((front % FILTER_BITS).alias("bit")).distinct())
-    found = rows.mapInArrow(
+    found = rows.select("text").mapInArrow(
         shingles_of(spark.sparkContext.broadcast(bits), weights),
-        f"key {kind}, node binary, hashes array<bigint>, weights array<float>",
+        "node binary, hashes array<bigint>, weights array<float>",
     )
-    # Copies of a text would bring the same shingles; the row with the least key speaks for them.
-    named = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("n"), F.col("rep").alias("k"))
-    same = (F.col("node") == F.col("n")) & F.col("key").eqNullSafe(F.col("k"))
-    return found.join(named, same, "left_semi").groupBy("node").agg(
+    return found.join(nodes, "node", "left_semi").groupBy("node").agg(
         F.first("hashes").alias("hashes"), F.first("weights").alias("weights")
     )
 
@@ -237,8 +239,11 @@ def linkable(shingles: DataFrame, similar: float, rounds: int = 2) -> DataFrame:
 
     What a text shares with another is at most ``common``, so a similarity of ``similar`` needs
     common >= similar * whole. Dropping the others makes more shingles single, hence a second round.
+    A shingle that one node alone holds names it by itself, so one grouping by shingle is enough and nothing
+    joins back; a shingle that all nodes hold is one row for each task.
     """
-    # A 64-bit name is enough here: if two nodes fall together, both only seem to have more in common.
+    # A 64-bit name is enough here: nodes that fall together only seem to have more in common, as what
+    # they hold alone is taken from the weight of both.
     name = F.xxhash64("node").alias("name")
     each = shingles.select(name, F.explode(F.arrays_zip("hashes", "weights")).alias("s"))
     each = each.select("name", F.col("s.hashes").alias("hash"), F.col("s.weights").alias("weight"))
@@ -248,11 +253,19 @@ def linkable(shingles: DataFrame, similar: float, rounds: int = 2) -> DataFrame:
     kept = None
     for _ in range(rounds):
         now = each if kept is None else each.join(kept.select("name"), "name", "left_semi")
-        shared = now.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-        common = now.join(shared, "hash").groupBy("name").agg(F.sum(F.col("weight").cast("double")).alias("common"))
-        kept = stored(
-            sums.join(common, "name").filter(F.col("common") >= F.col("whole") * (similar - 1e-6)), "linkable"
+        alone = (
+            now.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"), F.min("weight").alias("weight"))
+            .filter("n = 1").groupBy("name").agg(F.sum(F.col("weight").cast("double")).alias("alone"))
+        )
+        before = sums if kept is None else kept.select("node", "name", "whole")
+        mass = before.groupBy("name").agg(F.sum("whole").alias("mass"))
+        common = mass.join(alone, "name", "left").select(
+            "name", (F.col("mass") - F.coalesce("alone", F.lit(0.0))).alias("common")
         )
+        last, kept = kept, stored(
+            before.join(common, "name").filter(F.col("common") >= F.col("whole") * (similar - 1e-6)), "linkable"
+        )
+        removed(last)
     return kept.drop("name")
 
 
@@ -285,33 +298,32 @@ def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SI
     kind = rows.schema["key"].dataType.simpleString()
     weights = spark.sparkContext.broadcast(shingle_weights(docs, text))
     signs = stored(rows.mapInArrow(signed(weights), f"key {kind}, node binary, bands array<bigint>"), "signatures")
-    texts = stored(
-        signs.filter("node is not null").groupBy("node").agg(F.min("key").alias("rep"), F.first("bands").alias("bands")),
-        "texts",
-    )
+    texts = stored(signs.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands")), "texts")
     each = texts.select("node", F.explode("bands").alias("band"))
 
     def in_company(members):
         return members.join(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "band")
 
-    members = stored(in_company(each), "members")
-    bands = texts.select("node", "bands")
-    nodes = members.select("node").distinct()
-    shingles = stored(node_shingles(rows, texts, nodes, weights), "shingles")
-    able = linkable(shingles, similar)
-    members = stored(in_company(members.drop("n").join(able.select("node"), "node", "left_semi")), "members")
+    met = stored(in_company(each), "members")
+    read_all = stored(node_shingles(rows, met.select("node").distinct(), weights), "shingles")
+    able = linkable(read_all, similar)
+    shingles = stored(read_all.join(able.select("node"), "node", "left_semi"), "shingles")
+    members = stored(in_company(met.drop("n").join(able.select("node"), "node", "left_semi")), "members")
+    removed(texts, read_all, met)
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
     centre = members.join(degree, "node").groupBy("band").agg(
         F.max(F.struct("degree", "node"))["node"].alias("centre")
     )
     stars = stored(members.join(centre, "band").select("band", "node", "centre"), "stars")
+    removed(members)
     pairs = stars.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     measured = stored(verified(pairs, shingles), "measured")
     classes = components(measured.filter(F.col("similarity") >= similar))
-    rest = stored(further_pairs(stars, measured, classes, able, bands, similar), "rest")
+    rest = further_pairs(stars, measured, classes, able, similar)
     if not rest.isEmpty():
         links = measured.unionByName(verified(rest, shingles)).filter(F.col("similarity") >= similar)
         classes = components(links)
+    removed(able, shingles, stars, measured, rest)
     classes = classes.select("node", F.col("class").alias("linked"))
     return signs.filter("node is not null").join(classes, "node", "left").select(
         "key", "node", F.coalesce("linked", "node").alias("class")
@@ -319,15 +331,14 @@ def near_classes(docs: DataFrame, key="doc_id", text="text", similar: float = SI
 
 
 def further_pairs(
-    stars: DataFrame, measured: DataFrame, classes: DataFrame, able: DataFrame, bands: DataFrame, similar: float
+    stars: DataFrame, measured: DataFrame, classes: DataFrame, able: DataFrame, similar: float
 ) -> DataFrame:
     """Pairs (a, b) of one band in different classes that may be linked, though not by their band's centre.
 
     A node with weight w, of which c is common, can only be linked to weights from similar * w to
     c / similar + c - w; a pair joins where the other weight's bin lies in that range. Two nodes share at most the
-    lesser of their parts inside the centre and the lesser of their common parts outside it. Every band that two
-    nodes of different classes share is open and each of these conditions is necessary, so a pair is looked at once, in
-    the first band that it shares.
+    lesser of their parts inside the centre and the lesser of their common parts outside it. A bin that many
+    nodes of a band fall into is cut into blocks. The result is a stored table.
     """
     near = measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("d"))
     placed = (
@@ -344,7 +355,7 @@ def further_pairs(
     main = placed.filter("is_centre").select("band", F.col("class").alias("main"))
     placed = placed.join(main, "band")
     open_bands = placed.filter("class != main").select("band").distinct()
-    placed = stored(placed.join(open_bands, "band", "left_semi").join(bands, "node"), "open")
+    placed = stored(placed.join(open_bands, "band", "left_semi"), "open")
     # Weight bins of 2 percent.
     bin_of = lambda w: F.floor(F.log(w) / F.log(F.lit(1.02))).cast("int")
     least = F.col("whole") * (similar - 1e-6)
@@ -353,24 +364,24 @@ def further_pairs(
         "band", F.explode(F.sequence(bin_of(least), bin_of(most))).alias("bin"),
         F.col("node").alias("a"), F.col("d").alias("da"), F.col("class").alias("ca"),
         F.col("whole").alias("wa"), F.col("common").alias("sa"), F.col("inside").alias("ia"),
-        F.col("bands").alias("bands_a"),
     )
     b = placed.filter("not is_centre").select(
         "band", bin_of(F.col("whole")).alias("bin"), F.col("node").alias("b"), F.col("d").alias("db"),
         F.col("class").alias("cb"), F.col("whole").alias("wb"), F.col("common").alias("sb"), F.col("inside").alias("ib"),
-        F.col("bands").alias("bands_b"), (F.col("class") == F.col("main")).alias("b_main"),
+        (F.col("class") == F.col("main")).alias("b_main"),
     )
     outside = F.greatest(F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")), F.lit(0.0))
     shared = F.least(F.least("sa", "sb", "wa", "wb"), F.least("ia", "ib") + outside)
     may = (
         (F.col("ca") != F.col("cb"))
         & (F.col("b_main") | (F.col("a") < F.col("b")))
-        & (F.array_intersect("bands_a", "bands_b")[0] == a["band"])
         & (F.abs(F.col("da") - F.col("db")) <= 1 - similar + 1e-6)
         & (shared >= (similar - 1e-6) * (F.col("wa") + F.col("wb") - shared))
     )
-    met = a.join(b, (a["band"] == b["band"]) & (a["bin"] == b["bin"]) & may)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = split_join(a, b, ["band", "bin"]).filter(may)
+    rest = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    removed(placed)
+    return rest
 
 
 def labelled(docs: DataFrame, key="doc_id", text="text", similar: float = SIMILAR) -> DataFrame:
@@ -395,7 +406,7 @@ def labelled(docs: DataFrame, key="doc_id", text="text", similar: float = SIMILA
 def one_of_each(docs: DataFrame, key="doc_id", text="text", similar: float = SIMILAR) -> DataFrame:
     """The documents with the least key of each class, and all without words; columns as they were.
 
-    Of rows with equal key and text one stays. Rows whose key is null stay only if their class has no other key.
+    Of rows with equal key and text the least in all columns stays. Rows whose key is null stay only if their class has no other key.
     """
     digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.struct(F.col(key).alias("key"), digest.alias("digest")).alias("id"), F.col(text).alias("body"))
@@ -415,8 +426,9 @@ def one_of_each(docs: DataFrame, key="doc_id", text="text", similar: float = SIM
     if twice.isEmpty():
         return kept
     same = kept[key].eqNullSafe(twice["twice_key"]) & (mine == twice["twice_digest"])
+    least = F.min(F.struct(*[kept[c] for c in kept.columns])).alias("row")
     return kept.join(twice, same, "left_anti").unionByName(
-        kept.join(twice, same, "left_semi").dropDuplicates([key, text])
+        kept.join(twice, same, "left_semi").groupBy(kept[key], kept[text]).agg(least).select("row.*")
     )
 
 

@@ -26,4 +26,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def removed(*tables: DataFrame | None) -> None:
+    """Delete tables of ``stored`` that no later job reads; what was made of them must be written by then."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path is not None:
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

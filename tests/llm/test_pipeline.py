@@ -5,7 +5,7 @@ from placeweave.llm.queries import ORACLES, QUERIES
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert ORACLES.keys() <= QUERIES.keys()
 
 
