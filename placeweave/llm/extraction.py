@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ DROPPED = set(
     "script style noscript template iframe object svg canvas math button select textarea datalist input "
     "head title nav menu aside footer form dialog".split()
 )
-#: Words in class, id or role that mark what is not the article.
+#: Words in class, id or role that mark what is not the article; ``Blocks.marked`` says which names count.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "sidebar menu nav navigation navbar breadcrumb breadcrumbs header footer masthead comment comments "
@@ -35,6 +36,8 @@ MARKS = set(
     "pager search login complementary contentinfo dialog teaser skip".split()
 )
 WORD = re.compile(r"[a-z]+")
+#: A compound name that begins so tells of the page ("has-sidebar"), not of the element.
+STATES = set("has no not with without is".split())
 #: Gaussian weights of the neighbours at distance 0, 1 and 2 (one block of deviation).
 WEIGHTS = [math.exp(-d * d / 2) for d in range(3)]
 #: Evidence of an article or main element: what its smoothed ratios count against the threshold.
@@ -50,6 +53,7 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = []  # (element, dropped, region, article) of open regions
+        self.count = Counter()  # open regions of each element
         self.headers = set()  # regions that are header elements
         self.link = False
         self.blocks = []
@@ -76,7 +80,7 @@ class Blocks(HTMLParser):
             return
         _, dropped, region, article = self.state()
         if tag in REGIONS:
-            main = tag in ("article", "main") and not self.marked(attrs)
+            main = tag in ("article", "main") and not self.marked(attrs, "whole")
             if main and dropped in ("nav", "header", "menu", "mark"):
                 dropped = False  # an element before it was never closed
             if not dropped:
@@ -84,13 +88,14 @@ class Blocks(HTMLParser):
                     dropped = tag
                 elif tag == "header" and not article:
                     dropped = tag
-                elif tag not in ("html", "body") and self.marked(attrs):
+                elif tag not in ("html", "body") and not main and self.marked(attrs, "head" if article else "any"):
                     dropped = "mark"
             self.regions += 1
             self.open.append((tag, dropped, self.regions, self.regions if main else article))
+            self.count[tag] += 1
             if tag == "header":
                 self.headers.add(self.regions)
-        elif tag in DROPPED or (tag in BLOCKS and self.marked(attrs)):
+        elif tag in DROPPED or (tag in BLOCKS and self.marked(attrs, "whole" if article else "any")):
             self.silent = tag
         if tag in BLOCKS:
             self.fresh_block()
@@ -112,11 +117,11 @@ class Blocks(HTMLParser):
         self.now[1] += 1
         if tag == "a":
             self.link = False
-        if tag in REGIONS:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    break
+        while self.count[tag]:  # a stray tag ends nothing
+            closed = self.open.pop()[0]
+            self.count[closed] -= 1
+            if closed == tag:
+                break
         if tag in BLOCKS:
             self.fresh_block()
 
@@ -127,11 +132,21 @@ class Blocks(HTMLParser):
                 self.now[5].append(data)
 
     @staticmethod
-    def marked(attrs):
+    def marked(attrs, part):
+        """Whether an element is hidden or its names hold a mark: as a whole, as the head (last word) or any word.
+
+        An article or main element and the paragraphs and headings of an article are marked by whole names only
+        ("comment", not "comments-open"), other regions of an article by heads ("post-comments", not
+        "social-history"), all else by any word of a name.
+        """
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                if not MARKS.isdisjoint(WORD.findall(value.lower())):
-                    return True
+                for token in value.lower().split():
+                    found = WORD.findall(token)
+                    if len(found) > 1 and (part == "whole" or found[0] in STATES):
+                        continue
+                    if not MARKS.isdisjoint(found if part == "any" else found[-1:]):
+                        return True
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             elif name == "style" and value and "display:none" in value.replace(" ", "").lower():

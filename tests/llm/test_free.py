@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -77,6 +78,39 @@ def test_link_lists_inside_an_article_are_left_out():
     assert extraction.main_text(f"<article><ul>{links}</ul></article>").startswith("Go to page 0 Go")
 
 
+FLOOD = "The river rose by a metre in one night, and the ferry stayed at its pier until the morning. " * 4
+
+
+@pytest.mark.parametrize("page", [
+    '<body><div class="no-sidebar"><p>{}</p></div></body>',
+    '<body><main class="content has-sidebar"><p>{}</p></main></body>',
+    '<body><article class="post comments-open"><p>{}</p></article></body>',
+    '<body><article><section id="social-history"><p>{}</p></section></article></body>',
+    '<body><article><section class="dialog-scene"><p>{}</p></section></article></body>',
+    '<body><article><p class="lead-social">{}</p></article></body>',
+])
+def test_compound_names_are_not_marks(page):
+    assert extraction.main_text(page.format(FLOOD)) == FLOOD.strip()
+
+
+@pytest.mark.parametrize("mark", [
+    '<div class="post-comments"><p>{}</p></div>', '<div class="sidebar"><p>{}</p></div>',
+    '<p class="advert">{}</p>', '<article class="comment"><p>{}</p></article>',
+])
+def test_marks_inside_an_article_are_left_out(mark):
+    noise = mark.format("Somebody else says something of about this length here.")
+    assert extraction.main_text(f"<article><h1 class='article-header'>Flood</h1><p>{FLOOD}</p>{noise}</article>") == (
+        "Flood " + FLOOD.strip()
+    )
+
+
+def test_stray_end_tags_take_no_time():
+    page = "<div>" * 20_000 + "</section>" * 20_000 + f"<p>{FLOOD}</p>"
+    started = time.time()
+    assert extraction.main_text(page) == FLOOD.strip()
+    assert time.time() - started < 10
+
+
 def test_two_articles_of_unlike_length_are_both_taken():
     short = f"<p>{'Few words of another one. ' * 7}</p>" * 3
     got = extraction.main_text(f"<article><h2>A</h2>{STORY}</article><article><h2>B</h2>{short}</article><div>Page 1 of 2</div>")
