@@ -1,11 +1,12 @@
-"""Personal data: base formats, and overlapping proposals judged by boosted trees."""
+"""Personal data: base formats, and overlapping proposals of other spellings judged by boosted trees."""
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from placeweave.llm.native import fresh, joined, let, read, spans
+from placeweave.llm.store import removed, stored
 
 # The formats of the base rules. Starts are bound to the front of a run or to the end of
 # the last match, which finds the same matches without trying every start of a long run.
@@ -17,13 +18,34 @@ PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone"]
 
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-NUMBER = "[+(]?[0-9][0-9 ().-]{5,}[0-9]"
-DOTTED = "[0-9]{1,4}(?:\\.[0-9]{1,4}){3}"
-AT = "(?<![^\\x20\\x09-\\x0D@])[^\\x20\\x09-\\x0D@]++@[^\\x20\\x09-\\x0D@]+"
-CONTEXT = "(?i)(?:mail|phone|tel|fax|call|mobile?|contact|card|konto|ip|kontakt|correo|carte)\\W*$"
-
-FEATURES = ["generator", "length", "n_digits", "n_seps", "n_dots", "n_letters", "plus", "paren", "luhn",
-            "dot_after_at", "letter_before", "letter_after", "context"]
+#: Generators of proposals: numbers with separators, dotted addresses (also defanged ones), tokens with an at sign,
+#: colon groups, spelled-out mails, account numbers. They overlap each other and the base spans.
+AT_WORD, DOT_WORD = "(?: at | ?[\\[({] ?at ?[\\])}] ?)", "(?: dot | ?[\\[({] ?(?:dot|\\.) ?[\\])}] ?)"
+GENERATORS = [
+    ("[(+]?[0-9]++(?:[ ()./-]{1,3}[0-9]++)++|[0-9]{5,}+", "[0-9]"),
+    (f"(?<![0-9.])[0-9]{{1,3}}(?:(?:\\.|{DOT_WORD})[0-9]{{1,3}}){{3}}(?![0-9])", "[0-9](?: ?[\\[({]| dot |\\.)"),
+    ("(?<![^\\x20\\x09-\\x0D@])[^\\x20\\x09-\\x0D@]++@[^\\x20\\x09-\\x0D@]+", "@"),
+    ("(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])", ":[0-9A-Fa-f]{0,4}:"),
+    (f"(?i)(?<!{LOCAL}){LOCAL}{{1,64}}+{AT_WORD}[a-z0-9-]++(?:(?:\\.|{DOT_WORD})[a-z0-9-]++)++", "(?i)at[ \\])}]"),
+    ("(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
+]
+NEAR = 40
+PERSONAL = (
+    "(?i)\\b(?:e-?mail|mail|write|phone|tel|telephone|fax|call|mobile|cell|contact|card|account|iban|address|konto"
+    "|kontakt|telefon|handy|correo|tel[eé]fono|tarjeta|carte|courriel|t[eé]l[eé]phone|compte|ip)\\b[^\\n]*$"
+)
+OTHER = (
+    "(?i)(?:\\b(?:version|v|year|page|p|no|nr|order|invoice|isbn|issn|art|licen[cs]e|chapter|section|item|ref|price|total"
+    "|since|until|date|table|figure|fig|seite|jahr|preis|datum|page|prix|fecha|precio|by(?:-[a-z]{2})*)\\b[^\\n]{0,12}"
+    "|[#§$€£])\\W*$"
+)
+YEAR = "(?:19|20)[0-9]{2}"
+LOOKALIKE = (
+    f"^(?:{YEAR}[-./][0-9]{{1,2}}[-./][0-9]{{1,2}}|[0-9]{{1,2}}[-./][0-9]{{1,2}}[-./](?:{YEAR}|[0-9]{{2}})"
+    f"|{YEAR} ?[-/] ?(?:{YEAR}|[0-9]{{2}})|[0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}})?|[0-9]{{1,3}}[./][0-9]{{1,3}}(?:[./][0-9]{{1,3}})?)$"
+)
+FEATURES = ["length", "n_digits", "n_groups", "longest", "n_marks", "n_letters", "bracket", "year", "zero", "check_digit",
+            "mixed", "lookalike", "letter_before", "letter_after", "personal", "other"]
 FIT_ROWS = 20_000
 
 
@@ -68,88 +90,152 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def proposals(text: Column, base: Column, generators=(0, 1, 2)) -> Column:
-    """High-recall spans of three generators with format and context features.
-
-    They may overlap each other and the base spans; ``base`` tells which they overlap (the weak label).
+def account_check(hit: Column) -> Column:
+    """Whether an account number leaves the remainder 1 by 97, letters counted from 10."""
+    plain = F.regexp_replace(hit, " ", "")
+    signs = F.split(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4))), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(
+        F.filter(signs, lambda c: c != ""), F.lit(0),
+        lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97,
+    ) == 1
+
+
+def features(hit: Column, before: Column, after: Column) -> dict[str, Column]:
+    """Format and context of a proposal; the marks of the base formats themselves (plus, at sign) are no features."""
+    n = lambda chars: F.length(F.regexp_replace(hit, chars, ""))
+    flag = lambda c: c.cast("int")
+    made = {
+        "length": F.least(F.length(hit), F.lit(64)), "n_digits": F.least(n("[^0-9]+"), F.lit(64)),
+        "n_groups": F.least(F.regexp_count(hit, F.lit("[0-9]+")), F.lit(32)),
+        "longest": F.coalesce(
+            F.array_max(F.transform(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0)), F.length)), F.lit(0)),
+        "n_marks": F.least(F.regexp_count(hit, F.lit("[ ()./:-]+")), F.lit(32)),
+        "n_letters": F.least(n("[^A-Za-z]+"), F.lit(64)), "bracket": flag(hit.rlike("[\\[({]")),
+        "year": flag(hit.rlike(f"(?<![0-9]){YEAR}(?![0-9])")), "zero": flag(hit.rlike("^[^0-9]*0")),
+        "check_digit": flag(let(digits_of(hit), lambda d: F.length(d).between(13, 19) & luhn(d))),
+        "mixed": flag(hit.rlike("[A-Za-z][0-9._]|[0-9._][A-Za-z]")), "lookalike": flag(hit.rlike(LOOKALIKE)),
+        "letter_before": flag(before.rlike("\\p{L}$")), "letter_after": flag(after.rlike("^\\p{L}")),
+        "personal": flag(before.rlike(PERSONAL)), "other": flag(before.rlike(OTHER) | after.rlike("^ ?[$€£%]")),
+    }
+    return {name: F.coalesce(made[name], F.lit(0)).cast("int") for name in FEATURES}
+
+
+def proposals(text: Column, base: Column) -> Column:
+    """High-recall spans of all generators: start, stop, ``generator``, ``base``, ``masked``, ``label``, features.
+
+    ``base``: overlaps a base span, so it is never added. ``label`` is 1 for a proposal that is a base span (at least
+    half of the longer one is common to both) or passes a check of its own (account numbers, whole addresses of
+    colon groups, cards of four groups in other separators); 0 for look-alikes (dates, versions, prices, numbers
+    after words such as page or order, long numbers whose check digit fails, at signs without a domain); null for
+    all others, which the trees decide on. Base spans come once more as ``masked`` proposals in a spelling that no base format
+    reads, in the context where they stand: the country code cut, dots defanged, the at sign spelled out. Masked
+    ones are there to learn from only.
     """
 
-    def described(number, pattern, guard):
-        def row(s):
-            hit = s["hit"]
-            before = F.substr(text, F.greatest(s["start"] - 15, F.lit(1)), F.least(s["start"], F.lit(16)))
-            after = F.substr(text, s["stop"] + 1, F.lit(1))
-            n = lambda chars: F.length(F.regexp_replace(hit, chars, "")).cast("double")
-            flag = lambda c: c.cast("double")
-            return F.struct(
-                s["start"].alias("start"), s["stop"].alias("stop"),
-                F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])).alias("base"),
-                F.lit(float(number)).alias("generator"),
-                F.least(F.length(hit), F.lit(64)).cast("double").alias("length"),
-                n("[^0-9]+").alias("n_digits"), n("[^ ().-]+").alias("n_seps"), n("[^.]+").alias("n_dots"),
-                n("[^A-Za-z]+").alias("n_letters"), flag(hit.startswith("+")).alias("plus"),
-                flag(F.contains(hit, F.lit("("))).alias("paren"), flag(luhn(digits_of(hit))).alias("luhn"),
-                flag(hit.rlike("@[A-Za-z0-9-]+\\.[A-Za-z]")).alias("dot_after_at"),
-                flag(before.rlike("\\p{L}$")).alias("letter_before"),
-                flag(after.rlike("\\p{L}")).alias("letter_after"),
-                flag(before.rlike(CONTEXT)).alias("context"),
-            )
-
-        return F.transform(spans(text, pattern, guard), row)
-
-    kinds = [(NUMBER, None), (DOTTED, text.rlike("[0-9]\\.[0-9]")), (AT, F.contains(text, F.lit("@")))]
-    return F.concat(*[described(g, *kinds[g]) for g in generators])
-
-
-def proposed(docs: DataFrame, text: str, *keep: Column, generators=(0, 1, 2)) -> DataFrame:
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        *keep,
-        let(
-            base_spans(whole),
-            lambda b: F.struct(b.alias("base"), proposals(whole, b, generators).alias("proposals")),
-        ).alias("found"),
+    def one(g, start, stop, hit, before, after, masked):
+        f = features(hit, before, after)
+        overlap = lambda b: F.least(b["stop"], stop) - F.greatest(b["start"], start)
+        same = lambda b: 2 * overlap(b) >= F.greatest(b["stop"] - b["start"], stop - start)
+        checked = {
+            0: (f["check_digit"] == 1) & (f["n_groups"] == 4) & (f["longest"] == 4) & (f["n_digits"] == 16),
+            3: hit.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") | (F.contains(hit, F.lit("::")) & hit.rlike("[A-Fa-f]")),
+            5: account_check(hit),
+        }.get(g, F.lit(False))
+        against = ((f["other"] == 1) & (f["personal"] == 0)) | (f["lookalike"] == 1) | {
+            0: f["n_digits"].between(13, 19) & (f["check_digit"] == 0),
+            1: ~F.regexp_replace(hit, "[^0-9]+", ".").rlike(f"^{BYTE}(?:\\.{BYTE}){{3}}$"),
+            2: ~hit.rlike("@[A-Za-z0-9-]+\\.[A-Za-z]"),
+            4: ~hit.rlike("[0-9._\\[({]") & (f["personal"] == 0),
+            5: ~account_check(hit),
+        }.get(g, F.lit(False))
+        label = F.lit(1) if masked else F.when(F.exists(base, same) | checked, 1).when(against, 0)
+        return F.struct(
+            start.alias("start"), stop.alias("stop"), F.lit(g).alias("generator"),
+            F.exists(base, lambda b: overlap(b) > 0).alias("base"), F.lit(masked).alias("masked"),
+            label.cast("int").alias("label"), *[f[name].alias(name) for name in FEATURES],
+        )
+
+    def around(s):
+        left = F.greatest(s["start"] - NEAR, F.lit(0))
+        return F.substr(text, left + 1, s["start"] - left), F.substr(text, s["stop"] + 1, F.lit(2))
+
+    def found(g):
+        pattern, guard = GENERATORS[g]
+        return F.transform(spans(text, pattern, text.rlike(guard)), lambda s: one(g, s["start"], s["stop"], s["hit"], *around(s), False))
+
+    def respelled(kind, g, spelling, keep=lambda hit: F.lit(True)):
+        """Base spans of a kind with their text in another spelling."""
+
+        def row(b):
+            hit = F.substr(text, b["start"] + 1, b["stop"] - b["start"])
+            return one(g, b["start"], b["stop"], spelling(hit), *around(b), True)
+
+        return F.transform(F.filter(base, lambda b: b["kind"] == kind), row)
+
+    def spelled_mail(hit):
+        at, dot = (F.when(F.length(hit) % 2 == 0, f" [{w}] ").otherwise(f" {w} ") for w in ("at", "dot"))
+        return F.concat(F.substring_index(hit, "@", 1), at, F.replace(F.substring_index(hit, "@", -1), F.lit("."), dot))
+
+    return F.concat(
+        *[found(g) for g in range(len(GENERATORS))],
+        respelled("phone", 0, lambda hit: F.regexp_replace(hit, "^\\+[0-9]{1,3}[ .-]*", "")),
+        respelled("card", 0, lambda hit: F.regexp_replace(digits_of(hit), "([0-9]{4})(?=[0-9])", "$1.")),
+        respelled("ip", 1, lambda hit: F.regexp_replace(hit, "\\.", "[.]")),
+        respelled("email", 4, spelled_mail),
     )
 
 
+def proposed(docs: DataFrame, text="text", key="doc_id") -> DataFrame:
+    """Row number, key, base spans and proposals of every row, stored: the only pass over the texts."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = let(base_spans(whole), lambda b: F.struct(b.alias("base"), proposals(whole, b).alias("proposals")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), found.alias("found"))
+    return stored(rows.select("row", "key", "found.base", "found.proposals"), "proposals")
+
+
 def fitted(docs: DataFrame, text="text", key="doc_id", fit_rows: int = FIT_ROWS, precision: float = 0.98):
-    """(boosted trees, threshold per generator).
+    """(boosted trees, threshold per generator), learned from the texts of ``docs``; None if only one class is seen."""
+    table = proposed(docs, text, key)
+    model = learned(table, fit_rows, precision)
+    removed(table)
+    return model
 
-    The trees are fitted on at most ``fit_rows`` proposals, an equal share for each generator: those of
-    smallest hash among the even hashes. All proposals outside that sample are scored, and each generator
-    gets the least score, in hundredths, above which ``precision`` of its proposals overlap a base span; it
-    gets none, so that nothing of it is added, where no score does. A generator without proposals outside
-    the sample takes the threshold of all generators together. None if only one class is seen.
-    """
 
-    def drawn(*generators):
-        each = proposed(docs, text, F.col(key).alias("key"), generators=generators).select(
-            "key", F.explode("found.proposals").alias("p")
-        )
-        draw = F.xxhash64("key", "p.start", "p.stop", "p.generator")
-        return each.select(draw.alias("draw"), F.col("p.base").cast("double").alias("label"), *[f"p.{f}" for f in FEATURES])
-
-    # One pass for each generator, so that each share is bounded before rows meet.
-    parts = [
-        drawn(g).filter(F.col("draw") % 2 == 0).orderBy("draw", "label", *FEATURES).limit(max(fit_rows // 3, 1))
-        for g in range(3)
-    ]
-    fit = parts[0].union(parts[1]).union(parts[2]).persist()
-    seen = fit.groupBy("generator", "label").agg(F.max("draw").alias("last")).collect()  # at most 6 rows
+def learned(table: DataFrame, fit_rows: int = FIT_ROWS, precision: float = 0.98):
+    """(boosted trees, threshold per generator) from the table of ``proposed``.
+
+    The trees are fitted on at most ``fit_rows`` labelled proposals, an equal share for each generator and label: those
+    of smallest hash among the even hashes. All labelled proposals outside that sample are scored, and each generator
+    gets the least score, in hundredths, above which ``precision`` of its proposals have the label 1. A generator
+    gets none, so that nothing of it is added, where no score does or where nothing is labelled outside the sample.
+    None if only one class is seen.
+    """
+    draw = F.xxhash64("key", "p.start", "p.stop", "p.generator", "p.masked")
+    each = (
+        table.select("key", F.explode("proposals").alias("p")).filter(F.col("p.label").isNotNull())
+        .select(draw.alias("draw"), F.col("p.label").cast("double").alias("label"), "p.generator", *[f"p.{f}" for f in FEATURES])
+    )
+    # Spark keeps the first of each group in the map tasks, so no task sorts more than a share of each task before it.
+    share = max(fit_rows // (2 * len(GENERATORS)), 1)
+    first = Window.partitionBy("generator", "label").orderBy("draw", *FEATURES)
+    fit = (
+        each.filter(F.col("draw") % 2 == 0).withColumn("at", F.row_number().over(first))
+        .filter(F.col("at") <= share).drop("at").persist()
+    )
+    seen = fit.groupBy("generator", "label").agg(F.max("draw").alias("last")).collect()  # at most 12 rows
     if len({r["label"] for r in seen}) < 2:
         fit.unpersist()
         return None
     pack = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    trees = GBTClassifier(maxIter=10, maxDepth=3, maxBins=32, seed=7).fit(pack.transform(fit))
+    trees = GBTClassifier(maxIter=10, maxDepth=4, maxBins=64, seed=7).fit(pack.transform(fit))
     fit.unpersist()
     outside = F.col("draw") % 2 != 0
-    for g in {r["generator"] for r in seen}:
-        last = max(r["last"] for r in seen if r["generator"] == g)
-        outside = outside | ((F.col("generator") == g) & (F.col("draw") > last))
-    scored = trees.transform(pack.transform(drawn(0, 1, 2).filter(outside)))
-    part = F.floor(vector_to_array("probability")[1] * 100).cast("int")
+    for r in seen:
+        outside = outside | ((F.col("generator") == r["generator"]) & (F.col("label") == r["label"]) & (F.col("draw") > r["last"]))
+    scored = trees.transform(pack.transform(each.filter(outside)))
     counts = (
-        scored.groupBy("generator", part.alias("part"))
+        scored.groupBy("generator", F.floor(vector_to_array("probability")[1] * 100).cast("int").alias("part"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
         .collect()  # at most 101 rows per generator
     )
@@ -157,14 +243,13 @@ def fitted(docs: DataFrame, text="text", key="doc_id", fit_rows: int = FIT_ROWS,
     def limit(rows):
         n = good = 0
         least = None
-        for p in sorted({r["part"] for r in rows}, reverse=True):
-            n += sum(r["n"] for r in rows if r["part"] == p)
-            good += sum(r["good"] for r in rows if r["part"] == p)
+        for r in sorted(rows, key=lambda r: -r["part"]):
+            n, good = n + r["n"], good + r["good"]
             if good >= precision * n:
-                least = p / 100
+                least = r["part"] / 100
         return least
 
-    limits = {g: limit([r for r in counts if r["generator"] == g] or counts) for g in range(3)}
+    limits = {g: limit([r for r in counts if r["generator"] == g]) for g in range(len(GENERATORS))}
     return trees, {g: v for g, v in limits.items() if v is not None}
 
 
@@ -172,47 +257,52 @@ def personal_spans(docs: DataFrame, text="text", key="doc_id", model=None) -> Da
     """key and ``found``: array of (rank, start, stop, kind), base spans and those that the trees add.
 
     A proposal is added, as kind ``other``, if it reaches its generator's threshold and overlaps no base
-    span; of proposals that overlap each other the best score stays, ties to the first.
+    span; added proposals that overlap each other are one span, from the first start to the last stop.
 
     Null and empty texts have no spans. Every input row gives one output row, repeated rows too. Other
     columns are ignored.
     """
     fresh(docs, key, text)
-    model = model or fitted(docs, text, key)
-    rows = proposed(docs, text, F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"))
+    table = proposed(docs, text, key)
+    model = model or learned(table)
+    kind = "array<struct<rank:int,start:int,stop:int,kind:string>>"
+    as_is = lambda rows: rows.select(F.col("key").alias(key), F.array_sort(F.col("base").cast(kind)).alias("found"))
     if model is None:
-        return rows.select(F.col("key").alias(key), F.col("found.base").alias("found"))
+        return as_is(table)
     trees, limits = model
-    new = F.filter("found.proposals", lambda p: ~p["base"])
-    # What else the document has travels with its first proposal only.
-    each = rows.select(
-        "row", F.struct("key", "found.base").alias("all"), F.posexplode_outer(new).alias("at", "p")
+    able = list(limits) or [-1]
+    rows = table.withColumn(
+        "open", F.filter("proposals", lambda p: ~p["base"] & ~p["masked"] & p["generator"].isin(able))
+    )
+    # What else the document has travels with its first proposal only; rows without any are never shuffled.
+    each = rows.filter(F.size("open") > 0).select(
+        "row", F.struct("key", "base").alias("all"), F.posexplode("open").alias("at", "p")
     ).select(
-        "row", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("all")).alias("all"),
-        F.col("p.start").alias("start"), F.col("p.stop").alias("stop"),
-        *[F.coalesce(F.col(f"p.{f}"), F.lit(0.0)).alias(f) for f in FEATURES],
+        "row", F.when(F.col("at") == 0, F.col("all")).alias("all"), "p.start", "p.stop", "p.generator",
+        *[f"p.{f}" for f in FEATURES],
     )
     scored = trees.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(each))
     least = F.lit(2.0)
     for g, limit in limits.items():
         least = F.when(F.col("generator") == g, limit).otherwise(least)
-    score = vector_to_array("probability")[1]
-    picked = F.when(
-        F.col("start").isNotNull() & (score >= least),
-        F.struct((-score).alias("order"), "start", "stop"),
+    chosen = scored.select("row", "all", "start", "stop", (vector_to_array("probability")[1] >= least).alias("added"))
+    order = Window.partitionBy("row").orderBy(F.col("added").desc(), "start", "stop")
+    ended = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(F.col("start") < ended, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = (
+        chosen.withColumn("run", F.when(F.col("added"), run))
+        .groupBy("row", "run").agg(
+            F.first("all", ignorenulls=True).alias("all"), F.min("start").alias("start"), F.max("stop").alias("stop"))
     )
-    back = scored.groupBy("row").agg(
-        F.first("all", ignorenulls=True).alias("all"), F.sort_array(F.collect_list(picked)).alias("more")
+    span = F.struct(F.lit(len(KINDS)).alias("rank"), "start", "stop", F.lit("other").alias("kind"))
+    back = runs.groupBy("row").agg(
+        F.first("all", ignorenulls=True).alias("all"), F.collect_list(F.when(F.col("run").isNotNull(), span)).alias("more")
     )
-    kind = "array<struct<rank:int,start:int,stop:int,kind:string>>"
-    apart = F.aggregate(
-        "more", F.array().cast(kind),
-        lambda a, p: F.when(F.exists(a, lambda b: (b["start"] < p["stop"]) & (p["start"] < b["stop"])), a)
-        .otherwise(F.concat(a, F.array(F.struct(
-            F.lit(len(KINDS)).alias("rank"), p["start"].alias("start"), p["stop"].alias("stop"),
-            F.lit("other").alias("kind"))))),
+    with_more = back.select(
+        F.col("all.key").alias(key),
+        F.array_sort(F.concat(F.col("all.base").cast(kind), F.col("more").cast(kind))).alias("found"),
     )
-    return back.select(F.col("all.key").alias(key), F.array_sort(F.concat("all.base", apart)).alias("found"))
+    return as_is(rows.filter(F.size("open") == 0)).union(with_more)
 
 
 def personal_digests(docs: DataFrame, key="doc_id", **how) -> DataFrame:
