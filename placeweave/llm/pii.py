@@ -1,5 +1,7 @@
 """Personal data: base formats, and overlapping proposals of other spellings judged by boosted trees."""
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,13 +22,14 @@ KINDS = ["email", "ip", "card", "phone"]
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Generators of proposals: numbers with separators, dotted addresses (also defanged ones), tokens with an at sign,
 #: colon groups, spelled-out mails, account numbers. They overlap each other and the base spans.
-AT_WORD, DOT_WORD = "(?: at | ?[\\[({] ?at ?[\\])}] ?)", "(?: dot | ?[\\[({] ?(?:dot|\\.) ?[\\])}] ?)"
+AT_WORD, DOT_WORD = "(?: (?:at|AT) | ?[\\[({] ?(?:at|AT) ?[\\])}] ?)", "(?: (?:dot|DOT) | ?[\\[({] ?(?:dot|DOT|\\.) ?[\\])}] ?)"
 GENERATORS = [
     ("[(+]?[0-9]++(?:[ ()./-]{1,3}[0-9]++)++|[0-9]{5,}+", "[0-9]"),
-    (f"(?<![0-9.])[0-9]{{1,3}}(?:(?:\\.|{DOT_WORD})[0-9]{{1,3}}){{3}}(?![0-9])", "[0-9](?: ?[\\[({]| dot |\\.)"),
+    (f"(?<![0-9.])[0-9]{{1,3}}(?:(?:\\.|{DOT_WORD})[0-9]{{1,3}}){{3}}(?![0-9])", "[0-9](?: ?[\\[({]| (?:dot|DOT) |\\.)[^\n]"),
     ("(?<![^\\x20\\x09-\\x0D@])[^\\x20\\x09-\\x0D@]++@[^\\x20\\x09-\\x0D@]+", "@"),
     ("(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])", ":[0-9A-Fa-f]{0,4}:"),
-    (f"(?i)(?<!{LOCAL}){LOCAL}{{1,64}}+{AT_WORD}[a-z0-9-]++(?:(?:\\.|{DOT_WORD})[a-z0-9-]++)++", "(?i)at[ \\])}]"),
+    (f"(?<!{LOCAL}){LOCAL}{{1,64}}+{AT_WORD}[A-Za-z0-9-]++(?:(?:\\.|{DOT_WORD})[A-Za-z0-9-]++)++",
+     "[ \\[({](?:at|AT)[ \\])}]"),
     ("(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}"),
 ]
 NEAR = 40
@@ -133,57 +136,76 @@ def proposals(text: Column, base: Column) -> Column:
     ones are there to learn from only.
     """
 
-    def one(g, start, stop, hit, before, after, masked):
-        f = features(hit, before, after)
-        overlap = lambda b: F.least(b["stop"], stop) - F.greatest(b["start"], start)
-        same = lambda b: 2 * overlap(b) >= F.greatest(b["stop"] - b["start"], stop - start)
-        checked = {
-            0: (f["check_digit"] == 1) & (f["n_groups"] == 4) & (f["longest"] == 4) & (f["n_digits"] == 16),
-            3: hit.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") | (F.contains(hit, F.lit("::")) & hit.rlike("[A-Fa-f]")),
-            5: account_check(hit),
-        }.get(g, F.lit(False))
-        against = ((f["other"] == 1) & (f["personal"] == 0)) | (f["lookalike"] == 1) | {
-            0: f["n_digits"].between(13, 19) & (f["check_digit"] == 0),
-            1: ~F.regexp_replace(hit, "[^0-9]+", ".").rlike(f"^{BYTE}(?:\\.{BYTE}){{3}}$"),
-            2: ~hit.rlike("@[A-Za-z0-9-]+\\.[A-Za-z]"),
-            4: ~hit.rlike("[0-9._\\[({]") & (f["personal"] == 0),
-            5: ~account_check(hit),
-        }.get(g, F.lit(False))
-        label = F.lit(1) if masked else F.when(F.exists(base, same) | checked, 1).when(against, 0)
+    def judged(found):
+        """``found`` (start, stop, hit, generator, masked) with context, then features, then the label, each computed once."""
+
+        def context(s):
+            left = F.greatest(s["start"] - NEAR, F.lit(0))
+            near = F.substr(text, left + 1, s["stop"] - left + 2)
+            return F.struct(s.alias("s"), (s["start"] - left).alias("lead"), near.alias("near"))
+
+        def measured(c):
+            s = c["s"]
+            before = F.substr(c["near"], F.lit(1), c["lead"])
+            after = F.substr(c["near"], c["lead"] + s["stop"] - s["start"] + 1, F.lit(2))
+            f = features(s["hit"], before, after)
+            overlap = lambda b: F.least(b["stop"], s["stop"]) - F.greatest(b["start"], s["start"])
+            longer = lambda b: F.greatest(b["stop"] - b["start"], s["stop"] - s["start"])
+            return F.struct(
+                s.alias("s"), F.exists(base, lambda b: overlap(b) > 0).alias("base"),
+                F.exists(base, lambda b: 2 * overlap(b) >= longer(b)).alias("same"), *[f[n].alias(n) for n in FEATURES],
+            )
+
+        def labelled(f):
+            hit, g = f["s"]["hit"], f["s"]["generator"]
+            by = lambda *cases: reduce(lambda w, c: w.when(g == c[0], c[1]), cases[1:], F.when(g == cases[0][0], cases[0][1]))
+            checked = by(
+                (0, (f["check_digit"] == 1) & (f["n_groups"] == 4) & (f["longest"] == 4) & (f["n_digits"] == 16)),
+                (3, hit.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") | (F.contains(hit, F.lit("::")) & hit.rlike("[A-Fa-f]"))),
+                (5, account_check(hit)),
+            ).otherwise(False)
+            against = ((f["other"] == 1) & (f["personal"] == 0)) | (f["lookalike"] == 1) | by(
+                (0, f["n_digits"].between(13, 19) & (f["check_digit"] == 0)),
+                (1, ~F.regexp_replace(hit, "[^0-9]+", ".").rlike(f"^{BYTE}(?:\\.{BYTE}){{3}}$")),
+                (2, ~hit.rlike("@[A-Za-z0-9-]+\\.[A-Za-z]")),
+                (4, ~hit.rlike("[0-9._\\[({]") & (f["personal"] == 0)),
+                (5, ~account_check(hit)),
+            ).otherwise(False)
+            label = F.when(f["s"]["masked"] | f["same"] | checked, 1).when(against, 0)
+            return F.struct(
+                f["s"]["start"].alias("start"), f["s"]["stop"].alias("stop"), g.alias("generator"), f["base"].alias("base"),
+                f["s"]["masked"].alias("masked"), label.cast("int").alias("label"), *[f[n].alias(n) for n in FEATURES],
+            )
+
+        return F.transform(F.transform(F.transform(found, context), measured), labelled)
+
+    def row(s, hit, g, masked):
         return F.struct(
-            start.alias("start"), stop.alias("stop"), F.lit(g).alias("generator"),
-            F.exists(base, lambda b: overlap(b) > 0).alias("base"), F.lit(masked).alias("masked"),
-            label.cast("int").alias("label"), *[f[name].alias(name) for name in FEATURES],
+            s["start"].alias("start"), s["stop"].alias("stop"), hit.alias("hit"), F.lit(g).alias("generator"),
+            F.lit(masked).alias("masked"),
         )
 
-    def around(s):
-        left = F.greatest(s["start"] - NEAR, F.lit(0))
-        return F.substr(text, left + 1, s["start"] - left), F.substr(text, s["stop"] + 1, F.lit(2))
-
     def found(g):
         pattern, guard = GENERATORS[g]
-        return F.transform(spans(text, pattern, text.rlike(guard)), lambda s: one(g, s["start"], s["stop"], s["hit"], *around(s), False))
+        return F.transform(spans(text, pattern, text.rlike(guard)), lambda s: row(s, s["hit"], g, False))
 
-    def respelled(kind, g, spelling, keep=lambda hit: F.lit(True)):
+    def respelled(kind, g, spelling):
         """Base spans of a kind with their text in another spelling."""
 
-        def row(b):
-            hit = F.substr(text, b["start"] + 1, b["stop"] - b["start"])
-            return one(g, b["start"], b["stop"], spelling(hit), *around(b), True)
-
-        return F.transform(F.filter(base, lambda b: b["kind"] == kind), row)
+        shown = lambda b: F.substr(text, b["start"] + 1, b["stop"] - b["start"])
+        return F.transform(F.filter(base, lambda b: b["kind"] == kind), lambda b: row(b, spelling(shown(b)), g, True))
 
     def spelled_mail(hit):
         at, dot = (F.when(F.length(hit) % 2 == 0, f" [{w}] ").otherwise(f" {w} ") for w in ("at", "dot"))
         return F.concat(F.substring_index(hit, "@", 1), at, F.replace(F.substring_index(hit, "@", -1), F.lit("."), dot))
 
-    return F.concat(
+    return judged(F.concat(
         *[found(g) for g in range(len(GENERATORS))],
         respelled("phone", 0, lambda hit: F.regexp_replace(hit, "^\\+[0-9]{1,3}[ .-]*", "")),
         respelled("card", 0, lambda hit: F.regexp_replace(digits_of(hit), "([0-9]{4})(?=[0-9])", "$1.")),
         respelled("ip", 1, lambda hit: F.regexp_replace(hit, "\\.", "[.]")),
         respelled("email", 4, spelled_mail),
-    )
+    ))
 
 
 def proposed(docs: DataFrame, text="text", key="doc_id") -> DataFrame:
