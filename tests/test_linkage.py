@@ -173,3 +173,49 @@ def test_candidates_match_all_pairs(spark):
             elif not suggested and asked and area(address) and area(d) == area(address) and asked <= words(n, True):
                 expected[p, i] = 4
     assert got == expected and set(expected.values()) == {1, 4}
+
+
+def test_best_listings_match_all_scored_pairs(spark):
+    """The winner without all pairs by name is the winner of all pairs, far ones, relocated ones and ties included."""
+    from placeweave.operators.linkage import (
+        best_candidate, best_listings, candidate_pairs, decisive_pairs, direct_pairs, is_decisive, needed_rows, place_evidence, score_rows, suggestions,
+    )
+
+    draw = random.Random(31)
+    names = ["blue bolt diner", "blue bolt dinner", "the blue bolt diner", "old ring", "あおぞら亭銀座", "銀座 あおぞら亭", ""]
+    towns = ["", "", "東京都中央区銀座", "東京都中央区銀座 block 1-2 tower", "東京都中央区銀座 block 3-2 tower", "京都府左京区 block 1-2 tower"]
+    spots = [(None, None), (35.0, 139.0), (35.003, 139.0), (35.0075, 139.0), (35.3, 139.0)]
+    phones = ["", "", "", "0311112222", "0333334444"]
+    links = ["", "", "", *[f"https://tabelog.com/tokyo/A1301/A130101/{i}/" for i in range(1, 4)]]
+    place = [(i, draw.choice(names), draw.choice(["", "", *names]), draw.choice(towns), draw.choice(phones), "", *draw.choice(spots),
+              draw.choice(["place", ""]), draw.choice(links)) for i in range(120)]
+    listing = [(i, draw.choice(names), draw.choice(towns), draw.choice(phones), draw.choice([*links, f"u{i}"]), *draw.choice(spots),
+                draw.choice([None, 3.0]), draw.choice([0, 0, 5]), draw.random() < 0.4) for i in range(90)]
+    places = place_keys(spark.createDataFrame(place, PLACE + ", listing_url string")).localCheckpoint()
+    listings = listing_keys(spark.createDataFrame(listing, LISTING)).localCheckpoint()
+    rows = needed_rows(places, listings)
+    every = score_rows(rows)
+    best = {r["place_id"]: (r["listing_id"], r["score"]) for r in best_candidate(every).collect()}
+    found = {r["place_id"]: (r["listing_id"], r["score"]) for r in best_listings(places, listings).collect()}
+    assert found == best and len(best) > 60
+
+    # Evidence and stages against all pairs, grouped in plain Python.
+    pairs = candidate_pairs(places, listings)
+    assert pairs.count() == pairs.select("place_id", "listing_id").distinct().count()
+    keyed = pairs.join(places, "place_id").join(listings, "listing_id")
+    flags = {}
+    for r in keyed.collect():
+        same = r["place_phone"] != "" and r["place_phone"] == r["listing_phone"]
+        known = None not in (r["place_lat"], r["listing_lat"])
+        near = known and metres((r["place_lat"], r["place_lng"]), (r["listing_lat"], r["listing_lng"])) <= 500
+        old = flags.get(r["place_id"], (False,) * 3)
+        now = (same, same or near, r["rating"] is not None or r["review_count"] > 0)
+        flags[r["place_id"]] = tuple(a or b for a, b in zip(old, now))
+    evidence = place_evidence(places, listings, suggestions(places, listings)).collect()
+    assert {r["place_id"]: (r["has_phone"], r["has_strong"], r["has_reviews"]) for r in evidence} == flags
+    scored = score_pairs(keyed)
+    decisive = {(r["place_id"], r["listing_id"]) for r in scored.filter(is_decisive(scored)).collect()}
+    got = [(r["place_id"], r["listing_id"]) for r in decisive_pairs(places, listings).collect()]
+    assert set(got) == decisive and len(got) == len(decisive) > 0
+    linked = [(r["place_id"], r["listing_id"]) for r in direct_pairs(places, listings).collect()]
+    assert sorted(linked) == sorted((r["place_id"], r["listing_id"]) for r in pairs.filter("stage = 0").collect())
