@@ -78,3 +78,10 @@ def test_country(one):
     assert country(lat="51.5", lng="0.1") == "not_japan"
     assert country(lat="51.5", lng="0.1", source="viewport") == "unknown"
     assert country(lat="35.0", lng="139.0") == "unknown"
+
+
+@pytest.mark.parametrize("number", ["5.0E-4", "-0.0007", "0.00012345678901234567", "0.0001", "0.00005", "-1.25e-7", "1e-12", "12345678.25", "0.5", "-35.75"])
+def test_number_text_has_few_exponents(one, number):
+    from placeweave.functions.numbers import number_text
+
+    assert one(number_text(F.lit(number))) == repr(float(number))
