@@ -130,3 +130,28 @@ def test_debounce_stream_equals_the_batch_rule(spark):
     expected = {r["event_id"] for r in debounce(table, ["user_id"], delay).collect()}
     got = {r["event_id"] for r in replay(spark, table, lambda s: debounce_stream(s, "user_id", delay))}
     assert got == expected and 0 < len(got) < table.count()
+
+
+def test_seeds_of_one_area_share_their_merged_lists(spark):
+    """Lists are merged once per area and categories, whatever the number of seeds, and every seed gets its own pool."""
+    from placeweave.operators.recommend import category_candidates, category_pools
+
+    seeds = spark.createDataFrame(
+        [(i, ("tokyo/A1301/A130101", "osaka/A2701/A270101", None)[i % 3], (["sushi", "cafe"], ["cafe"], [], None)[i % 4]) for i in range(240)],
+        "seed_id bigint, area_path string, slugs array<string>")
+    lists = spark.createDataFrame(
+        [(area, slug, n, f"u{(n * 7 + len(slug)) % 23}/", f"n{n}", [slug]) for area in ("tokyo/A1301/A130101", "osaka/A2701/A270101")
+         for slug in ("sushi", "cafe") for n in range(25)],
+        "area_path string, slug string, row_pos bigint, url string, name string, genres array<string>")
+    assert category_pools(seeds, lists).select("pool").distinct().count() == 4
+    got = {}
+    for r in category_candidates(seeds, lists).collect():
+        got.setdefault(r["seed_id"], set()).add(r["url"])
+
+    def links(slugs):
+        read = []
+        for slug in slugs or []:
+            read += [f"u{(n * 7 + len(slug)) % 23}/" for n in range(20)]
+        return set(list(dict.fromkeys(read))[:30])
+
+    assert got == {i: links(s) for i, a, s in seeds.collect() if a and s}
