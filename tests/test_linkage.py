@@ -219,3 +219,67 @@ def test_best_listings_match_all_scored_pairs(spark):
     assert set(got) == decisive and len(got) == len(decisive) > 0
     linked = [(r["place_id"], r["listing_id"]) for r in direct_pairs(places, listings).collect()]
     assert sorted(linked) == sorted((r["place_id"], r["listing_id"]) for r in pairs.filter("stage = 0").collect())
+
+
+def test_awards_by_name_and_point_match_all_pairs(spark):
+    """Winners and close counts without copies of awards among the pairs equal those of all pairs; copies add no rows."""
+    from pyspark.sql import Window, functions as F
+
+    from placeweave.functions.geo import distance_m
+    from placeweave.functions.text import fold_phone
+    from placeweave.functions.urls import website_key
+    from placeweave.operators.awards import _name_score, award_keys, choose_award, choose_of_rows, linkage_rows, probes
+
+    draw = random.Random(7)
+    names = ["blue bolt diner", "blue bolt dinner", "old ring", "あおぞら亭銀座", "zz", ""]
+    spots = [(None, None), (35.0, 139.0), (35.0, 139.0), (35.0002, 139.0), (35.0006, 139.0), (35.003, 139.0), (35.2, None)]
+    phones, sites = ["", "", "", "0311112222", "0333334444"], ["", "", "", "https://a.example.com/", "https://b.example.com/"]
+    place = [(i, draw.choice(names), draw.choice(["", *names]), "", draw.choice(phones), draw.choice(sites), *draw.choice(spots), "") for i in range(300)]
+    award = [(i, draw.choice(names), draw.choice(phones), draw.choice(sites), *draw.choice(spots)) for i in range(40)]
+    detail = [(i, draw.choice(phones), draw.choice(sites)) for i in range(0, 40, 2)]
+    probe = probes(spark.createDataFrame(place, PLACE)).localCheckpoint()
+    details = spark.createDataFrame(detail, "award_id bigint, phone string, website string")
+
+    def brute(keys, details):
+        c = F.col
+        pairs = probe.crossJoin(keys).withColumn("distance_m", distance_m(*map(c, ("place_lat", "place_lng", "award_lat", "award_lng"))))
+        pairs = pairs.filter("distance_m is null or distance_m <= 500").withColumn("name_score", _name_score())
+        if details is not None:
+            asked = ((c("place_phone") != "") | (c("place_website") != "")) & (c("distance_m") <= 100) & (c("name_score") < 0.45) & c("dp").isNotNull()
+            pairs = pairs.join(details.select("award_id", fold_phone(c("phone")).alias("dp"), website_key(c("website")).alias("dw")), "award_id", "left")
+            turn = F.row_number().over(Window.partitionBy("place_id", asked).orderBy("award_id"))
+            pairs = pairs.withColumn("used", F.coalesce(asked, F.lit(False)) & (turn <= 4))
+            pairs = pairs.withColumn("award_phone", F.when(c("used"), c("dp")).otherwise(c("award_phone")))
+            pairs = pairs.withColumn("award_website", F.when(c("used"), c("dw")).otherwise(c("award_website")))
+        pairs = pairs.withColumn("same_phone", (c("place_phone") != "") & (c("place_phone") == c("award_phone")))
+        pairs = pairs.withColumn("same_website", (c("place_website") != "") & (c("place_website") == c("award_website")))
+        return pairs.withColumn("score", F.expr("""case when distance_m is null then name_score * 100 + if(same_phone or same_website, 85, 0)
+            when same_phone or same_website then if(same_phone and same_website, 70, 65) + greatest(1 - distance_m / 500, 0D) * 30 + name_score * 5
+            else name_score * 65 + greatest(1 - distance_m / 500, 0D) * 35 end""")).filter("""same_phone or same_website
+            or case when distance_m is null then name_score >= 0.94 else name_score >= 0.45 or distance_m <= 25 end""").localCheckpoint()
+
+    def close_of(rows, close):
+        return {tuple(r) for r in rows.filter("distance_m is not null").groupBy("place_id").agg(
+            F.count_if("same_website"), F.count_if("same_phone"), F.sum(close)).collect()}
+
+    winners = set()
+    for rows, given in ((award[::3], None), (award, details)):
+        keys = award_keys(spark.createDataFrame(rows, AWARD)).localCheckpoint()
+        every, found = brute(keys, given), linkage_rows(probe, keys, given).localCheckpoint()
+        assert close_of(found, F.col("close")) == close_of(every, F.expr("if(distance_m <= 35, 1L, 0L)"))
+        got = {str(r) for r in choose_of_rows(found).collect()}
+        assert got == {str(r) for r in choose_award(every).collect()}
+        winners |= got
+    assert len(winners) > 20
+    copies = award_keys(spark.createDataFrame([(i, "old ring", "", "", 35.0, 139.0) for i in range(50)], AWARD))
+    one = probes(spark.createDataFrame([(1, "old ring", "", "", "", "", 35.0, 139.0, "")], PLACE))
+    assert [(r["award_id"], r["close"]) for r in linkage_rows(one, copies).collect()] == [(0, 50)]
+
+
+def test_identity_pairs_need_no_names(spark):
+    """Pairs by phone or website, once each; equal names alone make none."""
+    from placeweave.operators.awards import award_keys, identity_pairs, probes
+
+    award = award_keys(spark.createDataFrame([(0, "old ring", "0311112222", "https://a.example.com/", None, None), (1, "old ring", "", "", None, None)], AWARD))
+    place = probes(spark.createDataFrame([(1, "old ring", "", "", "0311112222", "https://a.example.com/", 35.0, 139.0, "")], PLACE))
+    assert [(r["award_id"], r["same_phone"], r["same_website"]) for r in identity_pairs(place, award).collect()] == [(0, True, True)]
