@@ -29,6 +29,10 @@ CLOSED_BY = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "t
 ENCLOSING = {"ul", "ol", "table", "dl", "select", "body"}
 
 
+#: Pages of so many characters together are handed on at once.
+HELD_CHARACTERS = 1 << 16
+
+
 class _NodeReader(HTMLParser):
     """Flat node list of one page."""
 
@@ -85,7 +89,7 @@ def _read_nodes(html):
 
 
 def page_nodes(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, html and ``nodes`` of each page; one page is held at a time."""
+    """``keep`` columns, html and ``nodes`` of each page; short pages are held together, long ones one at a time."""
     chosen = pages.select(*keep, "html")
     schema = T.StructType(chosen.schema.fields)
     node = pa.list_(
@@ -98,13 +102,19 @@ def page_nodes(pages: DataFrame, keep: list[str]) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            column = batch.schema.get_field_index("html")
+            htmls = batch.column(batch.schema.get_field_index("html"))
+            start, held, nodes = 0, 0, []
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                nodes = pa.array([_read_nodes(one.column(column)[0].as_py())], type=node)
-                yield pa.RecordBatch.from_arrays(
-                    one.columns + [nodes], names=one.schema.names + ["nodes"]
-                )
+                html = htmls[row].as_py() or ""
+                nodes.append(_read_nodes(html))
+                held += len(html)
+                if held >= HELD_CHARACTERS or row == batch.num_rows - 1:
+                    read_pages = batch.slice(start, len(nodes))
+                    yield pa.RecordBatch.from_arrays(
+                        read_pages.columns + [pa.array(nodes, type=node)],
+                        names=batch.schema.names + ["nodes"],
+                    )
+                    start, held, nodes = row + 1, 0, []
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return chosen.mapInArrow(read, f"{ddl}, nodes {NODE_TYPE}")

@@ -155,3 +155,17 @@ def test_seeds_of_one_area_share_their_merged_lists(spark):
         return set(list(dict.fromkeys(read))[:30])
 
     assert got == {i: links(s) for i, a, s in seeds.collect() if a and s}
+
+
+def test_short_pages_are_handed_on_together(spark):
+    """Pages of one batch keep their order and nodes, long ones between short ones included; small inputs are spread over tasks."""
+    from placeweave.operators.skew import spread
+    from placeweave.sources import pages
+
+    texts = ["<p>a</p>", "", None, "<b>" + "x" * 200_000 + "</b>", "<i>c</i>", "<p>d</p><p>e</p>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "page_id bigint, html string").coalesce(1)
+    nodes = pages.page_nodes(rows, ["page_id"]).selectExpr("page_id", "transform(nodes, n -> n.tag) as tags", "html").collect()
+    assert [(r["page_id"], r["tags"], r["html"]) for r in nodes] == [
+        (0, ["p", "#text"], texts[0]), (1, [], ""), (2, [], None), (3, ["b", "#text"], texts[3]),
+        (4, ["i", "#text"], texts[4]), (5, ["p", "#text", "p", "#text"], texts[5])]
+    assert spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() >= 4

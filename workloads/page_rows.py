@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from placeweave.operators.awards import award_keys
 from placeweave.operators.records import prefer_details
+from placeweave.operators.skew import spread
 from placeweave.sources import pages, snapshot
 from placeweave.functions.labels import payment_of, reservation_state
 from workloads.registry import folded, phone_key, query, website
@@ -45,8 +46,9 @@ def page_corpus(table):
 
 
 def wrapped(table, markup):
-    """Pages made from listing rows: ``markup`` is a Column of HTML."""
-    return pages.page_nodes(table("listings").select("listing_id", markup.alias("html")), ["listing_id"])
+    """Pages made from listing rows: ``markup`` is a Column of HTML. Rows are spread before they become pages."""
+    rows = spread(table("listings"), "listing_id")
+    return pages.page_nodes(rows.select("listing_id", markup.alias("html")), ["listing_id"])
 
 
 def text_of(*parts):
