@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from placeweave.operators.awards import award_keys
 from placeweave.operators.payloads import check_ranking
+from placeweave.operators import recommend
 from placeweave.plans.match import recommend_nearby
 from placeweave.sources import pages, snapshot
 from placeweave.streaming.freshness import debounce_stream, fresh_stream, mark_fresh
@@ -169,3 +170,19 @@ def test_short_pages_are_handed_on_together(spark):
         (0, ["p", "#text"], texts[0]), (1, [], ""), (2, [], None), (3, ["b", "#text"], texts[3]),
         (4, ["i", "#text"], texts[4]), (5, ["p", "#text", "p", "#text"], texts[5])]
     assert spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() >= 4
+
+
+def test_seeds_of_one_shape_share_their_scores(spark):
+    kinds = "seed_id bigint, area_path string, genres array<string>, url string, station string, address string, area string, lunch_price string, dinner_price string"
+    path = "tokyo/A1301/A130101"
+    seeds = spark.createDataFrame(
+        [(i, path if i % 4 else None, ["寿司"], f"https://tabelog.com/{path}/{13000000 + i}/", "", f"東京都中央区{i}", "", "", "￥1,000") for i in range(40)], kinds)
+    cards = spark.createDataFrame(
+        [(path, "sushi", i, f"店{i}", f"https://tabelog.com/{path}/{13000000 + i}/", 3.0 + i / 10, 5 + i, ["寿司"], "", "", "中央区", "", "￥1,000") for i in range(6)],
+        "area_path string, slug string, row_pos int, name string, url string, rating double, review_count bigint, genres array<string>, "
+        "address string, station string, area string, lunch_price string, dinner_price string")
+    columns = ["seed_id", "cand_url", "raw_score", "similarity_score", "genre", "place_reason", "price_reason", "outcome"]
+    plain = recommend.score_similar(recommend.seed_pool(seeds, cards)).select(*columns)
+    shared = recommend.scored_pool(seeds, cards).select(*columns)
+    rows = sorted(shared.collect())
+    assert rows == sorted(plain.collect()) and {r["outcome"] for r in rows} >= {"same", "scored"}
