@@ -9,13 +9,14 @@ entry of 24 bytes per record in the same order: document id, place of the record
 number of ids before it in the file.
 """
 
-import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -63,16 +64,24 @@ def unpacked(payload):
 
 
 #: Latin letters that stay one letter in lower case, then ASCII signs; the apostrophe may open a suffix.
-SHAPE = re.compile(
-    r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+)([!-&(-/:-@\[-`{-~]*)"
-).fullmatch
+SHAPE = (
+    "^(?P<front>[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+)"
+    r"(?P<sign>[!-&(-/:-@\[-`{-~]*)$"
+)
+
+
+def ragged(first, which):
+    """(places, edges): the items of the chosen pieces one after the other, and where each choice begins and ends."""
+    edges = np.concatenate([[0], np.cumsum(np.diff(first)[which])])
+    return np.repeat(first[which] - edges[:-1], np.diff(edges)) + np.arange(edges[-1]), edges
 
 
 class Library:
-    """The tokenizers library; each distinct word between ASCII white space is encoded once per task.
+    """The tokenizers library; a word between ASCII white space is encoded once, as long as it is remembered.
 
     Valid for vocabularies that lower the case, drop white space and mark word ends, as the library then
-    encodes every word by itself. Words of Latin letters meet the library in long texts, cut apart again at the
+    encodes every word by itself. Words of a-z go straight to the library's model, as its other steps leave
+    them as they are. Words of other Latin letters meet it in long texts, cut apart again at the
     marks of word ends; a word with signs behind its letters is that word and the signs. All other words, and
     texts with an added token, meet it alone.
     """
@@ -85,60 +94,84 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
-        self.signs = {}
-        self.words = {}
+        self.forget()
+
+    def forget(self):
+        """Remembered words by number: word i has the ids flat[first[i]:first[i + 1]]; word 0 is empty."""
+        self.known = {"": 0}
+        self.flat, self.first = np.zeros(0, "<u4"), np.zeros(2, np.int64)
 
-    def whole(self, text):
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def ids(self, text):
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def remember(self, words, ids, sizes):
+        n = len(self.known)
+        self.known.update(zip(words, range(n, n + len(words))))
+        self.flat = np.concatenate([self.flat, np.array(ids, "<u4")])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes, dtype=np.int64)])
 
     def letters(self, words):
-        """Ids of words of letters only, many in one call."""
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = self.tokenizer.encode(" ".join(w.decode() for w in part), add_special_tokens=False).ids
-            ids = np.array(ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                raise ValueError("the vocabulary does not mark the end of every word")
-            raw, cuts = ids.tobytes(), [0, *(cuts * 4).tolist()]
-            self.words.update(zip(part, (raw[a:b] for a, b in zip(cuts[:-1], cuts[1:]))))
-
-    def learn(self, words):
-        plain, signed = set(), []
-        for w in words:
-            found = SHAPE(w.decode())
-            if not found:
-                self.words[w] = self.whole(w.decode())
-                continue
-            front, sign = found.groups()
-            front = front.encode()
-            if sign:
-                signed.append((w, front, sign))
-                if sign not in self.signs:
-                    self.signs[sign] = self.whole(sign)
-            if front not in self.words:
-                plain.add(front)
-        self.letters(list(plain))
-        for w, front, sign in signed:
-            self.words[w] = self.words[front] + self.signs[sign]
-
-    def encode(self, texts):
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
+        """Remember words of letters only."""
+        tokens, plain = self.model.tokenize, [w for w in words if w.isascii()]
+        other = [w for w in words if not w.isascii()]
+        ids = [t.id for w in plain for t in tokens(w)]
+        for i in range(0, len(other), 10_000):
+            ids += self.ids(" ".join(other[i : i + 10_000]))
+        cuts = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
+        if len(cuts) != len(words):
+            raise ValueError("the vocabulary does not mark the end of every word")
+        self.remember(plain + other, ids, np.diff(cuts, prepend=0))
+
+    def numbers(self, fronts, signs, others):
+        """Numbers of three lists of distinct words: of letters only, of signs only, and others (which may be signs)."""
+        if len(self.known) + len(fronts) > MOST_WORDS:
+            self.forget()
+        self.letters([w for w in fronts if w not in self.known])
+        new = [w for w in dict.fromkeys(signs + others) if w not in self.known]
+        each = [self.ids(w) for w in new]
+        self.remember(new, [i for ids in each for i in ids], [len(ids) for ids in each])
+        return (np.fromiter(map(self.known.__getitem__, some), np.int64, len(some)) for some in (fronts, signs, others))
+
+    def distinct(self, words):
+        """(ids, edges) of distinct words."""
+        shape = pc.extract_regex(words, SHAPE)
+        plain = shape.is_valid().to_numpy(zero_copy_only=False)
+        fronts, signs = (pc.drop_null(shape).field(c).dictionary_encode() for c in ("front", "sign"))
+        others = words.filter(pa.array(~plain)).to_pylist()
+        both = np.zeros((len(words), 2), np.int64)
+        front, sign, other = self.numbers(fronts.dictionary.to_pylist(), signs.dictionary.to_pylist(), others)
+        both[plain, 0], both[plain, 1] = front[fronts.indices.to_numpy()], sign[signs.indices.to_numpy()]
+        both[~plain, 0] = other
+        places, edges = ragged(self.first, both.ravel())
+        return self.flat[places], edges[::2]
+
+    def encode(self, column):
+        """Ids of each text of a string column; those of a null are empty."""
+        column = pc.fill_null(column, "")
+        alone = np.zeros(len(column), bool)
+        for token in self.added:
+            alone |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
         # Case is lowered for ASCII here; the vocabulary would do it anyway.
-        cut = [None if any(a in t for a in self.added) else t.encode().lower().split() for t in texts]
-        known = self.words
-        new = {w for words in cut if words for w in words}.difference(known)
-        if new:
-            self.learn(new)
-        return [
-            self.whole(t) if words is None else b"".join(map(known.__getitem__, words))
-            for t, words in zip(texts, cut)
-        ]
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(alone), "", column)))
+        each = words.flatten().dictionary_encode()
+        flat, first = self.distinct(each.dictionary)
+        places, edges = ragged(first, each.indices.to_numpy())
+        ids, edges = flat[places], edges[words.offsets.to_numpy()]
+        out = [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = np.array(self.ids(column[i].as_py()), "<u4")
+        return out
+
+
+@lru_cache(maxsize=1)
+def library(path):
+    """One for each Python worker, so that a later task of the same worker finds the words of earlier ones."""
+    return Library(path)
 
 
 def written(path, folder):
@@ -149,7 +182,7 @@ def written(path, folder):
     """
 
     def run(batches):
-        library = Library(path)
+        coder = library(path)
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
         files, base = fs.FileSystem.from_uri(folder)
@@ -157,10 +190,9 @@ def written(path, folder):
         base = f"{base}/{name.rsplit('/', 1)[1]}"
         docs = ids = at = 0
         with files.open_output_stream(base + ".rec") as data, files.open_output_stream(base + ".idx") as index:
-            for batch in slices(batches, "text", 1_000_000):
-                encoded = library.encode([t or "" for t in batch.column("text").to_pylist()])
-                for key, own in zip(batch.column("key").to_pylist(), encoded):
-                    own = np.append(np.frombuffer(own, "<u4"), np.uint32(END))
+            for batch in slices(batches, "text", 4_000_000):
+                for key, own in zip(batch.column("key").to_pylist(), coder.encode(batch.column("text"))):
+                    own = np.append(own, np.uint32(END))
                     record = framed(packed(key, own))
                     index.write(struct.pack(ENTRY, key or 0, at, ids))
                     data.write(record)

@@ -353,6 +353,37 @@ def test_records_come_back_in_order(spark, tmp_path):
     assert records.read_records(records.write_records(table(spark, texts).limit(0), WORD, f"file://{tmp_path}/none", files=2)).count() == 0
 
 
+LINES = ["Ähre, straße... ŉ İi ǅ naïve(!) don't x1 don", "a\x1cb\x0b c\u00a0d\u2003e", "<|endoftext|>x THE ''re end", "e\u0301t\u00e9 日本 語,", "", None, " , "]
+
+
+@pytest.fixture(scope="module")
+def words():
+    return Tokenizer.from_file(WORD)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abst 'RE\n0.,é\u0301日ſK"), max_size=40), max_size=6))
+def test_columns_encode_as_the_library_does(words, texts):
+    column = pa.array(["left out", *texts, *LINES], pa.string())[1:]
+    expected = [words.encode(t or "", add_special_tokens=False).ids for t in [*texts, *LINES]]
+    assert [i.tolist() for i in records.library(WORD).encode(column)] == expected
+
+
+def test_a_worker_remembers_words_within_bounds(monkeypatch):
+    coder, word = records.Library(WORD), Tokenizer.from_file(WORD)
+    column = pa.array([" ".join(f"{a}{b}é{c}" for a in "abcdefghij" for b in "klmnop" for c in "qrst") + " x1, plain."])
+    first = coder.encode(column)[0].tolist()
+    assert first == word.encode(column[0].as_py(), add_special_tokens=False).ids
+    monkeypatch.setattr(coder, "ids", None)  # a later task asks the library nothing
+    assert coder.encode(column)[0].tolist() == first and records.library(WORD) is records.library(WORD)
+    monkeypatch.undo()
+    monkeypatch.setattr(records, "MOST_WORDS", 300)
+    for n in range(3):
+        texts = pa.array([" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + n)}" for i in range(200))])
+        assert coder.encode(texts)[0].tolist() == word.encode(texts[0].as_py(), add_special_tokens=False).ids
+    assert len(coder.known) <= 300
+
+
 def test_shuffled_reads_and_damage(spark, tmp_path):
     files = records.write_records(table(spark, ["one", "two words", "three"]), WORD, f"file://{tmp_path}/x", files=1).collect()
     name = next(f["file"] for f in files if f["docs"] == 3)
