@@ -403,6 +403,22 @@ def labelled(docs: DataFrame, key="doc_id", text="text", similar: float = SIMILA
     )
 
 
+def maybe_among(rows: DataFrame, value, others: DataFrame, other) -> tuple[DataFrame, DataFrame]:
+    """(rows whose value surely is not among the others, all other rows): a bitmap decides, rows are not shuffled.
+
+    Values are 64-bit hashes. The bitmap has FILTER_BITS bits, however many others there are, in pieces of 4 KB.
+    """
+    bit = lambda v: F.pmod(v, F.lit(FILTER_BITS)) + 1  # noqa: E731  (bitmap functions number bits from 1)
+    pieces = others.select(bit(other).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bitmap_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap_bits")
+    )
+    place = F.bitmap_bit_position(bit(value))
+    byte = F.conv(F.hex(F.substring("bitmap_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(pieces), F.bitmap_bucket_number(bit(value)) == F.col("bitmap_piece"), "left")
+    maybe = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return tuple(met.filter(c).drop("bitmap_piece", "bitmap_bits") for c in (~maybe, maybe))
+
+
 def one_of_each(docs: DataFrame, key="doc_id", text="text", similar: float = SIMILAR) -> DataFrame:
     """The documents with the least key of each class, and all without words; columns as they were.
 
@@ -417,15 +433,19 @@ def one_of_each(docs: DataFrame, key="doc_id", text="text", similar: float = SIM
         found.join(ids, "class").filter(~F.col("key").eqNullSafe(F.col("first"))).select("key.*").distinct()
         .select(F.col("key").alias("gone_key"), F.col("digest").alias("gone_digest")), "gone",
     )
-    mine = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    kept = docs.join(gone, docs[key].eqNullSafe(gone["gone_key"]) & (mine == gone["gone_digest"]), "left_anti")
+    mine = lambda df: F.xxhash64(F.coalesce(df[text], F.lit("")))
+    # Texts that surely stay are not shuffled; the others are joined.
+    sure, asked = maybe_among(docs, mine(docs), gone, F.col("gone_digest"))
+    kept = sure.unionByName(
+        asked.join(gone, asked[key].eqNullSafe(gone["gone_key"]) & (mine(asked) == gone["gone_digest"]), "left_anti")
+    )
     twice = stored(
         found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key.*")
         .select(F.col("key").alias("twice_key"), F.col("digest").alias("twice_digest")), "twice",
     )
     if twice.isEmpty():
         return kept
-    same = kept[key].eqNullSafe(twice["twice_key"]) & (mine == twice["twice_digest"])
+    same = kept[key].eqNullSafe(twice["twice_key"]) & (mine(kept) == twice["twice_digest"])
     least = F.min(F.struct(*[kept[c] for c in kept.columns])).alias("row")
     return kept.join(twice, same, "left_anti").unionByName(
         kept.join(twice, same, "left_semi").groupBy(kept[key], kept[text]).agg(least).select("row.*")

@@ -230,6 +230,27 @@ def test_one_of_each_keeps_one_row_of_repeats_and_texts_without_words(spark):
     assert neardup.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_texts_that_surely_stay_are_not_shuffled(spark):
+    rows = spark.range(3000).withColumn("h", F.xxhash64("id"))
+    others = rows.filter("id % 50 = 0 or id > 2950").select(F.col("h").alias("o"))
+    sure, asked = neardup.maybe_among(rows, F.col("h"), others, F.col("o"))
+    left, met = {r.id for r in sure.collect()}, {r.id for r in asked.collect()}
+    assert left | met == set(range(3000)) and not left & met and sure.columns == rows.columns
+    assert {i for i in range(3000) if i % 50 == 0 or i > 2950} <= met and len(met) < 120
+    none, _ = neardup.maybe_among(rows, F.col("h"), others.limit(0), F.col("o"))
+    assert none.count() == 3000
+    a = " ".join(f"w{i}" for i in range(50))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = neardup.one_of_each(table(spark, [a, a, *(f"{i} text" for i in range(200))]))
+        assert {r.doc_id for r in kept.collect()} == {0, *range(2, 202)}
+        surely = kept._jdf.queryExecution().optimizedPlan().children().head().toString()
+        assert "LeftAnti" not in surely and "rightHint=(strategy=broadcast)" in surely
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_chain_longer_than_one_round_is_one_class(spark):
     nodes = [i.to_bytes(16, "big") for i in np.random.default_rng(1).permutation(40).tolist()]
     edges = spark.createDataFrame(list(zip(nodes[:-1], nodes[1:])), "a binary, b binary")
