@@ -85,3 +85,20 @@ def test_number_text_has_few_exponents(one, number):
     from placeweave.functions.numbers import number_text
 
     assert one(number_text(F.lit(number))) == repr(float(number))
+
+
+def test_ratios_of_a_batch_equal_difflib():
+    """All pairs at once, with ties, empty and long texts, and characters of every width."""
+    import random
+
+    from placeweave.functions.ratio import matching_ratios
+
+    draw = random.Random(5)
+
+    def texts(letters):
+        return ["".join(draw.choices(letters, k=draw.choice([0, 1, 2, 9, 30, 120, 199, 200, 230]))) for _ in range(150)]
+
+    for letters in ("ab", "abcdefgh 1", "鮨あい𠮷ab0", [chr(i) for i in range(32, 700)]):
+        left, right = texts(letters), texts(letters)
+        assert matching_ratios(left, right).tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]
+    assert matching_ratios([], []).size == 0
