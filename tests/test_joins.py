@@ -88,3 +88,16 @@ def test_following_crosses_buckets(spark):
         ordered = sorted((t, i) for i, key, t in rows if key == k)
         for (_, i), after in zip(ordered, ordered[1:] + [(None, None)]):
             assert got[i] == after[0]
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """However small the sides look to Spark, none of them is collected in the driver."""
+    from placeweave.operators.linkage import listing_keys, named_rows, place_keys
+    from placeweave.operators.skew import grown_join
+
+    rows = spark.range(20).selectExpr("id as place_id", "id as listing_id", "'old ring' as name", "cast(id as string) as url")
+    suggested = rows.select("place_id", F.lit("oldring").alias("listing_name"), F.lit(1.0).alias("name_score"))
+    met = named_rows(place_keys(rows), listing_keys(rows), suggested)
+    assert met.count() == 400 and grown_join(rows, rows.select("place_id"), "place_id").count() == 20
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("SortMergeJoin") >= 2

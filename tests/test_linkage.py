@@ -283,3 +283,47 @@ def test_identity_pairs_need_no_names(spark):
     award = award_keys(spark.createDataFrame([(0, "old ring", "0311112222", "https://a.example.com/", None, None), (1, "old ring", "", "", None, None)], AWARD))
     place = probes(spark.createDataFrame([(1, "old ring", "", "", "0311112222", "https://a.example.com/", 35.0, 139.0, "")], PLACE))
     assert [(r["award_id"], r["same_phone"], r["same_website"]) for r in identity_pairs(place, award).collect()] == [(0, True, True)]
+
+
+def test_last_stages_and_close_names_match_all_pairs(spark):
+    """Pairs by cell and name are all alike pairs within the distance; stages follow from all candidates."""
+    from placeweave.operators.linkage import alike_names, candidate_pairs, named_close, with_last_stage
+
+    draw = random.Random(8)
+    names = ["blue bolt diner", "blue bolt dinner", "the blue bolt diner", "old ring", ""]
+    links = ["", "", "", "https://tabelog.com/tokyo/A1301/A130101/1/", "https://tabelog.com/tokyo/A1301/A130101/2/"]
+
+    def point():
+        return draw.choice([(None, None), (35 + draw.random() / 50, 139 + draw.random() / 50)])
+
+    place = [(i, draw.choice(names), draw.choice(["", *names]), "", draw.choice(["", "", "0311112222"]), "", *point(), "", draw.choice(links)) for i in range(80)]
+    listing = [(i, draw.choice(names), "", draw.choice(["", "0311112222"]), draw.choice([*links, f"u{i}"]), *point(),
+                None, draw.choice([0, 0, 0, 5]), False) for i in range(30)]
+    places = place_keys(spark.createDataFrame(place, PLACE + ", listing_url string")).localCheckpoint()
+    listings = listing_keys(spark.createDataFrame(listing, LISTING)).localCheckpoint()
+    known_places, known = {r["place_id"]: r for r in places.collect()}, {r["listing_id"]: r for r in listings.collect()}
+
+    def apart(p, q):
+        if p["place_lat"] is None or q["listing_lat"] is None:
+            return 1e9
+        return metres((p["place_lat"], p["place_lng"]), (q["listing_lat"], q["listing_lng"]))
+
+    def named(p, q):
+        return any(a and q["listing_name"] and alike(a, q["listing_name"]) >= 0.88 for a in (p["place_name"], p["place_alternate"]))
+
+    names_of = alike_names(places, listings)
+    close = [(r["place_id"], r["listing_id"]) for r in named_close(places, names_of, listings, 700.0).collect()]
+    expected = {(i, j) for i, p in known_places.items() for j, q in known.items() if apart(p, q) <= 700 and named(p, q)}
+    assert set(close) == expected and len(close) == len(expected) > 20
+
+    stages = {}
+    for r in candidate_pairs(places, listings).collect():
+        stages.setdefault(r["place_id"], []).append((r["stage"], known[r["listing_id"]]))
+    wanted = {}
+    for i, p in known_places.items():
+        by_name = [q for stage, q in stages.get(i, []) if stage == 1]
+        same = any(p["place_phone"] and p["place_phone"] == q["listing_phone"] for q in by_name)
+        near = any(apart(p, q) <= 500 for q in by_name) and any(q["review_count"] > 0 for q in by_name)
+        wanted[i] = 0 if any(stage == 0 for stage, _ in stages.get(i, [])) else 1 if same or near else 9
+    found = {r["place_id"]: r["last_stage"] for r in with_last_stage(places, listings, names_of).collect()}
+    assert found == wanted and set(found.values()) == {0, 1, 9}
