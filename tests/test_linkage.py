@@ -327,3 +327,34 @@ def test_last_stages_and_close_names_match_all_pairs(spark):
         wanted[i] = 0 if any(stage == 0 for stage, _ in stages.get(i, [])) else 1 if same or near else 9
     found = {r["place_id"]: r["last_stage"] for r in with_last_stage(places, listings, names_of).collect()}
     assert found == wanted and set(found.values()) == {0, 1, 9}
+
+
+def test_every_detail_page_that_a_place_asks_for_is_used(spark):
+    """The fifth and later pages count too, a page's phone replaces the row's, and a bound on lookups is an option."""
+    place = spark.createDataFrame([(1, "Sushi Foo", "", "", "0311112222", "", 35.0, 139.0, ""), (2, "Sushi Bar", "", "", "0355556666", "", 35.2, 139.0, "")], PLACE)
+    rows = [(i, "鮨ふう", "", "", 35.0 + i * 1e-5, 139.0) for i in range(1, 10)] + [(20, "蕎麦", "0355556666", "", 35.2, 139.0)]
+    award = spark.createDataFrame(rows, AWARD)
+    pages = [(i, "0311112222" if i == 9 else f"030000000{i}", "") for i in range(1, 10)]
+    details = spark.createDataFrame(pages, "award_id bigint, phone string, website string")
+    assert {r["place_id"]: r["award_id"] for r in link_awards(place, award, details=details).collect()} == {1: 9, 2: 20}
+    assert [r["place_id"] for r in link_awards(place, award, details=details, lookups=4).collect()] == [2]
+    other = details.unionByName(spark.createDataFrame([(20, "0399990000", "")], details.schema))
+    assert [r["place_id"] for r in link_awards(place, award, details=other).collect()] == [1]
+
+
+def test_award_winners_without_weak_pairs(spark):
+    """Leaving out near pairs that cannot decide changes no winner: lone close rows, rows before them, equal phones."""
+    from placeweave.operators.awards import award_keys, choose_of_rows, linkage_rows, probes
+
+    draw = random.Random(17)
+    names = ["blue bolt diner", "blue bolt dinner", "bolt blue", "old ring", "old ring brand 7", "zz", ""]
+
+    def point():
+        return draw.choice([35.0, 35.1, 35.2, 35.3]) + draw.random() / 400, 139.0 + draw.random() / 400
+
+    place = [(i, draw.choice(names), draw.choice(["", *names]), "", draw.choice(["", "", "0311112222"]), "", *point(), "") for i in range(250)]
+    award = [(i, draw.choice(names), draw.choice(["", "0311112222"]), "", *point()) for i in range(24)]
+    probe = probes(spark.createDataFrame(place, PLACE)).localCheckpoint()
+    keys = award_keys(spark.createDataFrame(award, AWARD)).localCheckpoint()
+    rows = [{str(r) for r in choose_of_rows(linkage_rows(probe, keys, weak=weak)).collect()} for weak in (True, False)]
+    assert rows[0] == rows[1] and len(rows[0]) > 50
